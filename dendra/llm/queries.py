@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import simhash, suffixes
 from .common import table
 
 
@@ -18,8 +18,13 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", _hex64(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    repeats = suffixes.remove_repeats(table(spark, sf_dir, "documents"), length=50, keep_text=False)
+    return repeats.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def queries() -> dict:
-    return {"op3_simhash": op3_simhash}
+    return {"op2_suffix_dedup": op2_suffix_dedup, "op3_simhash": op3_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
