@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash, suffixes
-from .common import table
+from . import quality, simhash, suffixes
+from .common import fold, table
 
 
 def _hex64(value: Column) -> Column:
@@ -18,13 +18,20 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", _hex64(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    marked = quality.labelled(docs, labels, "quality").where(fold(F.col("doc_id"), 4) != 2)
+    scored = quality.score(docs.select("doc_id", "text"), quality.fit(marked), threshold=0.7)
+    return scored.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     repeats = suffixes.remove_repeats(table(spark, sf_dir, "documents"), length=50, keep_text=False)
     return repeats.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def queries() -> dict:
-    return {"op2_suffix_dedup": op2_suffix_dedup, "op3_simhash": op3_simhash}
+    return {"op1_quality": op1_quality, "op2_suffix_dedup": op2_suffix_dedup, "op3_simhash": op3_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
