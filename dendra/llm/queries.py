@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, simhash, suffixes
+from . import quality, simhash, suffixes, toxicity
 from .common import fold, table
 
 
@@ -30,8 +30,15 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    marked = quality.labelled(docs, labels, "toxic").where(fold(F.col("doc_id"), 5) != 0)
+    scored = toxicity.score(docs.select("doc_id", "text"), toxicity.fit(marked), threshold=0.5)
+    return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict:
-    return {"op1_quality": op1_quality, "op2_suffix_dedup": op2_suffix_dedup, "op3_simhash": op3_simhash}
+    return {"op1_quality": op1_quality, "op2_suffix_dedup": op2_suffix_dedup, "op3_simhash": op3_simhash, "op4_toxicity": op4_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
