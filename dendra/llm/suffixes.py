@@ -11,7 +11,8 @@ executor numbers equal prefixes alike without a common rank table.
 2. Refinement: the windows of one anchor are refined together by the identifiers
    of their first and last window; where all agree, the bucket's least document
    decides for the whole run.
-3. Where runs of one anchor differ, only their first documents come again, and
+3. Where runs of one anchor differ but agree on the bytes before or behind it, as
+   two runs with a common window must, only their first documents come again, and
    each of their windows is refined on its own identifier.
 
 Records travel packed: one row is (bucket, kind, blob) with numpy columns in a
@@ -37,7 +38,7 @@ _ROW = "bucket int, kind int, blob binary"
 _rng = np.random.default_rng(20240501)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _K = [np.uint64(int(k) * 2 + 1) for k in _rng.integers(1 << 61, 1 << 62, 12)]
-_RUN = (np.uint32, np.uint8, np.uint32, np.uint16, np.int64, np.uint16, np.uint32, np.uint8)  # anchor bucket (40 bits), run (48 bits), document, tag, start, last start
+_RUN = (np.uint32, np.uint8, np.uint32, np.uint16, np.uint8, np.uint8, np.int64, np.uint16, np.uint32, np.uint8)  # anchor bucket (40 bits), run (48 bits), bytes before and behind, document, tag, start, last start
 _SPAN = (np.int64, np.uint16, np.uint32, np.uint32)  # document, tag, from, to
 _WINDOW = (np.uint64, np.int64, np.uint16, np.uint32)  # identifier, document, tag, start
 _REMOVE, _LOOK, _TEXT = 0, 1, 2
@@ -91,14 +92,29 @@ class Ladder:
         if depth < length:  # the last step overlaps
             wide = _join(wide, gram, length - q, q)
         self.full = _mix(wide)
+        self.q, self.part = q, (length - q + 1) // 2
+        side, depth = one, 1
+        while depth * 2 <= self.part:
+            side = _join(side, side, depth, depth)
+            depth *= 2
+        while depth < self.part:
+            side = _join(side, one, depth, 1)
+            depth += 1
+        self.side = side
+
+    def before(self, at: np.ndarray) -> np.ndarray:
+        """Eight bits of the identifier of the bytes before; what lies over an edge of the text counts as zero."""
+        there = at >= self.part
+        return np.where(there, _mix(self.side[np.where(there, at - self.part, 0)]) >> np.uint64(56), np.uint64(0))
 
+    def behind(self, at: np.ndarray) -> np.ndarray:
+        there = at + self.q < len(self.side)
+        return np.where(there, _mix(self.side[np.where(there, at + self.q, 0)]) >> np.uint64(56), np.uint64(0))
 
-def _runs(x: np.ndarray, ends: np.ndarray, length: int, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the windows of pieces that end at ``ends``: first start, last start, anchor bucket and run identifier."""
+
+def _runs(x: np.ndarray, ends: np.ndarray, length: int, q: int) -> tuple[np.ndarray, ...]:
+    """Of the windows of pieces that end at ``ends``: first start, last start, anchor bucket, run identifier, bytes before and behind."""
     n = len(x) - length + 1
-    none = np.zeros(0, np.int64)
-    if n <= 0:
-        return none, none, none.astype(np.uint64), none.astype(np.uint64)
     ids = Ladder(x, length, q)
     width = length - q + 1
     low = np.uint64((1 << 20) - 1)
@@ -119,7 +135,7 @@ def _runs(x: np.ndarray, ends: np.ndarray, length: int, q: int) -> tuple[np.ndar
     last[:-1] &= ~valid[1:] | (anchor[1:] != anchor[:-1])
     a, b = np.flatnonzero(first), np.flatnonzero(last)
     run = _mix(ids.full[a] * _K[6] + ids.full[b] * _K[7] + (b - a).astype(np.uint64))
-    return a, b, ids.gram[anchor[a]], run
+    return a, b, ids.gram[anchor[a]], run, ids.before(anchor[a]), ids.behind(anchor[a])
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -177,11 +193,11 @@ def _anchors(length: int, q: int, buckets: int):
         where: list[np.ndarray] = []
         size = 0
         for x, ends, doc, tag, offset in _pieces(batches, length):
-            a, b, gram, ident = _runs(x, ends, length, q)
+            a, b, gram, ident, before, behind = _runs(x, ends, length, q)
             piece = np.searchsorted(ends, a, side="right")
             start = a - np.concatenate([[0], ends[:-1]])[piece] + offset[piece]
             high = gram >> np.uint64(24)
-            for column, values in zip(held, (high & np.uint64(0xFFFFFFFF), high >> np.uint64(32), ident & np.uint64(0xFFFFFFFF), (ident >> np.uint64(32)) & np.uint64(0xFFFF), doc[piece], tag[piece], start, b - a), strict=True):
+            for column, values in zip(held, (high & np.uint64(0xFFFFFFFF), high >> np.uint64(32), ident & np.uint64(0xFFFFFFFF), (ident >> np.uint64(32)) & np.uint64(0xFFFF), before, behind, doc[piece], tag[piece], start, b - a), strict=True):
                 column.append(values)
             where.append(((gram & np.uint64(0xFFFFFF)) % np.uint64(buckets)).astype(np.int64))
             size += len(x)
@@ -226,20 +242,25 @@ def _refine(length: int, buckets: int):
     """Anchor buckets refined by run: spans to remove, and runs whose windows have to be looked at one by one."""
 
     def work(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-        low, high, r0, r1, doc, tag, start, more = _unpack(blobs, _RUN)
+        low, high, r0, r1, before, behind, doc, tag, start, more = _unpack(blobs, _RUN)
         key = low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32)
         ident = r0.astype(np.uint64) | r1.astype(np.uint64) << np.uint64(32)
         order = np.lexsort((doc, ident, key))
-        key, ident, doc, tag, start, more = (c[order] for c in (key, ident, doc, tag, start, more))
+        key, ident, before, behind, doc, tag, start, more = (c[order] for c in (key, ident, before, behind, doc, tag, start, more))
         new_key, new_run = _edges(key), _edges(key, ident)
         key_at, run_at = np.cumsum(new_key) - 1, np.cumsum(new_run) - 1
-        least_of_run = doc[np.flatnonzero(new_run)][run_at]
-        starts = np.flatnonzero(new_key)
-        least_of_key = np.minimum.reduceat(doc, starts)[key_at]
-        runs_of_key = np.add.reduceat(new_run.astype(np.int64), starts)[key_at]
-        most_of_key = np.maximum.reduceat(doc, starts)[key_at]
-        gone = doc > least_of_run
-        look = ~gone & (runs_of_key > 1) & (most_of_key > least_of_key)
+        gone = doc > doc[np.flatnonzero(new_run)][run_at]
+        several = np.add.reduceat(new_run.astype(np.int64), np.flatnonzero(new_key))[key_at] > 1
+        look = np.zeros(len(doc), bool)
+        at = np.flatnonzero(~gone & several)
+        for side in (before, behind):
+            by = at[np.lexsort((ident[at], side[at], key[at]))]
+            if len(by):
+                new, fresh = _edges(key[by], side[by]), _edges(key[by], side[by], ident[by])
+                group, first = np.cumsum(new) - 1, np.flatnonzero(new)
+                runs = np.add.reduceat(fresh.astype(np.int64), first)[group]
+                apart = np.minimum.reduceat(doc[by], first)[group] < np.maximum.reduceat(doc[by], first)[group]
+                look[by] |= (runs > 1) & apart
         for mask, kind, tail in ((gone, _REMOVE, length), (look, _LOOK, 1)):
             if mask.any():
                 d, t, s = doc[mask], tag[mask], start[mask]
@@ -293,36 +314,40 @@ class _Spans:
         doc, tag, start, end = _unpack(blobs, _SPAN)
         order = np.lexsort((start, tag, doc))
         self.doc, self.tag, self.start, self.end = doc[order], tag[order], start[order].astype(np.int64), end[order].astype(np.int64)
-        new = np.flatnonzero(_edges(self.doc, self.tag))
-        self.at = {(int(self.doc[s]), int(self.tag[s])): (int(s), int(e)) for s, e in zip(new, [*new[1:], len(order)], strict=True)} if len(order) else {}
+        new = np.flatnonzero(_edges(self.doc, self.tag)).tolist() if len(order) else []
+        self.at = {(int(self.doc[s]), int(self.tag[s])): (int(s), int(e)) for s, e in zip(new, [*new[1:], *[len(order)] * bool(new)], strict=True)}
 
     def of(self, doc: int, tag: int) -> tuple[np.ndarray, np.ndarray]:
         s, e = self.at.get((doc, tag), (0, 0))
         return self.start[s:e], self.end[s:e]
 
 
-def _with_texts(batches: Iterator[pa.RecordBatch], kind_wanted: int) -> Iterator[tuple[int, int, bytes, np.ndarray, np.ndarray]]:
-    """Each document with its spans. In every bucket the spans come before the texts."""
-    now, blobs, spans = None, [], None
-    for bucket, kind, blob in _by_bucket(batches):
-        if bucket != now:
-            now, blobs, spans = bucket, [], None
-        if kind == kind_wanted:
-            blobs.append(blob)
-        elif kind == _TEXT:
-            if spans is None:
-                spans = _Spans(blobs)
-            for doc, tag, raw in _from_blob(blob):
-                yield doc, tag, raw, *spans.of(doc, tag)
+def _with_texts(texts: pa.Table, spans: pa.Table) -> Iterator[tuple[int, int, bytes, np.ndarray, np.ndarray]]:
+    """Each document of a bucket with its spans."""
+    own = _Spans(spans.column("blob").to_pylist())
+    for blob in texts.column("blob"):
+        for doc, tag, raw in _from_blob(blob.as_py()):
+            yield doc, tag, raw, *own.of(doc, tag)
+
+
+def _together(batches: list[pa.RecordBatch], schema: pa.Schema) -> pa.Table:
+    return pa.Table.from_batches(batches, schema)
 
 
 def _windows(length: int, q: int, buckets: int):
     """The windows of the runs to look at, dealt out by identifier."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
+
+    def run(texts: pa.Table, spans: pa.Table) -> pa.Table:
+        return _together(list(rows(texts, spans)), schema)
+
+    def rows(texts: pa.Table, spans: pa.Table) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = [[] for _ in _WINDOW]
         n = 0
-        for doc, tag, raw, start, end in _with_texts(batches, _LOOK):
+        if not spans.num_rows:
+            return
+        for doc, tag, raw, start, end in _with_texts(texts, spans):
             if not len(start):
                 continue
             cover = np.zeros(len(raw) + 1, np.int64)
@@ -362,10 +387,9 @@ def _decide(length: int, buckets: int):
 
 
 def _kept(keep_text: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(texts: pa.Table, spans: pa.Table) -> pa.Table:
         rows: list[tuple] = []
-        size = 0
-        for doc, tag, raw, start, end in _with_texts(batches, _REMOVE):
+        for doc, tag, raw, start, end in _with_texts(texts, spans):
             if len(start):
                 reach = np.maximum.accumulate(end)
                 new = np.ones(len(start), bool)
@@ -376,21 +400,16 @@ def _kept(keep_text: bool):
                 s, e = [], []
             kept = b"".join(raw[i:j] for i, j in zip([0, *e], [*s, len(raw)], strict=True))
             rows.append((doc, len(raw), len(raw) - len(kept), len(s), hashlib.sha256(kept).hexdigest(), list(zip(s, e, strict=True)) if keep_text else None, kept if keep_text else None))
-            size += len(kept) if keep_text else 100
-            if len(rows) >= 4096 or size > 16 << 20:
-                yield _results(rows)
-                rows, size = [], 0
-        if rows:
-            yield _results(rows)
+        return pa.Table.from_batches([_results(rows)], _results([]).schema)
 
     return run
 
 
 def _results(rows: list[tuple]) -> pa.RecordBatch:
-    doc, n, gone, spans, digest, list_of, kept = zip(*rows, strict=True)
+    doc, n, gone, spans, digest, list_of, kept = zip(*rows, strict=True) if rows else [()] * 7
     ids = pa.array([None if d == 2**63 - 1 else d for d in doc], pa.int64())
     where = pa.array([None if x is None else [{"start": s, "end": e} for s, e in x] for x in list_of], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
-    return pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(digest), where, pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"])
+    return pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(digest, pa.string()), where, pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"])
 
 
 def remove_repeats(docs: DataFrame, length: int = 50, q: int = 20, keep_text: bool = True) -> DataFrame:
@@ -414,9 +433,9 @@ def remove_repeats(docs: DataFrame, length: int = 50, q: int = 20, keep_text: bo
 
     runs = rows.mapInArrow(_anchors(length, q, buckets), _ROW)
     found = cut(dealt(runs).mapInArrow(_each_bucket(_refine(length, buckets)), _ROW))
-    texts = rows.mapInArrow(_texts(buckets), _ROW)
-    windows = dealt(texts.union(found.where(F.col("kind") == _LOOK))).mapInArrow(_windows(length, q, buckets), _ROW)
-    late = cut(dealt(windows).mapInArrow(_each_bucket(_decide(length, buckets)), _ROW))
+    texts = rows.mapInArrow(_texts(buckets), _ROW).groupBy("bucket")  # both cogroups read the same exchange
+    windows = texts.cogroup(found.where(F.col("kind") == _LOOK).groupBy("bucket")).applyInArrow(_windows(length, q, buckets), _ROW)
+    late = dealt(windows).mapInArrow(_each_bucket(_decide(length, buckets)), _ROW)
     spans = found.where(F.col("kind") == _REMOVE).union(late)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept binary"
-    return dealt(texts.union(spans)).mapInArrow(_kept(keep_text), schema)
+    return texts.cogroup(spans.groupBy("bucket")).applyInArrow(_kept(keep_text), schema)
