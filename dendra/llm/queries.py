@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, simhash, suffixes, toxicity
-from .common import fold, table
+from . import media, ngrams, quality, simhash, suffixes, toxicity
+from .common import fold, shared_dir, table
 
 
 def _hex64(value: Column) -> Column:
@@ -37,8 +37,18 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.features(media.store(table(spark, sf_dir, "documents"), shared_dir(spark, "media")))
+
+
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (fold(F.col("doc_id"), 10) != 0).alias("train"))
+    scored = ngrams.score(docs)
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def queries() -> dict:
-    return {"op1_quality": op1_quality, "op2_suffix_dedup": op2_suffix_dedup, "op3_simhash": op3_simhash, "op4_toxicity": op4_toxicity}
+    return {"op1_quality": op1_quality, "op2_suffix_dedup": op2_suffix_dedup, "op3_simhash": op3_simhash, "op4_toxicity": op4_toxicity, "op5_media": op5_media, "op10_lm_score": op10_lm_score}
 
 
 def oracle_sql() -> dict[str, str]:
