@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, ngrams, quality, simhash, suffixes, toxicity
+from . import decontaminate, media, mixing, ngrams, quality, simhash, suffixes, toxicity
 from .common import fold, shared_dir, table
 
 
@@ -41,6 +41,43 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.features(media.store(table(spark, sf_dir, "documents"), shared_dir(spark, "media")))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
+
+
+OP7_SQL = """
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
+    -ln((('0x' || substr(md5('17/' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0)
+      / (0.1 + 0.9 * coalesce(length(regexp_replace(coalesce(text, ''), '[^\\p{Ll}\\x20\\x09-\\x0D]', '', 'g'))::DOUBLE / nullif(length(coalesce(text, '')), 0), 0)) AS k
+  FROM documents),
+s AS (
+  SELECT source, sum(size) AS source_size, 3.0::DOUBLE * sum(size) AS most,
+    [5.0::DOUBLE, 2.0, 1.0][(row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1] AS weight
+  FROM d GROUP BY source),
+t AS (
+  SELECT *, sum(source_size) OVER () - coalesce(sum(most) OVER w, 0) AS rest, sum(weight) OVER () - coalesce(sum(weight) OVER w, 0) AS weights
+  FROM s WINDOW w AS (ORDER BY most / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+u AS (SELECT *, most <= rest / weights * weight AS stops, rest / weights AS level FROM t),
+g AS (
+  SELECT source, source_size, CASE WHEN stops THEN most ELSE weight * (SELECT max(level) FROM u WHERE NOT stops) END AS target FROM u),
+b AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS complete FROM g),
+p AS (
+  SELECT d.doc_id, size, source_size, target, complete, round(target - complete * source_size) AS rest,
+    coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source)
+SELECT doc_id, size::BIGINT AS size, source_size::BIGINT AS source_size, round(target, 6) AS target,
+  (complete * size + greatest(0, least(size, rest - before)))::BIGINT AS taken
+FROM p
+"""
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", (fold(F.col("doc_id"), 10) != 0).alias("train"))
     scored = ngrams.score(docs)
@@ -48,8 +85,8 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_quality": op1_quality, "op2_suffix_dedup": op2_suffix_dedup, "op3_simhash": op3_simhash, "op4_toxicity": op4_toxicity, "op5_media": op5_media, "op10_lm_score": op10_lm_score}
+    return {"op1_quality": op1_quality, "op2_suffix_dedup": op2_suffix_dedup, "op3_simhash": op3_simhash, "op4_toxicity": op4_toxicity, "op5_media": op5_media, "op7_mixing": op7_mixing, "op9_decontaminate": op9_decontaminate, "op10_lm_score": op10_lm_score}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_mixing": OP7_SQL}
