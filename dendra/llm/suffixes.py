@@ -13,7 +13,7 @@ executor numbers equal prefixes alike without a common rank table.
    decides for the whole run.
 3. Where runs of one anchor differ but agree on the bytes before or behind it, as
    two runs with a common window must, only their first documents come again, and
-   each of their windows is refined on its own identifier.
+   each of their windows on the side that agrees is refined on its own identifier.
 
 Records travel packed: one row is (bucket, kind, blob) with numpy columns in a
 compressed blob, so memory is that of one bucket, never of a partition.
@@ -38,9 +38,9 @@ _ROW = "bucket int, kind int, blob binary"
 _rng = np.random.default_rng(20240501)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _K = [np.uint64(int(k) * 2 + 1) for k in _rng.integers(1 << 61, 1 << 62, 12)]
-_RUN = (np.uint32, np.uint8, np.uint32, np.uint16, np.uint8, np.uint8, np.int64, np.uint16, np.uint32, np.uint8)  # anchor bucket (40 bits), run (48 bits), bytes before and behind, document, tag, start, last start
-_SPAN = (np.int64, np.uint16, np.uint32, np.uint32)  # document, tag, from, to
-_WINDOW = (np.uint64, np.int64, np.uint16, np.uint32)  # identifier, document, tag, start
+_RUN = (np.uint32, np.uint32, np.uint8, np.uint8, np.uint8, np.uint8, np.int64, np.uint16, np.uint32, np.uint8)  # anchor bucket, run (40 bits), bytes before and behind, anchor's place, document, tag, start, last start
+_SPAN = (np.int64, np.uint16, np.uint32, np.uint32)  # document, tag, from, how long
+_WINDOW = (np.uint32, np.uint16, np.uint8, np.int64, np.uint16, np.uint32)  # identifier (56 bits), document, tag, start
 _REMOVE, _LOOK, _TEXT = 0, 1, 2
 
 
@@ -135,7 +135,7 @@ def _runs(x: np.ndarray, ends: np.ndarray, length: int, q: int) -> tuple[np.ndar
     last[:-1] &= ~valid[1:] | (anchor[1:] != anchor[:-1])
     a, b = np.flatnonzero(first), np.flatnonzero(last)
     run = _mix(ids.full[a] * _K[6] + ids.full[b] * _K[7] + (b - a).astype(np.uint64))
-    return a, b, ids.gram[anchor[a]], run, ids.before(anchor[a]), ids.behind(anchor[a])
+    return a, b, ids.gram[anchor[a]], run, ids.before(anchor[a]), ids.behind(anchor[a]), anchor[a] - a
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -193,11 +193,10 @@ def _anchors(length: int, q: int, buckets: int):
         where: list[np.ndarray] = []
         size = 0
         for x, ends, doc, tag, offset in _pieces(batches, length):
-            a, b, gram, ident, before, behind = _runs(x, ends, length, q)
+            a, b, gram, ident, before, behind, place = _runs(x, ends, length, q)
             piece = np.searchsorted(ends, a, side="right")
             start = a - np.concatenate([[0], ends[:-1]])[piece] + offset[piece]
-            high = gram >> np.uint64(24)
-            for column, values in zip(held, (high & np.uint64(0xFFFFFFFF), high >> np.uint64(32), ident & np.uint64(0xFFFFFFFF), (ident >> np.uint64(32)) & np.uint64(0xFFFF), before, behind, doc[piece], tag[piece], start, b - a), strict=True):
+            for column, values in zip(held, (gram >> np.uint64(32), ident & np.uint64(0xFFFFFFFF), (ident >> np.uint64(32)) & np.uint64(0xFF), before, behind, place, doc[piece], tag[piece], start, b - a), strict=True):
                 column.append(values)
             where.append(((gram & np.uint64(0xFFFFFF)) % np.uint64(buckets)).astype(np.int64))
             size += len(x)
@@ -238,22 +237,21 @@ def _edges(*columns: np.ndarray) -> np.ndarray:
     return new
 
 
-def _refine(length: int, buckets: int):
+def _refine(length: int, q: int, homes: int):
     """Anchor buckets refined by run: spans to remove, and runs whose windows have to be looked at one by one."""
 
     def work(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-        low, high, r0, r1, before, behind, doc, tag, start, more = _unpack(blobs, _RUN)
-        key = low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32)
+        key, r0, r1, before, behind, place, doc, tag, start, more = _unpack(blobs, _RUN)
         ident = r0.astype(np.uint64) | r1.astype(np.uint64) << np.uint64(32)
         order = np.lexsort((doc, ident, key))
-        key, ident, before, behind, doc, tag, start, more = (c[order] for c in (key, ident, before, behind, doc, tag, start, more))
+        key, ident, before, behind, place, doc, tag, start, more = (c[order] for c in (key, ident, before, behind, place, doc, tag, start, more))
         new_key, new_run = _edges(key), _edges(key, ident)
         key_at, run_at = np.cumsum(new_key) - 1, np.cumsum(new_run) - 1
         gone = doc > doc[np.flatnonzero(new_run)][run_at]
         several = np.add.reduceat(new_run.astype(np.int64), np.flatnonzero(new_key))[key_at] > 1
-        look = np.zeros(len(doc), bool)
+        agree = np.zeros((2, len(doc)), bool)
         at = np.flatnonzero(~gone & several)
-        for side in (before, behind):
+        for look, side in zip(agree, (before, behind), strict=True):
             by = at[np.lexsort((ident[at], side[at], key[at]))]
             if len(by):
                 new, fresh = _edges(key[by], side[by]), _edges(key[by], side[by], ident[by])
@@ -261,20 +259,26 @@ def _refine(length: int, buckets: int):
                 runs = np.add.reduceat(fresh.astype(np.int64), first)[group]
                 apart = np.minimum.reduceat(doc[by], first)[group] < np.maximum.reduceat(doc[by], first)[group]
                 look[by] |= (runs > 1) & apart
-        for mask, kind, tail in ((gone, _REMOVE, length), (look, _LOOK, 1)):
-            if mask.any():
-                d, t, s = doc[mask], tag[mask], start[mask]
-                yield from _deal([[d], [t], [s], [(s + more[mask] + tail).astype(np.uint32)]], _home(d, t, buckets), kind)
+        if gone.any():
+            d, t, s = doc[gone], tag[gone], start[gone]
+            yield from _deal([[d], [t], [s], [more[gone] + np.uint32(length)]], _home(d, t, homes), _REMOVE)
+        part, place = (length - q + 1) // 2, place.astype(np.int64)  # a window with the whole part before it starts so early, and so on
+        first = np.where(agree[0], 0, np.maximum(0, place - part))
+        last = np.where(agree[1], more, np.minimum(more, place - part))
+        look = agree.any(axis=0) & (first <= last)
+        if look.any():
+            d, t = doc[look], tag[look]
+            yield from _deal([[d], [t], [(start[look] + first[look]).astype(np.uint32)], [(last - first + 1)[look].astype(np.uint32)]], _home(d, t, homes), _LOOK)
 
     return work
 
 
-def _texts(buckets: int):
+def _texts(homes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc = batch.column(0).to_numpy(zero_copy_only=False)
             tag = batch.column(1).to_numpy(zero_copy_only=False)
-            home = _home(doc, tag.astype(np.uint16), buckets)
+            home = _home(doc, tag.astype(np.uint16), homes)
             size = np.zeros(len(doc), np.int64)
             parts: dict[int, list[int]] = {}
             for i, (h, text) in enumerate(zip(home.tolist(), batch.column(2), strict=True)):
@@ -311,9 +315,10 @@ class _Spans:
     """Spans of one bucket of documents, sorted; looked up by document and tag."""
 
     def __init__(self, blobs: list[bytes]):
-        doc, tag, start, end = _unpack(blobs, _SPAN)
+        doc, tag, start, size = _unpack(blobs, _SPAN)
         order = np.lexsort((start, tag, doc))
-        self.doc, self.tag, self.start, self.end = doc[order], tag[order], start[order].astype(np.int64), end[order].astype(np.int64)
+        self.doc, self.tag, self.start = doc[order], tag[order], start[order].astype(np.int64)
+        self.end = self.start + size[order]
         new = np.flatnonzero(_edges(self.doc, self.tag)).tolist() if len(order) else []
         self.at = {(int(self.doc[s]), int(self.tag[s])): (int(s), int(e)) for s, e in zip(new, [*new[1:], *[len(order)] * bool(new)], strict=True)}
 
@@ -344,7 +349,7 @@ def _windows(length: int, q: int, buckets: int):
 
     def rows(texts: pa.Table, spans: pa.Table) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = [[] for _ in _WINDOW]
-        n = 0
+        where: list[np.ndarray] = []
         if not spans.num_rows:
             return
         for doc, tag, raw, start, end in _with_texts(texts, spans):
@@ -360,28 +365,27 @@ def _windows(length: int, q: int, buckets: int):
                 own = at[(at >= s) & (at < s + step)]
                 if len(own):
                     full = Ladder(x[s : s + step + length - 1], length, q).full
-                    for column, values in zip(held, (full[own - s], np.full(len(own), doc, np.int64), np.full(len(own), tag, np.uint16), own.astype(np.uint32)), strict=True):
+                    ident = full[own - s]
+                    for column, values in zip(held, (ident >> np.uint64(32), (ident >> np.uint64(16)) & np.uint64(0xFFFF), (ident >> np.uint64(8)) & np.uint64(0xFF), np.full(len(own), doc, np.int64), np.full(len(own), tag, np.uint16), own.astype(np.uint32)), strict=True):
                         column.append(values)
-                    n += len(own)
-            if n > 1 << 20:
-                yield from _deal(held, (np.concatenate(held[0]) % np.uint64(buckets)).astype(np.int64), _LOOK)
-                held, n = [[] for _ in _WINDOW], 0
-        if n:
-            yield from _deal(held, (np.concatenate(held[0]) % np.uint64(buckets)).astype(np.int64), _LOOK)
+                    where.append((ident % np.uint64(buckets)).astype(np.int64))
+        if where:
+            yield from _deal([[np.concatenate(c).astype(k)] for c, k in zip(held, _WINDOW, strict=True)], np.concatenate(where), _LOOK)
 
     return run
 
 
-def _decide(length: int, buckets: int):
+def _decide(length: int, homes: int):
     def work(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-        ident, doc, tag, start = _unpack(blobs, _WINDOW)
+        high, middle, low, doc, tag, start = _unpack(blobs, _WINDOW)
+        ident = high.astype(np.uint64) << np.uint64(24) | middle.astype(np.uint64) << np.uint64(8) | low.astype(np.uint64)
         order = np.lexsort((doc, ident))
         ident, doc, tag, start = (c[order] for c in (ident, doc, tag, start))
         new = _edges(ident)
         gone = doc > doc[np.flatnonzero(new)][np.cumsum(new) - 1]
         if gone.any():
             d, t, s = doc[gone], tag[gone], start[gone]
-            yield from _deal([[d], [t], [s], [s + np.uint32(length)]], _home(d, t, buckets), _REMOVE)
+            yield from _deal([[d], [t], [s], [np.full(len(s), length, np.uint32)]], _home(d, t, homes), _REMOVE)
 
     return work
 
@@ -424,7 +428,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, q: int = 20, keep_text: bo
         raise ValueError("q has to be even, 4 at least, and less than length, by 255 at most")
     spark = docs.sparkSession
     parts = partitions_for(spark)
-    buckets = 8 * parts
+    buckets = 2 * parts  # of anchors; texts and windows have one for each partition
     text = text_of("text").cast("binary")
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc"), F.xxhash64(text_of("text")).bitwiseAND(0xFFFF).cast("int").alias("tag"), text.alias("text"))
 
@@ -432,10 +436,10 @@ def remove_repeats(docs: DataFrame, length: int = 50, q: int = 20, keep_text: bo
         return df.repartition(parts, "bucket").sortWithinPartitions("bucket", "kind")
 
     runs = rows.mapInArrow(_anchors(length, q, buckets), _ROW)
-    found = cut(dealt(runs).mapInArrow(_each_bucket(_refine(length, buckets)), _ROW))
-    texts = rows.mapInArrow(_texts(buckets), _ROW).groupBy("bucket")  # both cogroups read the same exchange
-    windows = texts.cogroup(found.where(F.col("kind") == _LOOK).groupBy("bucket")).applyInArrow(_windows(length, q, buckets), _ROW)
-    late = dealt(windows).mapInArrow(_each_bucket(_decide(length, buckets)), _ROW)
+    found = cut(dealt(runs).mapInArrow(_each_bucket(_refine(length, q, parts)), _ROW))
+    texts = rows.mapInArrow(_texts(parts), _ROW).groupBy("bucket")  # both cogroups read the same exchange
+    windows = texts.cogroup(found.where(F.col("kind") == _LOOK).groupBy("bucket")).applyInArrow(_windows(length, q, parts), _ROW)
+    late = dealt(windows).mapInArrow(_each_bucket(_decide(length, parts)), _ROW)
     spans = found.where(F.col("kind") == _REMOVE).union(late)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept binary"
     return texts.cogroup(spans.groupBy("bucket")).applyInArrow(_kept(keep_text), schema)
