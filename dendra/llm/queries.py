@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, media, mixing, ngrams, quality, simhash, suffixes, toxicity
+from . import chat, decontaminate, media, mixing, ngrams, quality, simhash, suffixes, toxicity
 from .common import fold, shared_dir, table
 
 
@@ -41,6 +41,30 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.features(media.store(table(spark, sf_dir, "documents"), shared_dir(spark, "media")))
 
 
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    made = chat.format_trees(chat.turns_as_tree(turns.unionByName(extra)))
+    back = made.withColumn("parts", chat.parse(F.col("formatted")))
+    said = F.array_join(F.transform("parts", lambda p: F.concat(chat.role_of(p), F.lit("\n"), chat.text_of_turn(p), F.lit("\n"))), "")
+    masked = F.transform(F.arrays_zip("parts", "spans"), lambda z: chat.unescape(F.substring(z["parts"], z["spans"]["start"] - z["spans"]["begin"] - len(chat.START) + 1, z["spans"]["length"])))
+    loss = back.withColumn("said", said).withColumn("loss", F.array_join(masked, ""))
+    return loss.select("conv_id", F.size("parts").cast("long").alias("n_turns"), F.sha2("said", 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+_CONTROL_SQL = r"(\\*(<\|im_start\|>|<\|im_end\|>|<\|im_sep\|>|<\|endoftext\|>|<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>))"
+OP6_SQL = rf"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(12 + length(replace(replace(replace(role, '%', '%25'), chr(10), '%0A'), '<', '%3C')) + 1 + length(regexp_replace(text, '{_CONTROL_SQL}', '\\\1', 'g')) + 12)::BIGINT AS formatted_chars
+FROM c GROUP BY conv_id
+"""
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
@@ -85,8 +109,8 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_quality": op1_quality, "op2_suffix_dedup": op2_suffix_dedup, "op3_simhash": op3_simhash, "op4_toxicity": op4_toxicity, "op5_media": op5_media, "op7_mixing": op7_mixing, "op9_decontaminate": op9_decontaminate, "op10_lm_score": op10_lm_score}
+    return {"op1_quality": op1_quality, "op2_suffix_dedup": op2_suffix_dedup, "op3_simhash": op3_simhash, "op4_toxicity": op4_toxicity, "op5_media": op5_media, "op6_chat": op6_chat, "op7_mixing": op7_mixing, "op9_decontaminate": op9_decontaminate, "op10_lm_score": op10_lm_score}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": OP7_SQL}
+    return {"op6_chat": OP6_SQL, "op7_mixing": OP7_SQL}
