@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, media, mixing, ngrams, quality, simhash, suffixes, toxicity
-from .common import fold, shared_dir, table
+from . import chat, decontaminate, lines, media, mixing, ngrams, quality, simhash, suffixes, toxicity
+from .common import fold, shared_dir, table, text_of
 
 
 def _hex64(value: Column) -> Column:
@@ -98,6 +98,29 @@ FROM p
 """
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    gone = lines.removals(docs).groupBy("row").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"), F.array_join(F.transform(F.array_sort(F.collect_list("pos")), lambda p: p.cast("string")), ",").alias("removed"))
+    rows = docs.select("doc_id", F.xxhash64(F.col("doc_id").cast("long"), "text").alias("row"), F.size(F.split(text_of(), "\n", -1)).cast("long").alias("n_lines"))
+    none = F.lit(0).cast("long")
+    return rows.join(gone, "row", "left").select("doc_id", "n_lines", F.coalesce("n", none).alias("n_removed"), F.coalesce("chars", none).alias("removed_chars"), F.coalesce("removed", F.lit("")).alias("removed"))
+
+
+OP8_SQL = """
+WITH l AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS pos
+  FROM documents),
+f AS (SELECT line, length(line) AS n, min((doc_id, pos)) AS first FROM l WHERE length(line) >= 24 GROUP BY line),
+near AS (
+  SELECT DISTINCT a.line FROM f a JOIN f b ON b.n BETWEEN a.n - 2 AND a.n + 2 AND b.first < a.first AND levenshtein(a.line, b.line) <= 2),
+gone AS (
+  SELECT doc_id, pos, n FROM l JOIN f USING (line) LEFT JOIN near USING (line) WHERE near.line IS NOT NULL OR (doc_id, pos) <> first)
+SELECT d.doc_id, len(string_split(coalesce(text, ''), chr(10)))::BIGINT AS n_lines, count(g.pos) AS n_removed,
+  coalesce(sum(g.n), 0)::BIGINT AS removed_chars, coalesce(string_agg(g.pos::VARCHAR, ',' ORDER BY g.pos), '') AS removed
+FROM documents d LEFT JOIN gone g ON d.doc_id = g.doc_id GROUP BY d.doc_id, d.text
+"""
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -109,8 +132,8 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_quality": op1_quality, "op2_suffix_dedup": op2_suffix_dedup, "op3_simhash": op3_simhash, "op4_toxicity": op4_toxicity, "op5_media": op5_media, "op6_chat": op6_chat, "op7_mixing": op7_mixing, "op9_decontaminate": op9_decontaminate, "op10_lm_score": op10_lm_score}
+    return {"op1_quality": op1_quality, "op2_suffix_dedup": op2_suffix_dedup, "op3_simhash": op3_simhash, "op4_toxicity": op4_toxicity, "op5_media": op5_media, "op6_chat": op6_chat, "op7_mixing": op7_mixing, "op8_line_dedup": op8_line_dedup, "op9_decontaminate": op9_decontaminate, "op10_lm_score": op10_lm_score}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat": OP6_SQL, "op7_mixing": OP7_SQL}
+    return {"op6_chat": OP6_SQL, "op7_mixing": OP7_SQL, "op8_line_dedup": OP8_SQL}
