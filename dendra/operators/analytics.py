@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut as cut_lineage
+
 _INF = float("inf")
 
 
@@ -39,23 +41,21 @@ def ancestors(condensed: DataFrame, n: int) -> DataFrame:
     """(cluster, ancestor): all clusters at or above each cluster. Doubling: rounds are the logarithm of the depth."""
     step = cluster_rows(condensed, n).select(F.col("child").alias("cluster"), F.col("parent").alias("ancestor")).distinct()
     ids = condensed.select(F.col("parent").alias("cluster")).union(step.select("cluster")).distinct()
-    closed = ids.select("cluster", F.col("cluster").alias("ancestor")).union(step).persist()
+    closed = cut_lineage(ids.select("cluster", F.col("cluster").alias("ancestor")).union(step))
     size = closed.count()
     while True:
         upper = closed.select(F.col("cluster").alias("ancestor"), F.col("ancestor").alias("upper"))
-        wider = closed.join(upper, "ancestor").select("cluster", F.col("upper").alias("ancestor")).distinct().persist()
-        grown = wider.count()
-        closed.unpersist()
-        closed = wider
+        closed = cut_lineage(closed.join(upper, "ancestor").select("cluster", F.col("upper").alias("ancestor")).distinct())
+        grown = closed.count()
         if grown == size:
             return closed
         size = grown
 
 
-def subtree_peaks(condensed: DataFrame, n: int) -> DataFrame:
-    """(cluster, peak): the largest density in a cluster or below it."""
+def subtree_peaks(condensed: DataFrame, n: int, above: DataFrame | None = None) -> DataFrame:
+    """(cluster, peak): the largest density in a cluster or below it. ``above``: the ancestors, if they are known."""
     own = own_peaks(condensed)
-    return ancestors(condensed, n).join(own, "cluster").groupBy(F.col("ancestor").alias("cluster")).agg(F.max("peak").alias("peak"))
+    return (ancestors(condensed, n) if above is None else above).join(own, "cluster").groupBy(F.col("ancestor").alias("cluster")).agg(F.max("peak").alias("peak"))
 
 
 def leaves(condensed: DataFrame, n: int) -> DataFrame:
@@ -75,8 +75,9 @@ def share_of_peak(density: Column, peak: Column) -> Column:
 
 def points(condensed: DataFrame, selected: DataFrame, n: int) -> DataFrame:
     """(id, label, probability, outlier_score) by the lowest selected cluster at or above each point."""
-    over = ancestors(condensed, n).join(selected.select(F.col("cluster").alias("ancestor")), "ancestor").groupBy("cluster").agg(F.max("ancestor").alias("chosen"))
-    peaks = subtree_peaks(condensed, n)
+    above = ancestors(condensed, n)
+    over = above.join(selected.select(F.col("cluster").alias("ancestor")), "ancestor").groupBy("cluster").agg(F.max("ancestor").alias("chosen"))
+    peaks = subtree_peaks(condensed, n, above)
     own = condensed.where(F.col("child") < n).select(F.col("child").alias("id"), F.col("parent").alias("cluster"), "lambda_val")
     rows = own.join(over, "cluster", "left").join(number_clusters(selected).select(F.col("cluster").alias("chosen"), "label"), "chosen", "left")
     rows = rows.join(peaks.select("cluster", F.col("peak").alias("peak_parent")), "cluster").join(peaks.select(F.col("cluster").alias("chosen"), F.col("peak").alias("peak_chosen")), "chosen", "left")
@@ -98,15 +99,14 @@ def persistences(condensed: DataFrame, selected: DataFrame, n: int) -> DataFrame
 def cut_components(edges: DataFrame, ids: DataFrame, cut: float, least: int) -> DataFrame:
     """(id, label): components of the edges under ``cut`` by least-label propagation, numbered by first appearance; small ones are -1."""
     near = edges.where(F.col("distance") < cut).select("src", "dst")
-    both = near.union(near.select("dst", "src")).persist()
-    label = ids.select("id", F.col("id").alias("root")).persist()
+    both = cut_lineage(near.union(near.select("dst", "src")))
+    label = cut_lineage(ids.select("id", F.col("id").alias("root")))
     while True:
         low = both.join(label, both["dst"] == label["id"]).groupBy("src").agg(F.min("root").alias("low"))
         moved = label.join(low, label["id"] == low["src"], "left").select("id", F.least("root", F.coalesce("low", "root")).alias("root"))
         jump = moved.select(F.col("id").alias("root"), F.col("root").alias("next"))
-        fresh = moved.join(jump, "root").select("id", F.least("root", "next").alias("root")).persist()
+        fresh = cut_lineage(moved.join(jump, "root").select("id", F.least("root", "next").alias("root")))
         changed = fresh.withColumnRenamed("root", "now").join(label, "id").where("now <> root").limit(1).count()
-        label.unpersist()
         label = fresh
         if not changed:
             break

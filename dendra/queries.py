@@ -1,17 +1,511 @@
-"""The registered queries of the clustering engine."""
+"""The registered queries of the clustering engine, each over whole tables, with DuckDB SQL where SQL can express it."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .functions import metrics as M
+from .operators import analytics, approximate, evaluation, neighbors
+from .operators.robust import robust_single_linkage
+from .operators.validity import validity
+from .plans.config import APPROXIMATE, LEAF, BranchConfig, Config, ExtractionConfig, RobustConfig
+from .plans.model import fit, fit_graph, fit_precomputed, select_algorithm
+from .sources import exports, vectors
+from .sources.generators import Recipe, generate
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+_Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(name: str, sql: str | None = None):
+    def keep(f):
+        _Q[name] = f
+        if sql is not None:
+            _SQL[name] = sql
+        return f
+
+    return keep
 
 
 def queries() -> dict:
-    return {}
+    return dict(_Q)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.vectors(_read(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+
+def _suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _read(spark, sf_dir, "supplier").withColumn("balance", F.col("s_acctbal") / 100)
+    return vectors.vectors(df, "s_suppkey", ["balance", "s_nationkey"])
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _read(spark, sf_dir, "part").withColumn("price", F.col("p_retailprice") / 10)
+    return vectors.vectors(df, "p_partkey", ["p_size", "price"])
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of the parts by size and price."""
+    return fit(_parts(spark, sf_dir), Config(min_cluster_size=10, min_samples=5)).points
+
+
+# --- distances -----------------------------------------------------------------------------
+
+_PAIR_SQL = """
+WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS f FROM embeddings),
+p AS (SELECT a.vec_id, list_zip(a.f, b.f) AS z FROM e a JOIN e b ON b.vec_id = a.vec_id + 1)
+SELECT vec_id, round({}, 8) AS distance FROM p
+"""
+_X, _Y = "x[1]", "x[2]"
+
+
+def _each(body: str, total: str = "list_sum") -> str:
+    return f"{total}(list_transform(z, lambda x: {body}))"
+
+
+_DISTANCES = {
+    "euclidean": (M.EUCLIDEAN, f"sqrt({_each(f'({_X}-{_Y})*({_X}-{_Y})')})"),
+    "sqeuclidean": (M.SQUARED_EUCLIDEAN, _each(f"({_X}-{_Y})*({_X}-{_Y})")),
+    "manhattan": (M.MANHATTAN, _each(f"abs({_X}-{_Y})")),
+    "chebyshev": (M.CHEBYSHEV, _each(f"abs({_X}-{_Y})", "list_max")),
+    "canberra": (M.CANBERRA, _each(f"CASE WHEN abs({_X})+abs({_Y})=0 THEN 0 ELSE abs({_X}-{_Y})/(abs({_X})+abs({_Y})) END")),
+    "braycurtis": (M.BRAYCURTIS, f"{_each(f'abs({_X}-{_Y})')} / {_each(f'abs({_X}+{_Y})')}"),
+    "minkowski3": (M.minkowski(3), f"pow({_each(f'pow(abs({_X}-{_Y}), 3)')}, 1.0::DOUBLE/3)"),
+}
+
+
+def _distance_query(metric: M.Metric):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        e = _embeddings(spark, sf_dir)
+        after = e.select((F.col("id") - 1).alias("id"), F.col("features").alias("y"))
+        return e.join(after, "id").select(F.col("id").alias("vec_id"), F.round(metric.distance(F.col("features"), F.col("y")), 8).alias("distance"))
+
+    return run
+
+
+for _name, (_metric, _sql) in _DISTANCES.items():
+    _query(f"distance_{_name}", _PAIR_SQL.format(_sql))(_distance_query(_metric))
+
+
+@_query("distance_dot", _PAIR_SQL.format(_each(f"{_X}*{_Y}")))
+def distance_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _embeddings(spark, sf_dir)
+    after = e.select((F.col("id") - 1).alias("id"), F.col("features").alias("y"))
+    return e.join(after, "id").select(F.col("id").alias("vec_id"), F.round(M.dot(F.col("features"), F.col("y")), 8).alias("distance"))
+
+
+# --- neighbours ----------------------------------------------------------------------------
+
+_RANKED = """
+WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS f FROM embeddings),
+r AS (
+  SELECT a.id, b.id AS nbr, list_distance(a.f, b.f) AS d, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.f, b.f), b.id) AS rank
+  FROM e a JOIN e b ON {})
+"""
+
+
+@_query("knn_join", _RANKED.format("a.id <> b.id") + "SELECT id, rank::INTEGER AS rank, nbr, round(d, 8) AS distance FROM r WHERE rank <= 5")
+def knn_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _embeddings(spark, sf_dir)
+    return neighbors.knn(e, e, 5, M.EUCLIDEAN, vectors.validate(e)).select("id", "rank", "nbr", F.round("distance", 8).alias("distance"))
+
+
+@_query("core_distance", _RANKED.format("a.id <> b.id") + "SELECT id, round(d, 8) AS core FROM r WHERE rank = 5")
+def core_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _embeddings(spark, sf_dir)
+    return neighbors.core_distances(e, 5, M.EUCLIDEAN, vectors.validate(e)).select("id", F.round("core", 8).alias("core"))
+
+
+@_query("prediction_core_distance", _RANKED.format("true") + "SELECT id, round(d, 8) AS core FROM r WHERE rank = 5")
+def prediction_core_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _embeddings(spark, sf_dir)
+    return neighbors.prediction_core_distances(e, 5, M.EUCLIDEAN, vectors.validate(e)).select("id", F.round("core", 8).alias("core"))
+
+
+_REACH = """
+WITH RECURSIVE s AS (SELECT s_suppkey AS id, [s_acctbal / 100, s_nationkey::DOUBLE] AS f FROM supplier),
+d AS (SELECT a.id AS a, b.id AS b, list_distance(a.f, b.f) AS d FROM s a JOIN s b ON a.id <> b.id),
+c AS (SELECT id, d AS core FROM (SELECT a AS id, d, row_number() OVER (PARTITION BY a ORDER BY d, b) AS r FROM d) WHERE r = {k}),
+mr AS (SELECT d.a, d.b, d.d, greatest(d.d / {alpha}, x.core, y.core) AS w FROM d JOIN c x ON x.id = d.a JOIN c y ON y.id = d.b)
+"""
+
+
+@_query("mutual_reachability", _REACH.format(k=5, alpha="2.0::DOUBLE") + "SELECT a, b, round(d, 8) AS distance, round(w, 8) AS reach FROM mr WHERE a < b")
+def mutual_reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _suppliers(spark, sf_dir)
+    core = neighbors.core_distances(s, 5, M.EUCLIDEAN, vectors.validate(s))
+    return neighbors.mutual_reachability(s, core, M.EUCLIDEAN, alpha=2.0).select("a", "b", F.round("distance", 8).alias("distance"), F.round("reach", 8).alias("reach"))
+
+
+# --- trees ---------------------------------------------------------------------------------
+
+_PRIM = """,
+p(v, best, src, step) USING KEY (v) AS (
+  SELECT id, CASE WHEN id = (SELECT min(id) FROM s) THEN 0.0 ELSE 'inf'::DOUBLE END, 0::BIGINT, CASE WHEN id = (SELECT min(id) FROM s) THEN 0 ELSE -1 END FROM s
+  UNION
+  (WITH t AS (SELECT max(step) AS k FROM recurring.p),
+    l AS (SELECT v FROM recurring.p, t WHERE step = k),
+    r AS (SELECT p.v, least(m.w, p.best) AS best, CASE WHEN m.w < p.best THEN l.v ELSE p.src END AS src
+      FROM recurring.p p, l, mr m WHERE p.step = -1 AND m.a = l.v AND m.b = p.v),
+    pick AS (SELECT v FROM r ORDER BY best, v LIMIT 1)
+   SELECT r.v, r.best, r.src, CASE WHEN r.v = pick.v THEN t.k + 1 ELSE -1 END FROM r, pick, t))
+"""
+
+
+@_query("minimum_spanning_tree", _REACH.format(k=5, alpha="1.0::DOUBLE") + _PRIM + "SELECT src, v AS dst, round(best, 8) AS distance FROM p WHERE step > 0")
+def minimum_spanning_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With Prim's order among ties, so that sources agree and not weights alone."""
+    return fit(_suppliers(spark, sf_dir), Config(min_cluster_size=5, min_samples=5)).mst.select("src", "dst", F.round("distance", 8).alias("distance"))
+
+
+@_query("mst_export", _REACH.format(k=5, alpha="1.0::DOUBLE") + _PRIM + 'SELECT src AS "from", v AS "to", round(best, 8) AS distance FROM p WHERE step > 0')
+def mst_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = fit(_suppliers(spark, sf_dir), Config(min_cluster_size=5, min_samples=5))
+    return exports.table(model.mst, "mst").withColumn("distance", F.round("distance", 8))
+
+
+@_query("mst_weight_by_blocks", _REACH.format(k=5, alpha="1.0::DOUBLE") + _PRIM + "SELECT count(*) AS edges, round(sum(best), 6) AS weight FROM p WHERE step > 0")
+def mst_weight_by_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distributed tree weighs what Prim's does."""
+    model = fit(_suppliers(spark, sf_dir), Config(min_cluster_size=5, min_samples=5, prim_rows=1, block_rows=64))
+    return model.mst.agg(F.count("*").alias("edges"), F.round(F.sum("distance"), 6).alias("weight"))
+
+
+_CUT = """,
+g(id, root) AS (
+  SELECT id, id FROM s
+  UNION
+  SELECT mr.b, g.root FROM g JOIN mr ON mr.a = g.id WHERE mr.w < 6.0),
+k AS (SELECT id, min(root) AS root FROM g GROUP BY id),
+z AS (SELECT root, dense_rank() OVER (ORDER BY root) - 1 AS label FROM k GROUP BY root HAVING count(*) >= 3)
+SELECT k.id, coalesce(z.label, -1)::INTEGER AS label FROM k LEFT JOIN z USING (root)
+"""
+
+
+@_query("robust_single_linkage", _REACH.format(k=3, alpha="sqrt(2.0::DOUBLE)") + _CUT)
+def robust_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return robust_single_linkage(_suppliers(spark, sf_dir), RobustConfig(cut=6.0, k=3, gamma=3)).labels
+
+
+@_query("cut_components", _REACH.format(k=3, alpha="1.0::DOUBLE") + _CUT)
+def cut_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same cut, by label propagation over the tree's edges."""
+    s = _suppliers(spark, sf_dir)
+    return analytics.cut_components(fit(s, Config(min_cluster_size=3, min_samples=3)).mst, s.select("id"), 6.0, 3)
+
+
+# --- analytics of a condensed tree: regions, nations, customers ------------------------------
+
+_TREE_SQL = """
+WITH n AS (SELECT count(*) AS n FROM customer),
+t AS (
+  SELECT n AS parent, n + 1 + r_regionkey AS child, 1 + r_regionkey * 0.25::DOUBLE AS lambda_val,
+    (SELECT count(*) FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = r_regionkey) AS child_size FROM region, n
+  UNION ALL
+  SELECT n + 1 + n_regionkey, n + 100 + n_nationkey, 3 + n_nationkey * 0.125::DOUBLE, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) FROM nation, n
+  UNION ALL
+  SELECT n + 100 + c_nationkey, row_number() OVER (ORDER BY c_custkey) - 1, 10 + floor(c_acctbal) / 1024, 1 FROM customer, n),
+b AS (SELECT child AS cluster, min(lambda_val) AS birth FROM t, n WHERE child >= n GROUP BY child UNION ALL SELECT n, 0.0::DOUBLE FROM n),
+o AS (SELECT parent AS cluster, max(lambda_val) AS peak FROM t GROUP BY parent),
+st AS (SELECT parent AS cluster, sum((lambda_val - birth) * child_size) AS stability FROM t JOIN b ON parent = cluster GROUP BY parent),
+k AS (SELECT n_nationkey + n + 100 AS cluster, n_regionkey + n + 1 AS region FROM nation, n),
+a AS (SELECT cluster, cluster AS ancestor FROM o UNION SELECT cluster, region FROM k UNION SELECT cluster, n FROM k, n UNION SELECT region, n FROM k, n),
+w AS (SELECT ancestor AS cluster, max(peak) AS peak FROM a JOIN o USING (cluster) GROUP BY ancestor)
+"""
+
+
+def _condensed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    customer, nation, region = (_read(spark, sf_dir, t) for t in ("customer", "nation", "region"))
+    n = customer.count()
+    sizes = customer.groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("size"))
+    placed = nation.join(sizes, "n_nationkey")
+    regions = placed.groupBy("n_regionkey").agg(F.sum("size").alias("size")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    from pyspark.sql import Window
+
+    order = F.row_number().over(Window.orderBy("c_custkey")) - 1
+    rows = (
+        regions.select(F.lit(n).cast("long").alias("parent"), (F.col("r_regionkey") + n + 1).cast("long").alias("child"), (1 + F.col("r_regionkey") * F.lit(0.25)).alias("lambda_val"), F.col("size").cast("long").alias("child_size"))
+        .union(placed.select((F.col("n_regionkey") + n + 1).cast("long"), (F.col("n_nationkey") + n + 100).cast("long"), 3 + F.col("n_nationkey") * F.lit(0.125), F.col("size").cast("long")))
+        .union(customer.select((F.col("c_nationkey") + n + 100).cast("long"), order.cast("long"), 10 + F.floor("c_acctbal") / 1024, F.lit(1).cast("long")))
+    )
+    return rows, n
+
+
+def _regions(tree: DataFrame, n: int) -> DataFrame:
+    return tree.where(F.col("parent") == n).select(F.col("child").alias("cluster"))
+
+
+@_query("tree_births", _TREE_SQL + "SELECT cluster, birth FROM b")
+def tree_births(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.births(*_condensed(spark, sf_dir))
+
+
+@_query("tree_stabilities", _TREE_SQL + "SELECT cluster, stability FROM st")
+def tree_stabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.stabilities(*_condensed(spark, sf_dir))
+
+
+@_query("tree_own_peaks", _TREE_SQL + "SELECT cluster, peak FROM o")
+def tree_own_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.own_peaks(_condensed(spark, sf_dir)[0])
+
+
+@_query("tree_subtree_peaks", _TREE_SQL + "SELECT cluster, peak FROM w")
+def tree_subtree_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.subtree_peaks(*_condensed(spark, sf_dir))
+
+
+@_query("tree_ancestors", _TREE_SQL + "SELECT cluster, ancestor FROM a")
+def tree_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.ancestors(*_condensed(spark, sf_dir))
+
+
+@_query("tree_leaves", _TREE_SQL + "SELECT cluster FROM k")
+def tree_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.leaves(*_condensed(spark, sf_dir))
+
+
+@_query(
+    "tree_points",
+    _TREE_SQL + "SELECT t.child AS id, (k.region - n.n - 1)::INTEGER AS label, least(lambda_val, r.peak) / r.peak AS probability, (p.peak - lambda_val) / p.peak AS outlier_score "
+    "FROM t, n JOIN k ON t.parent = k.cluster JOIN w r ON r.cluster = k.region JOIN w p ON p.cluster = t.parent WHERE t.child < n.n",
+)
+def tree_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tree, n = _condensed(spark, sf_dir)
+    return analytics.points(tree, _regions(tree, n), n)
+
+
+@_query(
+    "tree_persistences",
+    _TREE_SQL + "SELECT st.cluster, (st.cluster - n.n - 1)::INTEGER AS label, t.child_size AS size, round(stability / (t.child_size * (SELECT max(lambda_val) FROM t)), 9) AS persistence "
+    "FROM st, n JOIN t ON t.child = st.cluster WHERE t.parent = n.n",
+)
+def tree_persistences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tree, n = _condensed(spark, sf_dir)
+    return analytics.persistences(tree, _regions(tree, n), n).withColumn("persistence", F.round("persistence", 9))
+
+
+# --- partitions ------------------------------------------------------------------------------
+
+_LABELS_SQL = """
+WITH l AS (SELECT c_custkey AS id, CASE WHEN c_acctbal < 0 THEN -1 ELSE c_nationkey % 7 END AS a, length(c_mktsegment) AS b FROM customer),
+c AS (SELECT a, b, grouping(a, b) AS level, count(*) AS n FROM l GROUP BY GROUPING SETS ((a, b), (a), (b), ())),
+s AS (
+  SELECT coalesce(sum(n * (n - 1) / 2::DOUBLE) FILTER (level = 0), 0) AS joint, coalesce(sum(n * (n - 1) / 2::DOUBLE) FILTER (level = 1), 0) AS r,
+    coalesce(sum(n * (n - 1) / 2::DOUBLE) FILTER (level = 2), 0) AS k, coalesce(sum(n * (n - 1) / 2::DOUBLE) FILTER (level = 3), 0) AS total FROM c)
+"""
+
+
+def _two_labels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    c = _read(spark, sf_dir, "customer")
+    a = c.select(F.col("c_custkey").alias("id"), F.when(F.col("c_acctbal") < 0, -1).otherwise(F.col("c_nationkey") % 7).cast("int").alias("label"))
+    return a, c.select(F.col("c_custkey").alias("id"), F.length("c_mktsegment").alias("label"))
+
+
+@_query("contingency", _LABELS_SQL + "SELECT a::INTEGER AS a, b::INTEGER AS b, level::INTEGER AS level, n FROM c")
+def contingency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.contingency(*_two_labels(spark, sf_dir))
+
+
+@_query("adjusted_rand_index", _LABELS_SQL + "SELECT round((joint - r * k / total) / ((r + k) / 2 - r * k / total), 9) AS ari FROM s")
+def adjusted_rand_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.adjusted_rand_index(*_two_labels(spark, sf_dir)).select(F.round("ari", 9).alias("ari"))
+
+
+@_query("pair_agreement", _LABELS_SQL + "SELECT round(1 - (r + k - 2 * joint) / total, 9) AS agreement FROM s")
+def pair_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.pair_agreement(*_two_labels(spark, sf_dir)).select(F.round("agreement", 9).alias("agreement"))
+
+
+@_query("same_partition", "SELECT true AS same")
+def same_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, _ = _two_labels(spark, sf_dir)
+    return evaluation.same_partition(a, a.select("id", (5 - F.col("label")).alias("label")))
+
+
+@_query(
+    "canonical_labels",
+    _LABELS_SQL + "SELECT id, CASE WHEN l.a < 0 THEN -1 ELSE f.number END::INTEGER AS label FROM l LEFT JOIN (SELECT a, row_number() OVER (ORDER BY min(id)) - 1 AS number FROM l WHERE a >= 0 GROUP BY a) f ON f.a = l.a",
+)
+def canonical_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.canonical_labels(_two_labels(spark, sf_dir)[0]).select("id", F.col("label").cast("int").alias("label"))
+
+
+# --- graphs, generators, candidates ----------------------------------------------------------
+
+
+def _nation_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers of one region are neighbours at the difference of their balances."""
+    s = _read(spark, sf_dir, "supplier").join(_read(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "s_acctbal", "n_regionkey")
+    other = s.select(F.col("s_suppkey").alias("dst"), F.col("s_acctbal").alias("balance"), "n_regionkey")
+    return s.join(other, "n_regionkey").where("s_suppkey <> dst").select(F.col("s_suppkey").alias("src"), "dst", F.abs(F.col("s_acctbal") - F.col("balance")).alias("distance"))
+
+
+@_query(
+    "graph_core_distance",
+    "WITH s AS (SELECT s_suppkey AS id, s_acctbal AS b, n_regionkey AS r FROM supplier JOIN nation ON s_nationkey = n_nationkey), "
+    "d AS (SELECT x.id, abs(x.b - y.b) AS d, row_number() OVER (PARTITION BY x.id ORDER BY abs(x.b - y.b)) AS rank FROM s x JOIN s y ON x.r = y.r AND x.id <> y.id) "
+    "SELECT id, round(min(d) FILTER (rank = 2), 8) AS core, count(*) AS stored FROM d GROUP BY id",
+)
+def graph_core_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbors.graph_core_distances(_nation_graph(spark, sf_dir), 2).select("id", F.round("core", 8).alias("core"), "stored")
+
+
+@_query("generate_grid", "SELECT range AS id, ((range % 600) % 25)::DOUBLE AS x, ((range % 600) // 25)::DOUBLE AS y FROM range(1000)")
+def generate_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grid = generate(spark, Recipe("grid", "duplicate_grid", 1, 1000, 2, duplicate_fraction=0.4))
+    return grid.select("id", F.get("features", F.lit(0)).alias("x"), F.get("features", F.lit(1)).alias("y"))
+
+
+@_query("generate_blobs")
+def generate_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generate(spark, Recipe("blobs", "gaussian_blobs", 7, 1000, 3, clusters=4, spread=0.5))
+
+
+@_query("generate_noise")
+def generate_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generate(spark, Recipe("noise", "noise_mixture", 7, 1000, 2, clusters=4, spread=0.5, noise_fraction=0.7))
+
+
+def _candidates_sql() -> str:
+    width = approximate.Projections(40).window(5, 1 << 30)
+    parts = []
+    for p in range(approximate.PROJECTIONS):
+        a, b = (approximate.coefficient(p, d) for d in range(2))
+        parts.append(
+            f"SELECT x.id AS a, y.id AS b FROM (SELECT id, row_number() OVER (ORDER BY f[1] * ({a}) + f[2] * ({b}), id) AS r FROM s) x "
+            f"JOIN (SELECT id, row_number() OVER (ORDER BY f[1] * ({a}) + f[2] * ({b}), id) AS r FROM s) y ON y.r BETWEEN x.r - {width} AND x.r + {width} AND x.id <> y.id"
+        )
+    return "WITH s AS (SELECT s_suppkey AS id, [s_acctbal / 100, s_nationkey::DOUBLE] AS f FROM supplier) " + " UNION ".join(parts)
+
+
+@_query("candidate_pairs", _candidates_sql())
+def candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _suppliers(spark, sf_dir)
+    return approximate.Projections(40).pairs(s, 5, vectors.validate(s))
+
+
+# --- fits, checked against brute force and invariants in the tests ------------------------------
+
+
+@_query("fit_parts")
+def fit_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flagship(spark, sf_dir)
+
+
+@_query("fit_embeddings")
+def fit_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fit(_embeddings(spark, sf_dir), Config(min_cluster_size=5)).points
+
+
+@_query("fit_clusters")
+def fit_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fit(_parts(spark, sf_dir), Config(min_cluster_size=10, min_samples=5)).clusters
+
+
+@_query("single_linkage_tree")
+def single_linkage_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fit(_suppliers(spark, sf_dir), Config(min_cluster_size=5)).linkage
+
+
+@_query("condensed_tree")
+def condensed_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fit(_suppliers(spark, sf_dir), Config(min_cluster_size=5)).condensed
+
+
+@_query("extract_leaves")
+def extract_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fit(_parts(spark, sf_dir), Config(min_cluster_size=10, min_samples=5)).extract(ExtractionConfig(method=LEAF))[0]
+
+
+@_query("extract_epsilon")
+def extract_epsilon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fit(_parts(spark, sf_dir), Config(min_cluster_size=10, min_samples=5)).extract(ExtractionConfig(epsilon=1.5, persistence=0.01, max_cluster_size=500))[0]
+
+
+@_query("fit_approximate")
+def fit_approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fit(_suppliers(spark, sf_dir), Config(min_cluster_size=5, algorithm=APPROXIMATE)).points
+
+
+@_query("fit_sparse_graph")
+def fit_sparse_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers by place, chained so that the regions hang together."""
+    edges = _nation_graph(spark, sf_dir)
+    n = _read(spark, sf_dir, "supplier").count()
+    low = _read(spark, sf_dir, "supplier").agg(F.min("s_suppkey")).first()[0]
+    chain = spark.range(n - 1).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), F.lit(1e5).alias("distance"))
+    both = chain.union(chain.select("dst", "src", "distance")).union(edges.select(F.col("src") - low, F.col("dst") - low, "distance"))
+    return fit_graph(both.groupBy("src", "dst").agg(F.min("distance").alias("distance")), n, Config(min_cluster_size=3, min_samples=1)).points
+
+
+@_query("fit_precomputed")
+def fit_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _suppliers(spark, sf_dir)
+    low = s.agg(F.min("id")).first()[0]
+    x, y = s.select(F.col("id").alias("src"), F.col("features").alias("x")), s.select(F.col("id").alias("dst"), F.col("features").alias("y"))
+    edges = x.join(y, F.lit(True)).select((F.col("src") - low).alias("src"), (F.col("dst") - low).alias("dst"), M.EUCLIDEAN.distance(F.col("x"), F.col("y")).alias("distance"))
+    return fit_precomputed(edges, s.count(), Config(min_cluster_size=5)).points
+
+
+def _predicting(spark: SparkSession, sf_dir: str):
+    return fit(_parts(spark, sf_dir), Config(min_cluster_size=10, min_samples=5, prediction_data=True, branch_data=True))
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _read(spark, sf_dir, "part").withColumn("price", F.col("p_retailprice") / 10 + F.lit(0.05)).withColumn("size", F.col("p_size") + F.lit(0.25))
+    return vectors.vectors(df, "p_partkey", ["size", "price"])
+
+
+@_query("predict")
+def predict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _predicting(spark, sf_dir).predict(_asked(spark, sf_dir))
+
+
+@_query("predict_scores")
+def predict_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _predicting(spark, sf_dir).predict_scores(_asked(spark, sf_dir))
+
+
+@_query("membership_vectors")
+def membership_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _predicting(spark, sf_dir).membership(_asked(spark, sf_dir))
+
+
+@_query("all_points_membership")
+def all_points_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _predicting(spark, sf_dir).all_points_membership()
+
+
+@_query("detect_branches")
+def detect_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _predicting(spark, sf_dir).detect_branches(BranchConfig(graph="core", min_cluster_size=5)).points
+
+
+@_query("predict_branches")
+def predict_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _predicting(spark, sf_dir).detect_branches(BranchConfig(graph="core", min_cluster_size=5)).predict(_asked(spark, sf_dir))
+
+
+@_query("validity_index")
+def validity_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _suppliers(spark, sf_dir)
+    score, per = validity(s, fit(s, Config(min_cluster_size=5)).labels)
+    return spark.createDataFrame([(-1, score), *enumerate(per)], "label int, score double")
+
+
+@_query("select_algorithm")
+def selected_algorithm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([("embeddings", select_algorithm(_embeddings(spark, sf_dir))), ("part", select_algorithm(_parts(spark, sf_dir)))], "input string, algorithm string")
