@@ -90,7 +90,7 @@ class Ladder:
             wide = _join(wide, wide, depth, depth)
             depth *= 2
         if depth < length:  # the last step overlaps
-            wide = _join(wide, gram, length - q, q)
+            wide = _join(wide, wide, length - depth, depth)
         self.full = _mix(wide)
         self.q, self.part = q, (length - q + 1) // 2
         side, depth = one, 1
