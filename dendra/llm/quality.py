@@ -92,8 +92,8 @@ class QualityModel:
         return np.divide(vote, total, out=np.full(len(vote), self.base), where=total > 1e-9)
 
 
-def fit(labelled: DataFrame, sample: int = 4000, rank: int = 64, neighbours: int = 15, power: float = 8.0) -> QualityModel | None:
-    """Fit on ``labelled`` (doc_id, text, label 0/1); at most ``sample`` rows, chosen by a hash of the id, half of each label where there are as many."""
+def fit(docs: DataFrame, marks: DataFrame, sample: int = 4000, rank: int = 64, neighbours: int = 15, power: float = 8.0) -> QualityModel | None:
+    """Fit on the texts of ``docs`` that ``marks`` (doc_id, label 0/1) marks; at most ``sample`` of them, half of each label where there are as many."""
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,9 +103,7 @@ def fit(labelled: DataFrame, sample: int = 4000, rank: int = 64, neighbours: int
                 packed = [np.flatnonzero(r).astype(np.uint16).tobytes() + r[r > 0].astype(np.float32).tobytes() for r in rows]
                 yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), part.column(1)], names=["counts", "label"])
 
-    own = labelled.where("label IN (0, 1)").withColumn("at", F.xxhash64("doc_id", "text"))
-    halves = [own.where(F.col("label") == v).orderBy("at").limit(sample // 2) for v in (0, 1)]
-    got = halves[0].union(halves[1]).select(text_of(), F.col("label").cast("double").alias("label")).mapInArrow(counts, "counts binary, label double").toArrow()
+    got = sampled(docs, marks, (sample // 2, sample // 2)).select("text", F.col("label").cast("double")).mapInArrow(counts, "counts binary, label double").toArrow()
     if not got.num_rows:
         return None
     x = np.zeros((got.num_rows, TERMS), np.float32)
@@ -154,7 +152,19 @@ def score(docs: DataFrame, model: QualityModel | None, threshold: float = 0.7) -
     return docs.mapInArrow(run, StructType([*fields, StructField("score", DoubleType()), StructField("predicted", IntegerType())]))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, column: str) -> DataFrame:
-    """doc_id, text, label of the rows that ``labels`` marks; unlabelled rows and null ids fall out."""
-    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("label")).dropna().dropDuplicates(["doc_id"])
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).join(marks, "doc_id")
+def marked(labels: DataFrame, column: str) -> DataFrame:
+    """doc_id, label: the marks of one kind; nulls and values other than 0 and 1 fall out, of repeated ids one stays."""
+    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("label")).dropna()
+    return marks.where("label IN (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label"))
+
+
+def sampled(docs: DataFrame, marks: DataFrame, sample: tuple[int, int]) -> DataFrame:
+    """text, label of at most ``sample`` marked ids of label 0 and of label 1, chosen by a hash of the id.
+
+    Ids are chosen before texts are read: the broadcast side has at most as many rows as
+    the sample, and no text is shuffled. Rows that share an id all come.
+    """
+    there = marks.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi").withColumn("at", F.xxhash64("doc_id"))
+    chosen = [there.where(F.col("label") == v).orderBy("at", "doc_id").limit(n) for v, n in enumerate(sample)]
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    return texts.join(F.broadcast(chosen[0].union(chosen[1]).select("doc_id", "label")), "doc_id").select("text", "label")

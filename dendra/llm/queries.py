@@ -20,8 +20,8 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    marked = quality.labelled(docs, labels, "quality").where(fold(F.col("doc_id"), 4) != 2)
-    scored = quality.score(docs.select("doc_id", "text"), quality.fit(marked), threshold=0.7)
+    marks = quality.marked(labels, "quality").where(fold(F.col("doc_id"), 4) != 2)
+    scored = quality.score(docs.select("doc_id", "text"), quality.fit(docs, marks), threshold=0.7)
     return scored.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")
 
 
@@ -32,8 +32,8 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    marked = quality.labelled(docs, labels, "toxic").where(fold(F.col("doc_id"), 5) != 0)
-    scored = toxicity.score(docs.select("doc_id", "text"), toxicity.fit(marked), threshold=0.5)
+    marks = quality.marked(labels, "toxic").where(fold(F.col("doc_id"), 5) != 0)
+    scored = toxicity.score(docs.select("doc_id", "text"), toxicity.fit(docs, marks), threshold=0.5)
     return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
 
 

@@ -20,10 +20,9 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from .common import text_of
+from .quality import sampled
 
 _WINDOW = 64
 _LEVEL = 9
@@ -166,11 +165,11 @@ def _dictionaries(toxic: list[str], ordinary: list[str], size: int) -> tuple[byt
     return ordinary_dict, b"\x01".join([w[:-1] for w in whole] + pieces[::-1])[-size:]
 
 
-def fit(labelled: DataFrame, sample: tuple[int, int] = (4000, 1500), size: int = 4096) -> ToxicityModel | None:
-    """Fit on ``labelled`` (doc_id, text, label 0/1): at most ``sample`` distinct texts of label 0 and of label 1, chosen by a hash."""
-    own = labelled.where("label IN (0, 1)").select(F.col("label").cast("int").alias("label"), text_of().alias("text"), F.xxhash64("text").alias("at")).dropDuplicates(["label", "at"])
-    rows = [own.where(F.col("label") == v).orderBy("at").limit(sample[v]).toArrow() for v in (0, 1)]
-    ordinary, toxic = (r.column("text").to_pylist() for r in rows)
+def fit(docs: DataFrame, marks: DataFrame, sample: tuple[int, int] = (4000, 1500), size: int = 4096) -> ToxicityModel | None:
+    """Fit on the texts of ``docs`` that ``marks`` (doc_id, label 0/1) marks: at most ``sample`` of label 0 and of label 1, copies once."""
+    got = sampled(docs, marks, sample).toArrow()
+    rows = sorted(set(zip(got.column("text").to_pylist(), got.column("label").to_pylist(), strict=True)))
+    ordinary, toxic = ([t for t, label in rows if label == v] for v in (0, 1))
     if not ordinary and not toxic:
         return None
     plain, foul = _dictionaries(toxic, ordinary, size)
