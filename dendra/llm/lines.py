@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_of
+from .common import cut, partitions_for, text_of
 
 #: Lines within so many edits are near-duplicates; shorter lines than MIN_CHARS are always kept.
 THRESHOLD, MIN_CHARS = 2, 24
@@ -64,26 +64,42 @@ def _counts_apart(a: Column, b: Column) -> Column:
     return total
 
 
-def within(pairs: DataFrame, a: str, b: str, threshold: int) -> DataFrame:
-    """The rows of ``pairs`` whose strings ``a`` and ``b`` are within ``threshold`` edits, by a banded bit-parallel automaton.
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is evaluated once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _common(a: Column, b: Column) -> Column:
+    """How many characters both begin with, by halving steps; up to two million are found."""
+    steps = F.array(*(F.lit(1 << k) for k in range(20, -1, -1)))
+
+    def further(at: Column, step: Column) -> Column:
+        fits = (at + step <= F.length(a)) & (at + step <= F.length(b))
+        return F.when(fits & (F.substring(a, at + 1, step) == F.substring(b, at + 1, step)), at + step).otherwise(at)
+
+    return F.aggregate(steps, F.lit(0), further)
+
+
+def _apart(z: Column) -> Column:
+    """Both strings behind what they begin with, reversed."""
+
+    def rest(c: str, at: Column) -> Column:
+        return F.reverse(F.substring(z[c], at + 1, F.length(z[c]))).alias(c)
+
+    return _let(_common(z["s"], z["l"]), lambda at: F.struct(rest("s", at), rest("l", at)))
+
+
+def near(a: Column, b: Column, threshold: int) -> Column:
+    """Whether the edit distance is within ``threshold``, by a banded bit-parallel automaton.
 
-    For each number of errors a word holds the diagonals that can be reached; one step
-    for each character of the shorter string moves all diagonals of a word at once. All
-    words are packed in one long. Lengths may differ by ``threshold`` at most.
+    What both strings begin and end with is taken off first. For each number of errors a
+    word holds the diagonals that can be reached; one step for each character that is
+    left of the shorter string moves all diagonals of a word at once. All words are
+    packed in one long.
     """
     width = 2 * threshold + 1
     mask = (1 << width) - 1
-    swap = F.length(a) > F.length(b)
-    short, long = F.when(swap, F.col(b)).otherwise(F.col(a)), F.when(swap, F.col(a)).otherwise(F.col(b))
-    chars = pairs.select("*", F.split(short, "", -1).alias("__x"), F.split(long, "", -1).alias("__y"), F.length(short).alias("__n"), F.length(long).alias("__m"))
-
-    def equal(c: Column, i: Column) -> Column:
-        """Which diagonals have the character ``c`` where the ``i``-th character of the shorter string meets them."""
-        bits = F.lit(0).cast("long")
-        for d in range(width):
-            at = i + (d - threshold)
-            bits = bits.bitwiseOR(F.when((at >= 0) & (at < F.col("__m")) & (F.get("__y", at) == c), F.lit(1 << d).cast("long")).otherwise(F.lit(0).cast("long")))
-        return bits
+    begin = sum(sum(1 << (threshold + k) for k in range(e + 1)) << 8 * e for e in range(threshold + 1))
 
     def step(state: Column, met: Column) -> Column:
         out = fresh = F.shiftright(state, 0).bitwiseAND(mask).bitwiseAND(met)
@@ -93,11 +109,32 @@ def within(pairs: DataFrame, a: str, b: str, threshold: int) -> DataFrame:
             out = out.bitwiseOR(F.shiftleft(fresh, 8 * e))
         return out
 
-    begin = sum(sum(1 << (threshold + k) for k in range(e + 1)) << 8 * e for e in range(threshold + 1))
-    masks = chars.withColumn("__met", F.transform(F.slice("__x", F.lit(1), F.col("__n")), equal)).drop("__x", "__y")
-    ends = masks.withColumn("__end", F.aggregate("__met", F.lit(begin).cast("long"), step)).drop("__met")
-    reached = F.expr(f"shiftright(__end, {8 * threshold} + __m - __n + {threshold}) & 1")
-    return ends.where((F.col("__m") - F.col("__n") <= threshold) & (reached == 1)).drop("__end", "__n", "__m")
+    def automaton(v: Column) -> Column:
+        def equal(c: Column, i: Column) -> Column:
+            """Which diagonals have the character ``c`` where the ``i``-th character of the shorter string meets them."""
+            bits = F.lit(0).cast("long")
+            for d in range(width):
+                at = i + (d - threshold)
+                bits = bits.bitwiseOR(F.when((at >= 0) & (at < v["m"]) & (F.get(v["y"], at) == c), F.lit(1 << d).cast("long")).otherwise(F.lit(0).cast("long")))
+            return bits
+
+        end = F.aggregate(F.transform(F.slice(v["x"], F.lit(1), v["n"]), equal), F.lit(begin).cast("long"), step)
+        place = F.pow(F.lit(2), v["m"] - v["n"] + threshold).cast("long")
+        return F.shiftright(end, 8 * threshold).bitwiseAND(place) != 0
+
+    def verdict(z: Column) -> Column:
+        n, m = F.length(z["s"]), F.length(z["l"])
+        parts = F.struct(F.split(z["s"], "", -1).alias("x"), F.split(z["l"], "", -1).alias("y"), n.alias("n"), m.alias("m"))
+        return F.when(m - n > threshold, F.lit(False)).otherwise(_let(parts, automaton))
+
+    swap = F.length(a) > F.length(b)
+    ordered = F.struct(F.when(swap, b).otherwise(a).alias("s"), F.when(swap, a).otherwise(b).alias("l"))
+    return _let(_let(_let(ordered, _apart), _apart), verdict)
+
+
+def within(pairs: DataFrame, a: str, b: str, threshold: int) -> DataFrame:
+    """The rows of ``pairs`` whose strings ``a`` and ``b`` are near; one expression, so that no rule of the optimizer repeats its steps."""
+    return pairs.where(near(F.col(a), F.col(b), threshold))
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
@@ -123,9 +160,8 @@ def near_lines(lines: DataFrame, threshold: int = THRESHOLD, least: int = MIN_CH
     texts = own.groupBy("h").agg(F.first("line").alias("text"), first.alias("first"))
     texts = cut(texts)
     left, right = (texts.select(F.col("h").alias(s), F.col("text").alias(f"text_{s}"), F.col("first").alias(f"first_{s}")) for s in "ab")
-    both = pairs.join(left, "a").join(right, "b")
-    near = within(both, "text_a", "text_b", threshold)
-    return near.select(F.when(F.col("first_a") < F.col("first_b"), F.col("b")).otherwise(F.col("a")).alias("h")).distinct()
+    both = pairs.join(left, "a").join(right, "b").repartition(partitions_for(lines.sparkSession), "a", "b")
+    return within(both, "text_a", "text_b", threshold).select(F.when(F.col("first_a") < F.col("first_b"), F.col("b")).otherwise(F.col("a")).alias("h")).distinct()
 
 
 def removals(docs: DataFrame, threshold: int = THRESHOLD, least: int = MIN_CHARS) -> DataFrame:
