@@ -37,6 +37,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: A side of keys is broadcast up to this many rows, by a count taken first.
+BROADCAST_ROWS = 500_000
+
+
+def without(df: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """The rows of ``df`` whose key isn't in ``gone`` (distinct keys, materialised): by broadcast if these are few, else by a shuffled join."""
+    few = gone.count() <= BROADCAST_ROWS
+    return df.join(F.broadcast(gone) if few else gone, key, "left_anti")
+
+
 def text_of(column: str = "text") -> Column:
     """The text, null as empty."""
     return F.coalesce(F.col(column), F.lit(""))

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut, without
+
 #: Edits that are allowed for each character of an item.
 ERROR_RATE = 0.08
 #: Characters of items that are broadcast at once; more items are searched for in several passes.
@@ -144,4 +146,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR
     """The rows of ``docs`` without any match, all columns kept; rows with a null doc_id are judged by their text as well."""
     named = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
     hit = matches(named.select(F.col("__row").alias("doc_id"), "text"), benchmark, rate).select(F.col("doc_id").alias("__row")).distinct()
-    return named.join(hit, "__row", "left_anti").drop("__row")
+    return without(named, cut(hit), "__row").drop("__row")
