@@ -20,7 +20,7 @@ from .common import cut, partitions_for, text_of
 THRESHOLD, MIN_CHARS = 2, 24
 #: Lines to verify are looked up by broadcast up to this many, and by a shuffled join beyond.
 BROADCAST_LINES = 400_000
-_LETTERS = "etaonisr"
+_LETTERS = "etaonisrhldcumfp"
 
 
 def _segment(length: Column, number: int, count: int) -> tuple[Column, Column]:
@@ -47,11 +47,11 @@ def keys(line: Column, length: Column, threshold: int, least: int) -> Column:
 
 
 def letter_counts(line: Column) -> Column:
-    """Counts of eight letters modulo 16, packed."""
-    packed = F.lit(0)
+    """Counts of sixteen letters modulo 16, packed."""
+    packed = F.lit(0).cast("long")
     for i, c in enumerate(_LETTERS):
         n = F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))
-        packed = packed.bitwiseOR(F.shiftleft((n % 16).cast("int"), 4 * i))
+        packed = packed.bitwiseOR(F.shiftleft((n % 16).cast("long"), 4 * i))
     return packed
 
 
@@ -149,9 +149,11 @@ def near_lines(lines: DataFrame, threshold: int = THRESHOLD, least: int = MIN_CH
     length = F.length("line")
     hashed = long_lines.select("h", keys(F.col("line"), length, threshold, least).alias("keys"), letter_counts(F.col("line")).alias("letters"))
     distinct = hashed.groupBy("h").agg(F.first("keys").alias("keys"), F.first("letters").alias("letters"))
-    probes = distinct.select("h", "letters", F.explode("keys").alias("key")).where("key IS NOT NULL")
+    level = sum(min(i, threshold - i) * 2 + 1 for i in range(threshold + 1))  # so many keys are for lines of the same length, which need to meet one way only
+    tagged = F.transform("keys", lambda k, i: F.struct(k.alias("key"), (i < level).alias("even")))
+    probes = distinct.select("h", "letters", F.explode(tagged).alias("x")).select("h", "letters", "x.key", "x.even").where("key IS NOT NULL")
     index = distinct.select(F.col("h").alias("other"), F.col("letters").alias("letters_o"), F.explode(F.slice("keys", 1, threshold + 1)).alias("key"))
-    met = probes.join(index, "key").where((F.col("h") != F.col("other")) & (_counts_apart(F.col("letters"), F.col("letters_o")) <= 2 * threshold))
+    met = probes.join(index, "key").where(F.when(F.col("even"), F.col("h") < F.col("other")).otherwise(F.col("h") != F.col("other")) & (_counts_apart(F.col("letters"), F.col("letters_o")) <= 2 * threshold))
     pairs = cut(met.select(F.least("h", "other").alias("a"), F.greatest("h", "other").alias("b")).distinct())
     wanted = cut(pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).distinct())
     small = wanted.count() <= BROADCAST_LINES
