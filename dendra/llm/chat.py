@@ -68,7 +68,7 @@ def paths(nodes: DataFrame) -> DataFrame:
     held = leaves.select("conv", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("above"))
     endless = step.select("conv", F.col("node").alias("leaf")).distinct()  # steps that are left over go round in a cycle
     held = held.join(endless, ["conv", "leaf"], "left_anti")
-    for k, jump in enumerate(jumps):
+    for k, jump in reversed(list(enumerate(jumps))):  # the longest first, so that short paths stay few rows until the last rounds
         both = F.array_compact(F.array(F.struct("node", "above"), F.when(F.col("up").isNotNull(), F.struct(F.col("up").alias("node"), (F.col("above") + (1 << k)).alias("above")))))
         held = held.join(jump, ["conv", "node"], "left").select("conv", "leaf", F.explode(both).alias("x")).select("conv", "leaf", "x.node", "x.above")
     return held.select(F.nullif("conv", F.lit(_NO_CONV)).alias("conv_id"), F.col("leaf").alias("leaf_id"), F.col("node").alias("node_id"), "above")
