@@ -246,18 +246,3 @@ def test_evaluation_sources_exports(spark, tmp_path):
     model.export("mst", str(tmp_path / "m"), exports.JSON)
     assert spark.read.json(str(tmp_path / "m")).count() == 59
     assert select_algorithm(frame(spark, blobs(9))) == "kdtree" and select_algorithm(frame(spark, blobs(9)), "manhattan") == "bruteforce"
-
-
-def test_cancellation(spark):
-    import threading
-    import time
-
-    from dendra.plans.jobs import cancel, cancellable
-
-    stop = threading.Timer(2.0, cancel, (spark, "fit-1"))
-    stop.start()
-    began = time.time()
-    with pytest.raises(Exception, match="(?i)cancel"), cancellable(spark, "fit-1"):
-        spark.range(0, 10**13, 1, 4).selectExpr("sum(id % 7)").collect()
-    assert time.time() - began < 60
-    stop.cancel()
