@@ -26,18 +26,24 @@ _PAIRS = 1 << 21
 _BIG = 4096
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """64-bit SimHash of the word shingles; zero for a text without words."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """64-bit hashes of the word shingles, in their order; a text of fewer words is one shingle, a text without words has none."""
     words = _WORD.findall((text or "").encode("utf-8", "surrogatepass").translate(_LOWER))
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     line = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     n = max(1, len(words) - shingle + 1)
     start = np.concatenate([[0], ends[: n - 1] + 1]).tolist()
     end = ends[min(shingle, len(words)) - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(line[i:j], 42) for i, j in zip(start, end, strict=True)), np.uint64, n)
+    return np.fromiter((digest(line[i:j], 42) for i, j in zip(start, end, strict=True)), np.uint64, n)
+
+
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    """64-bit SimHash of the word shingles; zero for a text without words."""
+    h = shingle_hashes(text, shingle)
+    n = len(h)
     ones = np.zeros(64, np.int64)
     for at in range(0, n, 65536):
         part = h[at : at + 65536].astype("<u8").view(np.uint8).reshape(-1, 8)
