@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, partitions_for, text_of
 
-#: Lines within so many edits are near-duplicates; shorter lines than MIN_CHARS are always kept.
+#: Lines within so many edits are near-duplicates; shorter lines than MIN_CHARS are kept, except exact repeats where these are asked for.
 THRESHOLD, MIN_CHARS = 2, 24
 #: Lines to verify are looked up by broadcast up to this many, and by a shuffled join beyond.
 BROADCAST_LINES = 400_000
@@ -166,28 +166,31 @@ def near_lines(lines: DataFrame, threshold: int = THRESHOLD, least: int = MIN_CH
     return within(both, "text_a", "text_b", threshold).select(F.when(F.col("first_a") < F.col("first_b"), F.col("b")).otherwise(F.col("a")).alias("h")).distinct()
 
 
-def removals(docs: DataFrame, threshold: int = THRESHOLD, least: int = MIN_CHARS) -> DataFrame:
+def removals(docs: DataFrame, threshold: int = THRESHOLD, least: int = MIN_CHARS, short: bool = False) -> DataFrame:
     """(doc, row, pos, n_chars): the lines to remove.
 
     A line goes if an equal line stands before it in the order of doc_id, row and
     position, or if any earlier line is within ``threshold`` edits, itself removed or not.
     Null texts have one empty line. Null doc_ids come first. Rows equal in id and text
-    are one row. Lines shorter than ``least`` characters stay.
+    are one row. Lines shorter than ``least`` characters stay, or with ``short`` go if an
+    equal line stands before and they aren't blank.
     """
     lines = occurrences(docs)
     near = cut(near_lines(lines, threshold, least))
-    own = lines.where(F.length("line") >= least).select("doc", "row", "pos", F.xxhash64("line").alias("h"), F.length("line").alias("n_chars"))
+    long_enough = F.length("line") >= least
+    meant = (long_enough | (F.trim("line", F.lit(" \t\n\x0b\x0c\r")) != "")) if short else long_enough
+    own = lines.where(meant).select("doc", "row", "pos", F.xxhash64("line").alias("h"), F.length("line").alias("n_chars"))
     first = own.groupBy("h").agg(F.min(F.struct("doc", "row", "pos")).alias("first")).join(near.withColumn("near", F.lit(True)), "h", "left")
     return own.join(first, "h").where(F.col("near").isNotNull() | (F.struct("doc", "row", "pos") != F.col("first"))).select("doc", "row", "pos", "n_chars")
 
 
-def dedup(docs: DataFrame, threshold: int = THRESHOLD, least: int = MIN_CHARS) -> DataFrame:
+def dedup(docs: DataFrame, threshold: int = THRESHOLD, least: int = MIN_CHARS, short: bool = False) -> DataFrame:
     """``docs`` with the lines of ``removals`` taken out of text, all columns kept.
 
     n_chars, where ``docs`` has it, becomes the new length. Rows that lose no line are
     unchanged, null texts among them.
     """
-    gone = removals(docs, threshold, least).groupBy(F.col("row").alias("__row")).agg(F.array_sort(F.collect_set("pos")).alias("__gone"))
+    gone = removals(docs, threshold, least, short).groupBy(F.col("row").alias("__row")).agg(F.array_sort(F.collect_set("pos")).alias("__gone"))
     joined = docs.withColumn("__key", F.xxhash64("doc_id", "text")).join(gone, F.col("__key") == F.col("__row"), "left").drop("__key", "__row")
     lines = joined.withColumn("__lines", F.split("text", "\n", -1))
 
