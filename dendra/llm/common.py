@@ -19,7 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the cluster's shared checkpoint folder (a temporary one only where none is set)."""
+    """A fresh folder under the cluster's shared checkpoint folder (a temporary one only where none is set and the master is local)."""
     return f"{_checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
@@ -27,6 +27,8 @@ def _checkpoint_root(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     return (named or sc.getCheckpointDir()).rstrip("/")
 
@@ -47,6 +49,17 @@ def without(df: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     return df.join(F.broadcast(gone) if few else gone, key, "left_anti")
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Names like ``names`` that no column of ``df`` has, whatever the case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def text_of(column: str = "text") -> Column:
     """The text, null as empty."""
     return F.coalesce(F.col(column), F.lit(""))
