@@ -124,12 +124,14 @@ def fit(docs: DataFrame, marks: DataFrame, sample: int = 4000, rank: int = 64, n
     return QualityModel(idf, axes, _unit(z @ axes), y, float(y.mean()), neighbours, power)
 
 
-def score(docs: DataFrame, model: QualityModel | None, threshold: float = 0.7) -> DataFrame:
-    """All columns of ``docs`` with score and predicted; needs text.
+def score(docs: DataFrame, model: QualityModel | None, threshold: float = 0.7, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """All columns of ``docs`` with a score and a prediction, called as ``names`` says; needs text.
 
     The broadcast model is bounded by the sample and the term space. Null and empty
     texts get the sample's base rate. Without any labelled row every score is 0.5.
-    A column of ``docs`` named score or predicted is replaced.
+    Repeated rows score alike, neighbours that are equally near count by their place
+    among the labelled rows, texts may have any length, an empty table stays empty. A
+    column of ``docs`` that has one of the names is replaced.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -143,13 +145,13 @@ def score(docs: DataFrame, model: QualityModel | None, threshold: float = 0.7) -
                     s = np.full(part.num_rows, 0.5)
                 else:
                     s = model.score(np.stack([term_counts(t.as_py()) for t in texts])).round(6)
-                keep = [i for i, n in enumerate(part.schema.names) if n not in ("score", "predicted")]
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in keep), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*(part.schema.names[i] for i in keep), "score", "predicted"])
+                keep = [i for i, n in enumerate(part.schema.names) if n not in names]
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in keep), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*(part.schema.names[i] for i in keep), *names])
 
     from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-    fields = [f for f in docs.schema.fields if f.name not in ("score", "predicted")]
-    return docs.mapInArrow(run, StructType([*fields, StructField("score", DoubleType()), StructField("predicted", IntegerType())]))
+    fields = [f for f in docs.schema.fields if f.name not in names]
+    return docs.mapInArrow(run, StructType([*fields, StructField(names[0], DoubleType()), StructField(names[1], IntegerType())]))
 
 
 def marked(labels: DataFrame, column: str) -> DataFrame:
@@ -158,13 +160,18 @@ def marked(labels: DataFrame, column: str) -> DataFrame:
     return marks.where("label IN (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label"))
 
 
+#: Texts of more characters than this are not sampled, so that the sample's size is bounded in bytes too.
+SAMPLE_CHARS = 100_000
+
+
 def sampled(docs: DataFrame, marks: DataFrame, sample: tuple[int, int]) -> DataFrame:
     """text, label of at most ``sample`` marked ids of label 0 and of label 1, chosen by a hash of the id.
 
     Ids are chosen before texts are read: the broadcast side has at most as many rows as
-    the sample, and no text is shuffled. Rows that share an id all come.
+    the sample, and few texts are shuffled. Of rows that share an id the least text comes.
     """
     there = marks.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi").withColumn("at", F.xxhash64("doc_id"))
     chosen = [there.where(F.col("label") == v).orderBy("at", "doc_id").limit(n) for v, n in enumerate(sample)]
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    return texts.join(F.broadcast(chosen[0].union(chosen[1]).select("doc_id", "label")), "doc_id").select("text", "label")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).where(F.length("text") <= SAMPLE_CHARS)
+    own = texts.join(F.broadcast(chosen[0].union(chosen[1]).select("doc_id", "label")), "doc_id")
+    return own.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("text", "label")

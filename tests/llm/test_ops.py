@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dendra.llm import chat, decontaminate, lines, media, mixing, ngrams, quality, simhash, suffixes, toxicity
-from dendra.llm.common import stars
+from dendra.llm.common import fold, stars
 
 ODD = [(1, "a b c d"), (1, "a b c d"), (2, None), (3, ""), (None, "x y z"), (4, "é ü ß 中文\tA\x0bB"), (5, "w " * 30000), (6, "a b c d")]
 SCHEMA = "doc_id long, text string"
@@ -79,9 +79,27 @@ def test_toxicity_by_compression(spark):
     out = toxicity.score(docs, model).collect()
     held = [r for r in out if r["doc_id"] % 5 == 0]
     assert np.mean([(r["predicted"] == 1) == (r["doc_id"] % 4 == 0) for r in held]) > 0.95
+    assert b"blorgface" in model.toxic and b"blorgface" not in model.ordinary
     odd = {r["doc_id"]: r for r in toxicity.score(frame(spark, ODD), model).collect()}
     assert odd[2]["score"] == odd[3]["score"] and odd[3]["predicted"] == 0
     assert toxicity.fit(docs, quality.marked(marks.limit(0), "toxic")) is None
+    for only, rate in ((0, 0.0), (1, 1.0)):  # one label alone: its rate stands for every text
+        alone = toxicity.fit(docs, quality.marked(marks.where(f"toxic = {only}"), "toxic"))
+        assert alone == rate and {(r["score"], r["predicted"]) for r in toxicity.score(docs, alone).collect()} == {(rate, only)}
+    blank = spark.createDataFrame([(i, "") for i in range(20)], SCHEMA)
+    assert toxicity.fit(blank, quality.marked(spark.createDataFrame([(i, 0) for i in range(20)], "doc_id long, toxic int"), "toxic")) == 0.0
+    assert toxicity.score(docs.limit(0), model).count() == 0
+
+
+def test_toxicity_held_out_on_the_given_table(spark):
+    """On labelled rows that the fit didn't see."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    marks = quality.marked(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "toxic")
+    model = toxicity.fit(docs, marks.where(fold(F.col("doc_id"), 5) != 0))
+    held = toxicity.score(docs.join(marks.where(fold(F.col("doc_id"), 5) == 0), "doc_id").select("doc_id", "text", "label"), model)
+    n = {(r["label"], r["predicted"]): r["count"] for r in held.groupBy("label", "predicted").count().collect()}
+    hit = n.get((1, 1), 0)
+    assert 2 * hit / (2 * hit + n.get((0, 1), 0) + n.get((1, 0), 0)) > 0.65
 
 
 def removed(rows, length):
