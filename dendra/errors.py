@@ -21,6 +21,10 @@ class NonFinite(DendraError, ValueError):
     pass
 
 
+class InvalidDistance(DendraError, ValueError):
+    pass
+
+
 class InvalidPrecomputed(DendraError, ValueError):
     pass
 

@@ -18,8 +18,10 @@ from ..plans.config import Config
 from ..sources.vectors import Shape
 from .neighbors import reachability
 
+#: With the multipliers and the shift they decide the candidates, and so the results.
 PROJECTIONS = 4
 _M = (1 << 64) - 1
+_BY_DIMENSION, _BY_PROJECTION, _SHIFT = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 61
 
 
 class Backend(Protocol):
@@ -29,8 +31,8 @@ class Backend(Protocol):
 
 def coefficient(projection: int, dimension: int) -> int:
     """Between -4 and 3, from a hash of both numbers."""
-    h = ((dimension + 1) * 0x9E3779B97F4A7C15 + (projection + 1) * 0xBF58476D1CE4E5B9) & _M
-    return (h >> 61) - 4
+    h = ((dimension + 1) * _BY_DIMENSION + (projection + 1) * _BY_PROJECTION) & _M
+    return (h >> _SHIFT) - 4
 
 
 class Projections:

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..errors import InvalidDistance
 from ..functions.metrics import Metric
 from ..sources.vectors import Shape
 
@@ -30,8 +31,10 @@ def _matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
 def nearest(ids: np.ndarray, x: np.ndarray, base_ids: np.ndarray, base: np.ndarray, k: int, metric: Metric, keep_self: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(id, neighbour, distance): the k nearest of a block by (distance, id), in that order."""
     d = metric.kernel(x, base)
-    if not keep_self:
-        d[ids[:, None] == base_ids[None, :]] = np.nan
+    own = ids[:, None] == base_ids[None, :] if not keep_self else np.zeros(d.shape, bool)
+    if metric.name != "euclidean" and not ((d >= 0) & (d < np.inf) | own).all():
+        raise InvalidDistance(f"{metric.name} gave a distance that is negative or not finite")
+    d[own] = np.nan
     k = min(k, len(base_ids))
     if k < len(base_ids):
         kth = np.partition(np.where(np.isnan(d), np.inf, d), k - 1, axis=1)[:, k - 1]

@@ -1,9 +1,10 @@
 """Prediction for new points, and soft membership.
 
-The distance work is a neighbour join of the queries with the fitted vectors. What is
-looked up afterwards (the tree above a neighbour, peaks, merge heights, exemplars) is
-prepared once per fit and sent with the task; queries are scored batch by batch, without
-state, so that the same functions serve streams.
+The distance work is a search of the fitted vectors: sent with the task if they are
+small by a check of their size, which serves streams too, and a neighbour join beyond.
+Both give equal neighbours. What is looked up afterwards (the tree above a neighbour,
+peaks, merge heights, exemplars) is prepared once per fit and sent with the task;
+queries are scored batch by batch, without state.
 """
 
 from __future__ import annotations
@@ -13,9 +14,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import PredictionUnsupported
 from ..functions.metrics import Metric
 from ..sources import vectors
 from . import neighbors
@@ -24,13 +26,21 @@ from .tree import choose, nearest_chosen, own_peak, stabilities, subtree_peak
 _MAX = float(np.finfo(np.float64).max)
 
 
+#: Bytes of fitted vectors that go with a task at most; beyond, queries find their neighbours by a join.
+SENT_BYTES = 8 * neighbors.BROADCAST_BYTES
+
+
+def density_at(distance: np.ndarray) -> np.ndarray:
+    return np.divide(1.0, distance, out=np.full(len(distance), _MAX), where=distance > 0)
+
+
 @dataclass
 class Lookup:
     """What scoring needs of a fit, in places of points by ascending id."""
 
     ids: np.ndarray
-    x: np.ndarray
-    core: np.ndarray
+    x: np.ndarray | None
+    core: np.ndarray | None
     samples: int
     metric: Metric
     root: int
@@ -47,17 +57,25 @@ class Lookup:
 
     def nearest(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Connecting neighbour, density there, and the least distance, for each query."""
-        n = len(self.ids)
-        limit = max(1, min(2 * self.samples, n))
+        limit, own_at = self.reach()
         d = self.metric.kernel(q, self.x)
-        order = np.argsort(d, axis=1, kind="stable")[:, :limit]  # stable: among equal distances the smaller id
-        near = np.take_along_axis(d, order, axis=1)
-        own_core = near[:, min(self.samples, n - 1, limit - 1)]
-        reach = np.maximum(np.maximum(self.core[order], own_core[:, None]), near)
+        farthest = np.partition(d, limit - 1, axis=1)[:, limit - 1]
+        row, col = np.nonzero(d <= farthest[:, None])  # with all ties at the boundary
+        value = d[row, col]
+        order = np.lexsort((col, value, row))  # among equal distances the smaller id
+        row = row[order]
+        held = order[np.arange(len(row)) - np.searchsorted(row, np.arange(len(q)))[row] < limit]
+        place, near = col[held].reshape(len(q), limit), value[held].reshape(len(q), limit)
+        reach = np.maximum(np.maximum(self.core[place], near[:, own_at, None]), near)
         pick = reach.argmin(axis=1)
         best = reach[np.arange(len(q)), pick]
-        density = np.divide(1.0, best, out=np.full(len(q), _MAX), where=best > 0)
-        return order[np.arange(len(q)), pick], density, near[:, 0]
+        return place[np.arange(len(q)), pick], density_at(best), near[:, 0]
+
+    def reach(self) -> tuple[int, int]:
+        """How many neighbours are looked at, and the place of a query's own core distance among them."""
+        n = len(self.ids)
+        limit = max(1, min(2 * self.samples, n))
+        return limit, min(self.samples, n - 1, limit - 1)
 
     def label(self, neighbour: int, density: float) -> tuple[int, float]:
         cluster = int(self.point_cluster[neighbour])
@@ -87,7 +105,7 @@ class Lookup:
     def closeness(self, q: np.ndarray) -> np.ndarray:
         """Share of each selected cluster in the inverse distances to the nearest exemplar."""
         k = len(self.clusters)
-        least = np.stack([self.metric.kernel(q, self.x[e]).min(axis=1) if len(e) else np.full(len(q), np.inf) for e in self.exemplars], axis=1)
+        least = np.stack([self.metric.kernel(q, e).min(axis=1) if len(e) else np.full(len(q), np.inf) for e in self.exemplars], axis=1)
         with np.errstate(divide="ignore", over="ignore"):
             near = np.where(least == 0, _MAX / k, np.divide(1.0, least, out=np.full_like(least, _MAX / k), where=least > 0))
         return near / near.sum(axis=1, keepdims=True)
@@ -112,20 +130,22 @@ class Lookup:
 
 
 class Predictor:
-    def __init__(self, lookup: Lookup, df: DataFrame, columns: int):
-        self.df, self.columns, self.lookup = df, columns, lookup
+    def __init__(self, lookup: Lookup, df: DataFrame, core: DataFrame, model):
+        self.df, self.core, self.shape, self.config, self.lookup = df, core, model.shape, model.config, lookup
+        self.columns = model.shape.columns
         self.held = df.sparkSession.sparkContext.broadcast(lookup)
 
     @classmethod
     def of(cls, model) -> Predictor:
-        """From a fit. The vectors are broadcast, so their size is checked; larger fits are scored in slices of the fitted side by neighbour join first."""
+        """From a fit. Its ids and tree go with each task; its vectors do so if they have ``SENT_BYTES`` at most, else only the exemplars' do."""
         shape, config, tree = model.shape, model.config, model.tree
-        if shape.rows * shape.columns * 8 > 8 * neighbors.BROADCAST_BYTES:
-            raise ValueError("the fitted vectors are larger than what prediction may broadcast")
         core = neighbors.prediction_core_distances(model.vectors, config.min_samples, config.metric, shape, config.block_rows)
-        table = model.vectors.join(core, "id").select("id", "features", "core").toArrow()
+        sent = shape.rows * shape.columns * 8 <= SENT_BYTES
+        held = model.vectors.join(core, "id").select("id", "features", "core") if sent else model.vectors.select("id")
+        table = held.toArrow()
         order = np.argsort(table.column("id").to_numpy())
-        x = table.column("features").combine_chunks().flatten().to_numpy().reshape(-1, shape.columns)[order]
+        point_ids = table.column("id").to_numpy()[order]
+        x = _rows(table, shape.columns)[order] if sent else None
         ids = max(int(tree.parent.max()), int(tree.child.max())) + 1
         chosen = choose(tree, stabilities(tree), config.extraction)
         own = own_peak(tree, ids)
@@ -138,35 +158,63 @@ class Predictor:
         point_cluster[tree.child[~big]], point_density[tree.child[~big]] = tree.parent[~big], tree.density[~big]
         inner = set(tree.parent[big].tolist())
         tip = (~big) & (tree.density == own[tree.parent]) & ~np.isin(tree.parent, list(inner))
-        exemplars = [tree.child[tip & (over[tree.parent] == c)] for c in chosen]
+        places = [tree.child[tip & (over[tree.parent] == c)] for c in chosen]
+        if sent:
+            exemplars = [x[e] for e in places]
+        else:
+            named = df_of_ids(model.vectors.sparkSession, point_ids[np.concatenate([*places, np.zeros(0, np.int64)])])
+            mine = model.vectors.join(F.broadcast(named), "id").select("id", "features").toArrow()
+            at = dict(zip(mine.column("id").to_pylist(), _rows(mine, shape.columns), strict=True))
+            exemplars = [np.array([at[i] for i in point_ids[e].tolist()]).reshape(-1, shape.columns) for e in places]
         lookup = Lookup(
-            table.column("id").to_numpy()[order], x, table.column("core").to_numpy()[order], min(config.min_samples, shape.rows - 1), config.metric, int(tree.parent[0]), np.array(chosen, np.int64),
+            point_ids, x, table.column("core").to_numpy()[order] if sent else None, min(config.min_samples, shape.rows - 1), config.metric, int(tree.parent[0]), np.array(chosen, np.int64),
             np.array([number.get(int(c), -1) for c in over]), np.where(over >= 0, own[over], 0.0), own, subtree_peak(tree, ids), up, birth, point_cluster, point_density, exemplars,
         )
-        return cls(lookup, model.vectors, shape.columns)
+        return cls(lookup, model.vectors, core, model)
 
-    def apply(self, df: DataFrame, work: Callable[[Lookup, np.ndarray, np.ndarray], pa.RecordBatch], schema: str, check: bool = True) -> DataFrame:
-        """``work`` on the ids and vectors of each batch; streams can't be counted, so their vectors are checked in the task."""
-        if check and not df.isStreaming:
+    def apply(self, df: DataFrame, work: Callable[..., pa.RecordBatch], schema: str) -> DataFrame:
+        """``work`` on the ids, vectors, connecting neighbours, densities there and least distances of each batch; streams can't be counted, so their vectors are checked in the task."""
+        if not df.isStreaming:
             vectors.validate(df, columns=self.columns)
         held, columns = self.held, self.columns
+        rows = df.select(F.col("id").cast("long"), F.col("features").cast("array<double>"))
+        if self.lookup.x is None:
+            if df.isStreaming:
+                raise PredictionUnsupported("a stream is scored against vectors that go with the task, and these are too large")
+            rows = self.connected(rows)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            look = held.value
             for batch in batches:
-                for at in range(0, batch.num_rows, 512):
-                    part = batch.slice(at, 512)
+                for at in range(0, batch.num_rows, 256):
+                    part = batch.slice(at, 256)
                     q = part.column(1).flatten().to_numpy(zero_copy_only=False)
                     if len(q) != part.num_rows * columns or not np.isfinite(q).all():
                         raise ValueError(f"vectors have to hold {columns} finite values")
-                    yield work(held.value, part.column(0).to_numpy(zero_copy_only=False), q.reshape(-1, columns))
-
-        return df.select(F.col("id").cast("long"), F.col("features").cast("array<double>")).mapInArrow(run, schema)
+                    q = q.reshape(-1, columns)
+                    if look.x is None:
+                        nbr, best, least = (part.column(i).to_numpy(zero_copy_only=False) for i in (2, 3, 4))
+                        found = np.searchsorted(look.ids, nbr), density_at(best), least
+                    else:
+                        found = look.nearest(q)
+                    yield work(look, part.column(0).to_numpy(zero_copy_only=False), q, *found)
+
+        return rows.mapInArrow(run, schema)
+
+    def connected(self, rows: DataFrame) -> DataFrame:
+        """id, features, nbr, reach, least: the connecting neighbour by a join with all fitted vectors."""
+        limit, own_at = self.lookup.reach()
+        near = neighbors.knn(rows, self.df, limit, self.config.metric, self.shape, keep_self=True, block_rows=self.config.block_rows)
+        near = near.join(self.core.withColumnRenamed("id", "nbr"), "nbr")
+        own = near.groupBy("id").agg(F.max(F.when(F.col("rank") == own_at + 1, F.col("distance"))).alias("own"), F.min("distance").alias("least"))
+        reach = F.greatest("core", "own", "distance")
+        best = near.join(own, "id").groupBy("id", "least").agg(F.min(F.struct(reach.alias("reach"), "rank", "nbr")).alias("best"))
+        return rows.join(best, "id").select("id", "features", "best.nbr", "best.reach", "least")
 
     def predict(self, df: DataFrame) -> DataFrame:
         """(id, label, probability)."""
 
-        def work(look: Lookup, ids: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
-            neighbour, density, _ = look.nearest(q)
+        def work(look: Lookup, ids: np.ndarray, q: np.ndarray, neighbour: np.ndarray, density: np.ndarray, least: np.ndarray) -> pa.RecordBatch:
             found = [look.label(a, d) if len(look.clusters) else (-1, 0.0) for a, d in zip(neighbour.tolist(), density.tolist(), strict=True)]
             return pa.RecordBatch.from_arrays([pa.array(ids), pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.float64())], names=["id", "label", "probability"])
 
@@ -175,8 +223,7 @@ class Predictor:
     def scores(self, df: DataFrame) -> DataFrame:
         """(id, outlier_score): negative where a point is denser than the fit's peak."""
 
-        def work(look: Lookup, ids: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
-            neighbour, density, least = look.nearest(q)
+        def work(look: Lookup, ids: np.ndarray, q: np.ndarray, neighbour: np.ndarray, density: np.ndarray, least: np.ndarray) -> pa.RecordBatch:
             density = np.where(least == 0, look.point_density[neighbour], density)
             top = look.peak[look.point_cluster[neighbour]]
             score = np.divide(top - density, top, out=np.zeros(len(q)), where=top > 0)
@@ -187,8 +234,7 @@ class Predictor:
     def membership(self, df: DataFrame) -> DataFrame:
         """(id, label, membership): a row for each selected cluster."""
 
-        def work(look: Lookup, ids: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
-            neighbour, density, _ = look.nearest(q)
+        def work(look: Lookup, ids: np.ndarray, q: np.ndarray, neighbour: np.ndarray, density: np.ndarray, least: np.ndarray) -> pa.RecordBatch:
             density = np.minimum(look.point_density[neighbour], density)
             return _memberships(look, ids, q, look.point_cluster[neighbour], density, fitted=False)
 
@@ -196,12 +242,27 @@ class Predictor:
 
     def all_points_membership(self) -> DataFrame:
         """(id, label, membership) of the fitted points."""
+        held, columns = self.held, self.columns
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            look = held.value
+            for batch in batches:
+                for at in range(0, batch.num_rows, 512):
+                    part = batch.slice(at, 512)
+                    ids = part.column(0).to_numpy(zero_copy_only=False)
+                    place = np.searchsorted(look.ids, ids)
+                    q = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, columns)
+                    yield _memberships(look, ids, q, look.point_cluster[place], look.point_density[place], fitted=True)
+
+        return self.df.select("id", "features").mapInArrow(run, _MEMBERSHIP)
+
+
+def _rows(table: pa.Table, columns: int) -> np.ndarray:
+    return table.column("features").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, columns)
 
-        def work(look: Lookup, ids: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
-            at = np.searchsorted(look.ids, ids)
-            return _memberships(look, ids, q, look.point_cluster[at], look.point_density[at], fitted=True)
 
-        return self.apply(self.df, work, _MEMBERSHIP, check=False)
+def df_of_ids(spark: SparkSession, ids: np.ndarray) -> DataFrame:
+    return spark.createDataFrame([(int(i),) for i in np.unique(ids)], "id long")
 
 
 _MEMBERSHIP = "id long, label int, membership double"

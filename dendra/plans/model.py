@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..errors import BranchDataMissing, BranchUnsupported, DendraError, Disconnected, InsufficientNeighbors, InvalidConfig, PredictionDataMissing, PredictionUnsupported
+from ..errors import BranchDataMissing, BranchUnsupported, DendraError, Disconnected, InsufficientNeighbors, InvalidConfig, InvalidDistance, PredictionDataMissing, PredictionUnsupported
 from ..functions.metrics import Metric, metric_of
 from ..operators import approximate, neighbors, spanning
 from ..operators.tree import Condensed, Edges, condense, connected, extract, kruskal, linkage, outliers, prim
@@ -70,13 +70,16 @@ def _single_task(df: DataFrame, run, schema: str = ROW) -> DataFrame:
 
 
 def select_algorithm(df: DataFrame, metric: Metric | str | None = None) -> str:
-    """The strategy that auto takes: blocks pruned in space for low Euclidean dimensions with spread, plain blocks else.
+    """The strategy's name under auto: kdtree for low Euclidean dimensions with spread, bruteforce else.
 
-    Both give the same neighbours here; the choice is reported, and decides whether
-    blocks are laid out along the widest coordinate.
+    It is reported and has no effect: neighbours come of the same blocks either way.
     """
     metric = metric_of(metric)
     shape = vectors.validate(df)
+    return _auto(df, metric, shape)
+
+
+def _auto(df: DataFrame, metric: Metric, shape: vectors.Shape) -> str:
     if metric.name != "euclidean" or not 0 < shape.columns <= _KD_COLUMNS or shape.rows < 32:
         return BRUTE
     spread = df.select(F.posexplode("features")).groupBy("pos").agg((F.max("col") > F.min("col")).cast("int").alias("wide")).agg(F.sum("wide")).first()[0]
@@ -206,7 +209,7 @@ def _checked(rows: DataFrame) -> DataFrame:
         rows.count()
     except Exception as error:
         rows.unpersist()
-        for kind in (Disconnected, InsufficientNeighbors):
+        for kind in (Disconnected, InsufficientNeighbors, InvalidDistance):
             if f"{kind.__name__}:" in str(error):
                 raise kind(str(error).split(f"{kind.__name__}:")[1].splitlines()[0].strip()) from None
         raise
@@ -229,7 +232,7 @@ def fit(df: DataFrame, config: Config | None = None) -> FittedModel:
         points = df.join(core, "id")
         name = config.algorithm
         if name == AUTO:
-            name = KDTREE if metric.name == "euclidean" and shape.columns <= _KD_COLUMNS and n >= 32 else BRUTE
+            name = _auto(df, metric, shape)
         if n <= config.prim_rows:
             rows = _single_task(points, _prim_kernel(config, metric, shape.columns))
         else:
@@ -269,6 +272,11 @@ def edge_kernel(config: Config):
     return run
 
 
+def fit_predict(df: DataFrame, config: Config | None = None) -> DataFrame:
+    """(id, label) of a fit that isn't kept."""
+    return fit(df, config).labels
+
+
 def fit_precomputed(edges: DataFrame, n: int, config: Config | None = None) -> FittedModel:
     """Clusters of a complete symmetric distance matrix as edges; infinite distances are missing ones."""
     config = _without_vectors(config, n)
@@ -308,4 +316,4 @@ def _without_vectors(config: Config | None, n: int) -> Config:
     return config
 
 
-__all__ = ["Clusterer", "FittedModel", "fit", "fit_graph", "fit_precomputed", "select_algorithm", "DendraError", "InvalidConfig"]
+__all__ = ["Clusterer", "FittedModel", "fit", "fit_graph", "fit_precomputed", "fit_predict", "select_algorithm", "DendraError", "InvalidConfig"]

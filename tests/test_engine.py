@@ -1,25 +1,38 @@
 """The engine against plain versions of the same definitions, and its invariants."""
 
 import math
+import threading
+import time
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark import InheritableThread
+from pyspark.sql import functions as F
 
 from dendra import errors
 from dendra.functions import metrics as M
-from dendra.operators import analytics, evaluation, tree
+from dendra.operators import analytics, evaluation, neighbors, prediction, tree
 from dendra.operators.robust import cut_linkage, robust_single_linkage
 from dendra.operators.validity import validity
+from dendra.plans import jobs
 from dendra.plans.config import BranchConfig, Config, ExtractionConfig, RobustConfig
-from dendra.plans.model import Clusterer, fit, fit_graph, fit_precomputed, select_algorithm
+from dendra.plans.model import Clusterer, fit, fit_graph, fit_precomputed, fit_predict, select_algorithm
 from dendra.sources import exports, graphs, vectors
 from dendra.sources.generators import Recipe, SplitMix, generate
 from dendra.streaming.scoring import predict_stream, score_stream
 
-A, B = np.array([[1.0, -2.0, 3.0]]), np.array([[4.0, 2.0, -1.0]])
-KNOWN = {"sqeuclidean": 41.0, "euclidean": math.sqrt(41), "manhattan": 11.0, "chebyshev": 4.0, "canberra": 2.6, "braycurtis": 11 / 7}
+A, B = np.array([[0.5, 3.0, -2.0, 7.0]]), np.array([[2.5, -1.0, 1.0, 6.0]])
+GAPS = [abs(x - y) for x, y in zip(A[0], B[0], strict=True)]
+KNOWN = {
+    "sqeuclidean": sum(g * g for g in GAPS),
+    "euclidean": math.hypot(*GAPS),
+    "manhattan": sum(GAPS),
+    "chebyshev": max(GAPS),
+    "canberra": sum(g / (abs(x) + abs(y)) for g, x, y in zip(GAPS, A[0], B[0], strict=True)),
+    "braycurtis": sum(GAPS) / sum(abs(x + y) for x, y in zip(A[0], B[0], strict=True)),
+}
 
 
 def frame(spark, x):
@@ -36,19 +49,81 @@ def blobs(seed=0, n=60, d=2):
 
 
 def plain_fit(x, size, samples, alpha=1.0):
+    """Spanning tree, merges and condensed rows from the definitions, with sets of points; no code of the engine."""
+    n = len(x)
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
-    core = np.sort(d, axis=1)[:, min(samples, len(x) - 1)]
+    core = np.sort(d, axis=1)[:, min(samples, n - 1)]
     reach = np.maximum(d / alpha, np.maximum(core[:, None], core[None]))
-    n, inside, best, src, edges, now = len(x), {0}, [math.inf] * len(x), [0] * len(x), [], 0
-    for _ in range(n - 1):
-        for j in range(n):
-            if j not in inside and reach[now, j] < best[j]:
-                best[j], src[j] = reach[now, j], now
-        now = min((j for j in range(n) if j not in inside), key=lambda j: (best[j], j))
-        inside.add(now)
-        edges.append((src[now], now, best[now]))
-    e = tree.Edges(*(np.array(c) for c in zip(*edges, strict=True))).ordered()
-    return e, tree.condense(tree.linkage(n, e), size)
+    joined, edges = [0], []
+    while len(joined) < n:
+        options = [(min(reach[i, j] for i in joined), j) for j in range(n) if j not in joined]
+        weight, j = min(options)
+        edges.append((next(i for i in joined if reach[i, j] == weight), j, weight))
+        joined.append(j)
+    edges = sorted(edges, key=lambda e: e[2])
+    groups, merges = {i: ({i}, i) for i in range(n)}, []  # by point: its set, the set's node
+    for i, j, weight in edges:
+        (one, left), (two, right) = groups[i], groups[j]
+        both = (one | two, n + len(merges))
+        merges.append((left, right, weight, len(both[0])))
+        groups.update(dict.fromkeys(both[0], both))
+    points = {i: {i} for i in range(n)}
+    for k, (left, right, _, _) in enumerate(merges):
+        points[n + k] = points[left] | points[right]
+    rows, level, number = [], [(2 * n - 2, n)], n
+    while level:
+        below = []
+        for node, cluster in level:
+            left, right, weight, _ = merges[node - n]
+            lam = 1 / weight if weight > 0 else math.inf
+            if min(len(points[left]), len(points[right])) >= size:
+                for side in (left, right):
+                    number += 1
+                    rows.append((cluster, number, lam, len(points[side])))
+                    below.append((side, number))
+                continue
+            for side in (left, right):
+                if len(points[side]) >= size:
+                    below.append((side, cluster))
+                else:
+                    rows += [(cluster, p, lam, 1) for p in points[side]]
+        level = below
+    return edges, merges, rows
+
+
+def plain_flat(n, rows):
+    """Labels, probabilities and outlier scores of the most stable clusters, the root left out."""
+    birth = {n: 0.0} | {c: lam for _, c, lam, k in rows if c >= n}
+    kids = {c: [b for a, b, _, _ in rows if a == c and b > n] for c in birth}
+    stability = {c: sum((lam - birth[c]) * k for a, _, lam, k in rows if a == c) for c in birth}
+
+    def best(c):
+        inner = [best(k) for k in kids[c]]
+        total = sum(v for v, _ in inner)
+        if c == n or total > stability[c]:
+            return total, [x for _, found in inner for x in found]
+        return stability[c], [c]
+
+    chosen = sorted(best(n)[1])
+    up = {c: p for p, c, _, _ in rows}
+
+    def over(c):
+        while c not in chosen and c != n:
+            c = up[c]
+        return c if c in chosen else None
+
+    def below(c):
+        return [c] + [x for k in kids[c] for x in below(k)]
+
+    peak = {c: max((lam for a, _, lam, _ in rows if a in set(below(c))), default=0.0) for c in birth}
+    labels, probabilities, scores = [-1] * n, [0.0] * n, [0.0] * n
+    for parent, p, lam, _ in rows:
+        if p < n:
+            top = over(parent)
+            if top is not None:
+                labels[p], probabilities[p] = chosen.index(top), min(lam, peak[top]) / peak[top]
+            scores[p] = (peak[parent] - lam) / peak[parent]
+    return labels, probabilities, scores
 
 
 def collected(model):
@@ -71,7 +146,7 @@ def test_extreme_and_minkowski(spark):
     assert M.EUCLIDEAN.kernel(small, np.zeros((1, 2)))[0, 0] == pytest.approx(5e-200)
     df = spark.createDataFrame([([1e200, 0.0], [0.0, 0.0])], "a array<double>, b array<double>")
     assert df.select(M.EUCLIDEAN.distance(df.a, df.b)).first()[0] == pytest.approx(1e200)
-    assert M.minkowski(3).kernel(A, B)[0, 0] == pytest.approx(155 ** (1 / 3))
+    assert M.minkowski(3).kernel(A, B)[0, 0] == pytest.approx(sum(g**3 for g in GAPS) ** (1 / 3))
     with pytest.raises(errors.InvalidConfig):
         M.minkowski(0.5)
     with pytest.raises(Exception, match="length"):
@@ -89,13 +164,16 @@ def test_metrics_are_symmetric(rows, name):
 @pytest.mark.parametrize("alpha", [1.0, 1.5])
 def test_fit_is_the_plain_fit(spark, alpha):
     x = np.round(blobs(1), 1)  # rounding makes ties
-    edges, condensed = plain_fit(x, 4, 3, alpha)
+    edges, merges, condensed = plain_fit(x, 4, 3, alpha)
     model = fit(frame(spark, x), Config(min_cluster_size=4, min_samples=3, alpha=alpha))
-    assert [(r["src"], r["dst"]) for r in model.mst.orderBy("seq").collect()] == list(zip(edges.src, edges.dst, strict=True))
-    assert [(r["parent"], r["child"], r["child_size"]) for r in model.condensed.orderBy("seq").collect()] == list(zip(condensed.parent, condensed.child, condensed.size, strict=True))
-    flat = tree.extract(condensed, ExtractionConfig())
-    labels, probabilities, scores = collected(model)
-    assert labels == flat.labels.tolist() and np.allclose(probabilities, flat.probabilities, equal_nan=True) and np.allclose(scores, tree.outliers(condensed), equal_nan=True)
+    assert [(r["src"], r["dst"]) for r in model.mst.orderBy("seq").collect()] == [(i, j) for i, j, _ in edges]
+    assert [(r["left"], r["right"], r["size"]) for r in model.linkage.orderBy("seq").collect()] == [(m[0], m[1], m[3]) for m in merges]
+    got = sorted((r["parent"], r["child"], r["child_size"], r["lambda_val"]) for r in model.condensed.collect())
+    want = sorted((p, c, k, lam) for p, c, lam, k in condensed)
+    assert [g[:3] for g in got] == [w[:3] for w in want] and np.allclose([g[3] for g in got], [w[3] for w in want])
+    labels, probabilities, scores = plain_flat(len(x), condensed)
+    mine = collected(model)
+    assert mine[0] == labels and np.allclose(mine[1], probabilities) and np.allclose(mine[2], scores)
     assert model.mst.count() == len(x) - 1 and all(0 <= p <= 1 for p in probabilities)
 
 
@@ -181,18 +259,76 @@ def test_graphs(spark):
         fit_precomputed(matrix.where("src <> 3 OR dst <> 4"), 30)
 
 
-def test_robust_and_validity(spark):
-    line = frame(spark, [[0.0, 0.0], [0.1, 0.0], [5.0, 0.0], [5.1, 0.0]])
+def test_robust(spark):
+    line = frame(spark, [[0.0], [0.3], [0.5], [4.0], [4.2], [9.0]])
     got = robust_single_linkage(line, RobustConfig(cut=1.0, k=1, gamma=2))
-    assert [r["label"] for r in got.labels.orderBy("id").collect()] == [0, 0, 1, 1]
-    assert {r["label"] for r in cut_linkage(got.linkage, line.select("id"), 0.01, 2).collect()} == {-1}
-    score, per = validity(line, labelled(spark, [0, 0, 1, 1]))
-    assert 0.95 <= score <= 1 and len(per) == 2
-    assert validity(line, labelled(spark, [-1] * 4)) == (0.0, [])
+    assert [r["label"] for r in got.labels.orderBy("id").collect()] == [0, 0, 0, 1, 1, -1]
+    assert [r["label"] for r in cut_linkage(got.linkage, line.select("id"), 1.0, 3).orderBy("id").collect()] == [0, 0, 0, -1, -1, -1]
+    assert {r["label"] for r in cut_linkage(got.linkage, line.select("id"), 0.1, 2).collect()} == {-1}
     with pytest.raises(errors.InvalidConfig):
-        validity(line, labelled(spark, [0, 1, 1, 1]))
+        cut_linkage(got.linkage, line.select("id"), float("nan"), 2)
+
+
+def test_validity(spark):
+    # Core densities of 0, 1, 2, 3: 18/11, 6/5, 6/5, 18/11. The inner edge weighs 6/5; the inner vertices 2 and 11 are 9 apart.
+    rows = frame(spark, [[v] for v in (0.0, 1.0, 2.0, 3.0, 10.0, 11.0, 12.0, 13.0, 40.0, 90.0)])
+    score, per = validity(rows, labelled(spark, [0] * 4 + [1] * 4 + [-1, -1]))
+    each = (9 - 6 / 5) / 9
+    assert per == pytest.approx([each, each]) and score == pytest.approx(0.8 * each)
+    # No edge joins two inner vertices of three points.
+    assert validity(frame(spark, [[v] for v in (0.0, 1.0, 3.0, 20.0, 21.0, 23.0)]), labelled(spark, [1, 1, 1, 0, 0, 0])) == (1.0, [1.0, 1.0])
+    # Pairs have no inner vertex; two points in two dimensions: the first ones are 30 apart, each pair 2.
+    score, per = validity(frame(spark, [[0.0, 0.0], [2.0, 0.0], [30.0, 0.0], [32.0, 0.0]]), labelled(spark, [0, 0, 1, 1]))
+    assert per == pytest.approx([28 / 30] * 2) and score == pytest.approx(28 / 30)
+    assert validity(rows, labelled(spark, [-1] * 10)) == (0.0, [])
     with pytest.raises(errors.InvalidConfig):
-        cut_linkage(got.linkage, line.select("id"), -1.0, 2)
+        validity(rows, labelled(spark, [0] * 9 + [1]))
+
+
+@pytest.mark.parametrize("what", ["predict", "predict_scores", "membership"])
+def test_prediction_by_join_is_that_with_vectors_sent(spark, monkeypatch, what):
+    x, q = np.round(blobs(13), 1), np.round(blobs(14) * 1.2, 1)  # rounding makes ties
+    model = fit(frame(spark, x), Config(min_cluster_size=5, min_samples=4, prediction_data=True, block_rows=16))
+    sent = sorted(map(tuple, getattr(model, what)(frame(spark, q)).collect()))
+    monkeypatch.setattr(prediction, "SENT_BYTES", 0)
+    monkeypatch.setattr(neighbors, "BROADCAST_BYTES", 0)
+    model.cache.clear()
+    joined = sorted(map(tuple, getattr(model, what)(frame(spark, q)).collect()))
+    assert model.predictor().lookup.x is None and len(sent) >= len(q)
+    assert [r[:-1] for r in sent] == [r[:-1] for r in joined] and np.allclose([r[-1] for r in sent], [r[-1] for r in joined])
+
+
+def test_distances_that_are_none(spark):
+    x = frame(spark, blobs(15, 12))
+    for wrong in (float("nan"), float("inf"), -1.0):
+        with pytest.raises(errors.InvalidDistance):
+            fit(x, Config(min_cluster_size=2, metric=lambda a, b, wrong=wrong: wrong))
+    labels = fit_predict(x, Config(min_cluster_size=2, metric=lambda a, b: float(np.abs(a - b).sum())))
+    assert evaluation.same_partition(labels, fit_predict(x, Config(min_cluster_size=2, metric="manhattan"))).first()[0]
+
+
+def test_cancellation_ends_the_running_action(spark):
+    outcome, started = [], threading.Event()
+
+    def work():
+        try:
+            with jobs.cancellable(spark, "long-work"):
+                started.set()
+                spark.range(4, numPartitions=4).select(F.udf(lambda i: time.sleep(60) or i, "long")("id")).collect()
+            outcome.append("ended")
+        except Exception as error:  # noqa: BLE001
+            outcome.append(str(error))
+
+    thread = InheritableThread(target=work, daemon=True)
+    thread.start()
+    started.wait(10)
+    tracker, until = spark.sparkContext.statusTracker(), time.time() + 30
+    while not tracker.getActiveJobsIds() and time.time() < until:
+        time.sleep(0.1)
+    jobs.cancel(spark, "long-work")
+    thread.join(30)
+    assert not thread.is_alive() and "cancel" in outcome[0].lower()
+    assert spark.range(3).count() == 3  # the session goes on
 
 
 def test_prediction_and_stream(spark, tmp_path):
@@ -219,16 +355,17 @@ def test_prediction_and_stream(spark, tmp_path):
 
 
 def test_branches(spark):
-    arms = [(math.cos(a) * r, math.sin(a) * r) for a in (0.0, 2.1, 4.2) for r in (0.15 + 0.18 * i for i in range(12))]
-    model = fit(frame(spark, arms), Config(min_cluster_size=3, min_samples=3, prediction_data=True, branch_data=True))
-    found = model.detect_branches(BranchConfig(min_cluster_size=3), labelled(spark, [0] * 36))
+    bar, stem = [(0.5 * i, 0.0) for i in range(-14, 15)], [(0.0, -0.5 * i) for i in range(1, 17)]  # a letter T
+    n = len(bar) + len(stem)
+    model = fit(frame(spark, bar + stem), Config(min_cluster_size=3, min_samples=3, prediction_data=True, branch_data=True))
+    found = model.detect_branches(BranchConfig(min_cluster_size=3), labelled(spark, [0] * n))
     points = found.points.orderBy("id").collect()
-    assert found.persistences.count() >= 3 and len(points) == 36 and all(0 <= p["probability"] <= 1 for p in points)
+    assert found.persistences.count() >= 3 and len(points) == n and all(0 <= p["probability"] <= 1 for p in points)
     edge = found.graph.first()
     assert (edge["packed"] >> 32, edge["packed"] & 0xFFFFFFFF) == (edge["src"], edge["dst"])
-    assert found.predict(frame(spark, arms[:3])).count() == 3
+    assert found.predict(frame(spark, bar[:3])).count() == 3
     with pytest.raises(errors.InvalidConfig):
-        model.detect_branches(labels=labelled(spark, [0] * 35 + [2]))
+        model.detect_branches(labels=labelled(spark, [0] * (n - 1) + [2]))
 
 
 def test_evaluation_sources_exports(spark, tmp_path):
