@@ -38,9 +38,11 @@ _ROW = "bucket int, kind int, blob binary"
 _rng = np.random.default_rng(20240501)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _K = [np.uint64(int(k) * 2 + 1) for k in _rng.integers(1 << 61, 1 << 62, 12)]
-_RUN = (np.uint32, np.uint32, np.uint8, np.uint8, np.uint8, np.uint8, np.int64, np.uint16, np.uint32, np.uint8)  # anchor bucket, run (40 bits), bytes before and behind, anchor's place, document, tag, start, last start
-_SPAN = (np.int64, np.uint16, np.uint32, np.uint32)  # document, tag, from, how long
-_WINDOW = (np.uint32, np.uint16, np.uint8, np.int64, np.uint16, np.uint32)  # identifier (56 bits), document, tag, start
+_RUN = (np.uint32, np.uint32, np.uint16, np.uint8, np.uint8, np.uint8, np.uint8, np.int64, np.int64, np.uint32, np.uint8)  # anchor bucket, run (56 bits), bytes before and behind, anchor's place, document, tag, start, last start
+_SPAN = (np.int64, np.int64, np.uint32, np.uint32)  # document, tag, from, how long
+_WINDOW = (np.uint32, np.uint32, np.int64, np.int64, np.uint32)  # identifier (64 bits), document, tag, start
+#: Bytes of text for each bucket of documents, so that a task's memory doesn't grow with the input.
+_PART = 64 << 20
 _REMOVE, _LOOK, _TEXT = 0, 1, 2
 
 
@@ -147,7 +149,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[np
     def flush():
         ends = np.cumsum([len(h) for h in held])
         d, t, o = (np.array(c) for c in zip(*meta, strict=True))
-        return np.frombuffer(b"".join(held), np.uint8), ends, d.astype(np.int64), t.astype(np.uint16), o.astype(np.int64)
+        return np.frombuffer(b"".join(held), np.uint8), ends, d.astype(np.int64), t.astype(np.int64), o.astype(np.int64)
 
     for batch in batches:
         for doc, tag, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
@@ -187,7 +189,27 @@ def _home(doc: np.ndarray, tag: np.ndarray, buckets: int) -> np.ndarray:
     return (_mix(doc.astype(np.uint64) * _K[8] + tag.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
 
 
-def _anchors(length: int, q: int, buckets: int):
+def _anchors(length: int, q: int, buckets: int, homes: int):
+    """The runs of all texts, dealt out by anchor bucket.
+
+    Where equal runs come together already here, only the first document's goes on: the
+    others' bytes are spans to remove. A passage that all documents share is thus one run
+    of each flush, not one of each document.
+    """
+
+    def flush(held: list[list[np.ndarray]], where: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        columns, bucket = [np.concatenate(c).astype(k) for c, k in zip(held, _RUN, strict=True)], np.concatenate(where)
+        key, ident, doc, tag, start, more = columns[0], _ident(*columns[1:4]), *columns[7:]
+        order = np.lexsort((doc, ident, key, bucket))
+        new = _edges(bucket[order], key[order], ident[order])
+        least = doc[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+        gone = np.zeros(len(doc), bool)
+        gone[order] = doc[order] > least
+        if gone.any():
+            d, t, s = doc[gone], tag[gone], start[gone]
+            yield from _deal([[d], [t], [s], [more[gone] + np.uint32(length)]], _home(d, t, homes), _REMOVE)
+        yield from _deal([[c[~gone]] for c in columns], bucket[~gone], _LOOK)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = [[] for _ in _RUN]
         where: list[np.ndarray] = []
@@ -196,19 +218,24 @@ def _anchors(length: int, q: int, buckets: int):
             a, b, gram, ident, before, behind, place = _runs(x, ends, length, q)
             piece = np.searchsorted(ends, a, side="right")
             start = a - np.concatenate([[0], ends[:-1]])[piece] + offset[piece]
-            for column, values in zip(held, (gram >> np.uint64(32), ident & np.uint64(0xFFFFFFFF), (ident >> np.uint64(32)) & np.uint64(0xFF), before, behind, place, doc[piece], tag[piece], start, b - a), strict=True):
+            parts = (ident & np.uint64(0xFFFFFFFF), (ident >> np.uint64(32)) & np.uint64(0xFFFF), (ident >> np.uint64(48)) & np.uint64(0xFF))
+            for column, values in zip(held, (gram >> np.uint64(32), *parts, before, behind, place, doc[piece], tag[piece], start, b - a), strict=True):
                 column.append(values)
-            where.append(((gram & np.uint64(0xFFFFFF)) % np.uint64(buckets)).astype(np.int64))
+            where.append(((gram & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).astype(np.int64))
             size += len(x)
             if size >= _FLUSH:
-                yield from _deal([[np.concatenate(c).astype(k)] for c, k in zip(held, _RUN, strict=True)], np.concatenate(where), _LOOK)
+                yield from flush(held, where)
                 held, where, size = [[] for _ in _RUN], [], 0
         if where:
-            yield from _deal([[np.concatenate(c).astype(k)] for c, k in zip(held, _RUN, strict=True)], np.concatenate(where), _LOOK)
+            yield from flush(held, where)
 
     return run
 
 
+def _ident(low: np.ndarray, middle: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return low.astype(np.uint64) | middle.astype(np.uint64) << np.uint64(32) | high.astype(np.uint64) << np.uint64(48)
+
+
 def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, bytes]]:
     for batch in batches:
         yield from zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), (v.as_py() for v in batch.column(2)), strict=True)
@@ -217,7 +244,10 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, by
 def _each_bucket(work: Callable[[list[bytes]], Iterator[pa.RecordBatch]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, blobs = None, []
-        for bucket, _, blob in _by_bucket(batches):
+        for bucket, kind, blob in _by_bucket(batches):
+            if kind == _REMOVE:  # decided already
+                yield _rows([bucket], kind, [blob])
+                continue
             if bucket != now and blobs:
                 yield from work(blobs)
                 blobs = []
@@ -241,8 +271,8 @@ def _refine(length: int, q: int, homes: int):
     """Anchor buckets refined by run: spans to remove, and runs whose windows have to be looked at one by one."""
 
     def work(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-        key, r0, r1, before, behind, place, doc, tag, start, more = _unpack(blobs, _RUN)
-        ident = r0.astype(np.uint64) | r1.astype(np.uint64) << np.uint64(32)
+        key, low, middle, high, before, behind, place, doc, tag, start, more = _unpack(blobs, _RUN)
+        ident = _ident(low, middle, high)
         order = np.lexsort((doc, ident, key))
         key, ident, before, behind, place, doc, tag, start, more = (c[order] for c in (key, ident, before, behind, place, doc, tag, start, more))
         new_key, new_run = _edges(key), _edges(key, ident)
@@ -278,7 +308,7 @@ def _texts(homes: int):
         for batch in batches:
             doc = batch.column(0).to_numpy(zero_copy_only=False)
             tag = batch.column(1).to_numpy(zero_copy_only=False)
-            home = _home(doc, tag.astype(np.uint16), homes)
+            home = _home(doc, tag, homes)
             size = np.zeros(len(doc), np.int64)
             parts: dict[int, list[int]] = {}
             for i, (h, text) in enumerate(zip(home.tolist(), batch.column(2), strict=True)):
@@ -366,7 +396,7 @@ def _windows(length: int, q: int, buckets: int):
                 if len(own):
                     full = Ladder(x[s : s + step + length - 1], length, q).full
                     ident = full[own - s]
-                    for column, values in zip(held, (ident >> np.uint64(32), (ident >> np.uint64(16)) & np.uint64(0xFFFF), (ident >> np.uint64(8)) & np.uint64(0xFF), np.full(len(own), doc, np.int64), np.full(len(own), tag, np.uint16), own.astype(np.uint32)), strict=True):
+                    for column, values in zip(held, (ident >> np.uint64(32), ident & np.uint64(0xFFFFFFFF), np.full(len(own), doc, np.int64), np.full(len(own), tag, np.int64), own.astype(np.uint32)), strict=True):
                         column.append(values)
                     where.append((ident % np.uint64(buckets)).astype(np.int64))
         if where:
@@ -377,8 +407,8 @@ def _windows(length: int, q: int, buckets: int):
 
 def _decide(length: int, homes: int):
     def work(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-        high, middle, low, doc, tag, start = _unpack(blobs, _WINDOW)
-        ident = high.astype(np.uint64) << np.uint64(24) | middle.astype(np.uint64) << np.uint64(8) | low.astype(np.uint64)
+        high, low, doc, tag, start = _unpack(blobs, _WINDOW)
+        ident = high.astype(np.uint64) << np.uint64(32) | low.astype(np.uint64)
         order = np.lexsort((doc, ident))
         ident, doc, tag, start = (c[order] for c in (ident, doc, tag, start))
         new = _edges(ident)
@@ -421,21 +451,26 @@ def remove_repeats(docs: DataFrame, length: int = 50, q: int = 20, keep_text: bo
 
     Every byte goes that is covered by a string of ``length`` bytes which also starts in
     a document with a smaller doc_id, judged on the input. Null texts are empty; texts
-    shorter than ``length`` keep all. Rows that share a doc_id don't remove each other;
-    a null doc_id counts as larger than any other. Other columns are not looked at.
+    shorter than ``length`` keep all. Rows that share a doc_id don't remove each other,
+    and are told apart by 64 bits of a hash of their texts; a null doc_id counts as larger
+    than any other. Repeated rows return repeated rows, an empty table none. Other columns
+    are not looked at.
     """
     if q < 4 or q % 2 or q >= length or length - q > 255:
         raise ValueError("q has to be even, 4 at least, and less than length, by 255 at most")
     spark = docs.sparkSession
-    parts = partitions_for(spark)
+    doc, text = F.col("doc_id").cast("long"), text_of("text")
+    volume = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    repeated = bool(docs.select(doc.alias("doc")).dropna().groupBy("doc").count().where("count > 1").limit(1).count())
+    parts = max(partitions_for(spark), -(-volume // _PART))
     buckets = 2 * parts  # of anchors; texts and windows have one for each partition
-    text = text_of("text").cast("binary")
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc"), F.xxhash64(text_of("text")).bitwiseAND(0xFFFF).cast("int").alias("tag"), text.alias("text"))
+    tag = F.xxhash64(text) if repeated else F.when(doc.isNull(), F.xxhash64(text)).otherwise(F.lit(0).cast("long"))  # tells rows of one id apart
+    rows = docs.select(F.coalesce(doc, F.lit(2**63 - 1)).alias("doc"), tag.alias("tag"), text.cast("binary").alias("text"))
 
     def dealt(df: DataFrame) -> DataFrame:
         return df.repartition(parts, "bucket").sortWithinPartitions("bucket", "kind")
 
-    runs = rows.mapInArrow(_anchors(length, q, buckets), _ROW)
+    runs = rows.mapInArrow(_anchors(length, q, buckets, parts), _ROW)
     found = cut(dealt(runs).mapInArrow(_each_bucket(_refine(length, q, parts)), _ROW))
     texts = rows.mapInArrow(_texts(parts), _ROW).groupBy("bucket")  # both cogroups read the same exchange
     windows = texts.cogroup(found.where(F.col("kind") == _LOOK).groupBy("bucket")).applyInArrow(_windows(length, q, parts), _ROW)

@@ -142,6 +142,17 @@ def test_suffixes_long_text_and_repeated_ids(spark):
     assert suffixes.remove_repeats(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_suffixes_of_a_passage_in_all_texts_and_null_ids(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "_PART", 2000)  # as a larger input: more buckets than shuffle partitions
+    rng = random.Random(15)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(300))
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randint(0, 80))) + passage + "".join(rng.choice("abcdefgh ") for _ in range(rng.randint(0, 80))) for _ in range(80)]
+    rows = [(None if i % 3 == 0 else i, t) for i, t in enumerate(texts)]
+    want = removed(rows, 50)
+    got = {(r["doc_id"], bytes(r["kept"])): (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"], bytes(r["kept"])) for r in suffixes.remove_repeats(frame(spark, rows)).collect()}
+    assert got == {(d, v[-1]): v for (d, _), v in want.items()} and len(got) == len(rows)
+
+
 def plain_fingerprint(text, shingle):
     import xxhash
 
