@@ -2,12 +2,14 @@
 
 A text holds an item within an error budget of k edits only if it holds one of k+1
 pieces of the item unchanged. One automaton finds all pieces in one pass over a text;
-each place it points at is verified with Myers' bit-parallel edit distance.
+each place it points at is verified with Myers' bit-parallel edit distance. Items too
+short to tell contamination from common words are held against whole texts.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -15,12 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, without
+from .common import cut, free_names, without
 
 #: Edits that are allowed for each character of an item.
 ERROR_RATE = 0.08
 #: Characters of items that are broadcast at once; more items are searched for in several passes.
-BROADCAST = 16 << 20
+BROADCAST = 2 << 20
+#: Items of fewer characters than this match whole texts alone; they stand in any text by chance.
+LEAST_CHARS = 25
 
 
 def normal(text: str | None) -> str:
@@ -61,8 +65,12 @@ def least_distance(item: str, text: str) -> tuple[int, int]:
 class Matcher:
     def __init__(self, items: list[tuple[int, str]], rate: float):
         self.items = [(i, t, int(rate * len(t))) for i, t in items]
+        self.short: dict[str, list[int]] = {}
         found: dict[str, list[tuple[int, int]]] = {}
         for k, (_, text, budget) in enumerate(self.items):
+            if len(text) < LEAST_CHARS:
+                self.short.setdefault(text, []).append(k)
+                continue
             for offset, piece in pieces(text, budget):
                 found.setdefault(piece, []).append((k, offset))
         self.automaton = ahocorasick.Automaton()
@@ -74,14 +82,15 @@ class Matcher:
 
     def matches(self, text: str | None) -> list[tuple[int, int]]:
         """(item, least distance) of all items within their budget in the whole text."""
-        if self.empty:
-            return []
         text = normal(text)
+        whole = self._whole(text)
+        if self.empty:
+            return whole
         starts: dict[int, set[int]] = {}
         for end, (size, where) in self.automaton.iter(text):
             for k, offset in where:
                 starts.setdefault(k, set()).add(end + 1 - size - offset)
-        out = []
+        out = whole
         for k, places in starts.items():
             item, own, budget = self.items[k]
             best = budget + 1
@@ -95,17 +104,25 @@ class Matcher:
                 out.append((item, best))
         return sorted(out)
 
+    def _whole(self, text: str) -> list[tuple[int, int]]:
+        """The short items that are the whole text, within their budgets."""
+        if not text or len(text) > LEAST_CHARS:
+            return []
+        near = ((k, max(least_distance(item, text)[0], least_distance(text, item)[0])) for item, ks in self.short.items() for k in ks)
+        return sorted((self.items[k][0], n) for k, n in near if n <= self.items[k][2])
+
 
-_MATCHERS: dict[int, Matcher] = {}
+_MATCHERS: dict[str, Matcher] = {}
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, broadcast_chars: int = BROADCAST) -> DataFrame:
     """(doc_id, item_id, distance): the benchmark items that a document holds within ``rate`` edits a character.
 
     Case and runs of white space don't count. Null or empty texts and items match
-    nothing; items with one id are matched apart and the nearest counts; repeated
-    documents return repeated rows. Items are broadcast in groups of bounded size.
-    Other columns are not looked at.
+    nothing; items of fewer than ``LEAST_CHARS`` characters match a text only as a whole;
+    items with one id are matched apart and the nearest counts, of items that overlap in
+    a text each; repeated documents return repeated rows; texts may have any length. Items
+    are broadcast in groups of bounded size. Other columns are not looked at.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL AND length(trim(text)) > 0").distinct()
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -121,8 +138,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, bro
 
 
 def _search(held, rate: float):
+    key = uuid.uuid4().hex  # workers serve several searches
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = (held.id if hasattr(held, "id") else id(held), rate)
         matcher = _MATCHERS.get(key)
         if matcher is None:
             _MATCHERS.clear()
@@ -143,7 +161,8 @@ def _search(held, rate: float):
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE) -> DataFrame:
-    """The rows of ``docs`` without any match, all columns kept; rows with a null doc_id are judged by their text as well."""
-    named = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
-    hit = matches(named.select(F.col("__row").alias("doc_id"), "text"), benchmark, rate).select(F.col("doc_id").alias("__row")).distinct()
-    return without(named, cut(hit), "__row").drop("__row")
+    """The rows of ``docs`` without any match, all columns kept; rows are judged one by one, by id and text."""
+    row = free_names(docs, "row")[0]
+    named = docs.withColumn(row, F.xxhash64("doc_id", "text"))
+    hit = matches(named.select(F.col(row).alias("doc_id"), "text"), benchmark, rate).select(F.col("doc_id").alias(row)).distinct()
+    return without(named, cut(hit), row).drop(row)

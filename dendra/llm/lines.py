@@ -230,7 +230,8 @@ def removals(docs: DataFrame, threshold: int = THRESHOLD, least: int = MIN_CHARS
     hot = own.count() // HOT_LINES + 1
     goes = F.col("near").isNotNull() | (place != F.col("first"))
     few = verdict.count() <= BROADCAST_LINES
-    parts = [(own, F.broadcast(verdict))] if few else [(own, F.broadcast(verdict.where(F.col("times") > hot))), (own, verdict.where(F.col("times") <= hot))]
+    frequent = F.broadcast(verdict.where(F.col("times") > hot))
+    parts = [(own, F.broadcast(verdict))] if few else [(own, frequent), (own.join(frequent, ["h", "g"], "left_anti"), verdict.where(F.col("times") <= hot))]
     out = None
     for rows, decided in parts:
         gone = rows.join(decided, ["h", "g"]).where(goes).select("doc", "row", "pos", "n_chars")

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
@@ -96,7 +96,7 @@ class ArchiveWriter(DataSourceArrowWriter):
     """Each task writes archives of its own, rolled at a size; only committed ones enter a manifest."""
 
     def __init__(self, path: str, roll: int, overwrite: bool):
-        self.path, self.roll, self.overwrite = path, roll, overwrite
+        self.path, self.roll, self.overwrite, self.mark = path, roll, overwrite, uuid.uuid4().hex
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         fs, base = _store(self.path)
@@ -115,7 +115,7 @@ class ArchiveWriter(DataSourceArrowWriter):
                 data = bytes(text.as_buffer()) if text.is_valid else b""
                 media = to_png(payload(data))
                 if out is None:
-                    name, entries, at = f"archive-{uuid.uuid4().hex}", [], 0
+                    name, entries, at = f"archive-{self.mark}-{uuid.uuid4().hex}", [], 0
                     out = fs.open_output_stream(f"{base}/{name}")
                 out.write(media)
                 entries.append((at, len(media), doc or 0, len(data), zlib.crc32(media), doc is None))
@@ -135,9 +135,18 @@ class ArchiveWriter(DataSourceArrowWriter):
             out.write(json.dumps([a for m in messages if m for a in m.archives]).encode())
         for path in old:
             fs.delete_file(path)
+        self._clean({name for m in messages if m for name, _, _ in m.archives})
 
     def abort(self, messages: list) -> None:
-        """Archives that no manifest names are never read."""
+        self._clean(set())
+
+    def _clean(self, keep: set[str]) -> None:
+        """Removes what failed or repeated tasks of this write left; archives that no manifest names are never read anyway."""
+        fs, base = _store(self.path)
+        for info in fs.get_file_info(pafs.FileSelector(base, allow_not_found=True)):
+            name = info.base_name.removesuffix(".index")
+            if name.startswith(f"archive-{self.mark}-") and name not in keep:
+                fs.delete_file(info.path)
 
 
 @dataclass
@@ -228,6 +237,13 @@ class MediaArchive(DataSource):
         return ArchiveWriter(self.options["path"], int(self.options.get("rollbytes", 256 << 20)), overwrite)
 
 
+def _qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme that Spark's default file system gives it."""
+    plain = spark._jvm.org.apache.hadoop.fs.Path(path)
+    whole = plain.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(plain).toString()
+    return f"file://{whole[5:]}" if whole.startswith("file:/") and not whole.startswith("file://") else whole
+
+
 def store(docs: DataFrame, path: str) -> DataFrame:
     """Write every text as a member under ``path``, and return the members as read back by the data source.
 
@@ -236,6 +252,7 @@ def store(docs: DataFrame, path: str) -> DataFrame:
     """
     spark = docs.sparkSession
     spark.dataSource.register(MediaArchive)
+    path = _qualified(spark, path)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().cast("binary").alias("text"))
     rows.write.format("mediaarchive").mode("append").save(path)
     return spark.read.format("mediaarchive").load(path)

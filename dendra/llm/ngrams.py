@@ -32,6 +32,8 @@ _START = np.uint64(0xC2B2AE3D27D4EB4F)
 _K = np.uint64(0xD6E8FEB86659FD93)
 _ASK = "bucket int, block int, blob binary"
 _BUCKETS_OF_CONTEXT = 24
+#: Bytes of text for each partition, so that a task's memory doesn't grow with the input.
+_PART = 64 << 20
 
 
 def tokens(text: bytes) -> np.ndarray:
@@ -299,7 +301,8 @@ def score(docs: DataFrame, train: str = "train", blocks_per_partition: int = 2)
     they come; a null doc_id is kept; a null ``train`` is false. If nothing trains, all
     is uniform. Other columns are not looked at.
     """
-    parts = max(2, partitions_for(docs.sparkSession))
+    volume = docs.agg(F.sum(F.octet_length(text_of()))).first()[0] or 0
+    parts = max(2, partitions_for(docs.sparkSession), -(-volume // _PART))
     blocks = blocks_per_partition * parts
     rows = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc"),

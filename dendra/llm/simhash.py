@@ -24,6 +24,8 @@ _WORD = regex.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _PAIRS = 1 << 21
 _BIG = 4096
+#: Fingerprints of more than one in so many rows are looked up by broadcast, of which there are fewer than this.
+HOT = 20_000
 
 
 def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
@@ -168,8 +170,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, threshold: int = 3) -> Da
     columns of ``docs`` are not looked at.
     """
     own = cut(fingerprints(docs, shingle))
-    single = cut(own.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    single = cut(own.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("times")))
     label = components(link_fingerprints(single, threshold), "a", "b").withColumnRenamed("node", "fp")
-    labelled = single.join(label, "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
+    labelled = single.join(label, "fp", "left").select("fp", "first", "times", F.coalesce("component", "fp").alias("component"))
     least = labelled.groupBy("component").agg(F.min("first").alias("component_id"))
-    return own.join(labelled.join(least, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    named = cut(labelled.join(least, "component").select("fp", "component_id", "times"))
+    hot = F.broadcast(named.where(F.col("times") > own.count() // HOT + 1).select("fp", "component_id"))
+    frequent, rest = own.join(hot, "fp"), own.join(hot, "fp", "left_anti").join(named.select("fp", "component_id"), "fp")
+    return frequent.union(rest).select("doc_id", "fp", "component_id")

@@ -54,6 +54,14 @@ def test_quality_votes_and_odd_rows(spark):
     model = quality.fit(docs, quality.marked(marks, "quality"))
     out = {r["doc_id"]: r for r in quality.score(docs, model).collect()}
     assert all((out[i]["score"] >= 0.7) == (i < 80) and 0 <= out[i]["score"] <= 1 for i in range(160) if i % 4 == 0)
+    for i, text in rows[:20] + ODD:  # each neighbour by itself, without blocks
+        z = np.log1p(quality.term_counts(text)) * model.idf
+        z = z / max(np.sqrt((z * z).sum()), 1e-30) @ model.axes
+        near = sorted(((float(z @ v) / max(math.sqrt(float(z @ z)), 1e-30), y) for v, y in zip(model.vectors, model.labels, strict=True)), reverse=True)[: model.neighbours]
+        total = sum(max(c, 0) ** model.power for c, _ in near)
+        vote = sum(max(c, 0) ** model.power * y for c, y in near) / total if total > 1e-9 else model.base
+        assert model.score(quality.term_counts(text)[None])[0] == pytest.approx(vote, abs=1e-4)
+        assert (i, text) not in rows or out[i]["score"] == pytest.approx(vote, abs=1e-4)
     odd = quality.score(frame(spark, ODD), model)
     assert odd.count() == len(ODD) and "key" in odd.columns
     held = {r["doc_id"]: r["score"] for r in odd.collect()}
@@ -197,6 +205,20 @@ def test_anchors_cover_three_bits():
 def test_media_round_trip(spark, tmp_path):
     rows = [*ODD, (7, "x" * 64), (8, "x" * 65)]
     members = media.store(frame(spark, rows), str(tmp_path / "a"))
+    for r in media.features(members).join(members.select("doc_id", "media"), "doc_id").collect():
+        stored = bytes(r["media"])
+        side = int.from_bytes(stored[16:20], "big"), int.from_bytes(stored[20:24], "big")  # of the header chunk, which comes first
+        data = zlib.decompress(stored[stored.index(b"IDAT") + 4 : stored.index(b"IEND") - 8])
+        rows_of = [data[k * (side[0] + 1) + 1 : (k + 1) * (side[0] + 1)] for k in range(side[1])]
+        flat = [v for row in rows_of for v in row]
+        mean = sum(flat) / len(flat)
+        spread = math.sqrt(sum((v - mean) ** 2 for v in flat) / len(flat))
+        assert side[0] == media.WIDTH and (r["media_bytes"], r["media_sha256"]) == (len(stored), hashlib.sha256(stored).hexdigest())
+        parts = dict(p.split("=") for p in r["feature"].split(";"))
+        assert int(parts["h"]) == side[1] and abs(float(parts["mean"]) - mean) < 1e-3 and abs(float(parts["std"]) - spread) < 1e-3
+        cells = [[v for row in rows_of[min(a * side[1] // 8, side[1] - 1) : max(a * side[1] // 8 + 1, (a + 1) * side[1] // 8)] for v in row[b * side[0] // 8 : (b + 1) * side[0] // 8]] for a in range(8) for b in range(8)]
+        means = [sum(c) / len(c) for c in cells]
+        assert parts["ahash"] == f"{sum(1 << (63 - k) for k, m in enumerate(means) if m > sum(means) / 64 + 1e-9):016x}"
     got = sorted(media.features(members).collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0))
     assert len(got) == len(rows)
     for r, (doc, text) in zip(got, sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)), strict=True):
@@ -345,6 +367,70 @@ def test_decontamination(spark):
     assert decontaminate.matches(frame(spark, docs), bench.limit(0)).count() == 0 and decontaminate.matches(frame(spark, docs).limit(0), bench).count() == 0
 
 
+def plain_least(item, text):
+    """The least distance of an item to any part of a text, by rows of the whole table."""
+    row = list(range(len(item) + 1))
+    best = row[-1]
+    for c in text:
+        row = _next(row, item, c)
+        best = min(best, row[-1])
+    return best
+
+
+def _next(row, item, c):
+    out = [0]
+    for i, d in enumerate(item, 1):
+        out.append(min(row[i - 1] + (d != c), row[i] + 1, out[-1] + 1))
+    return out
+
+
+def test_bit_parallel_distance_against_the_table():
+    rng = random.Random(21)
+    for _ in range(400):
+        item, text = ("".join(rng.choice("abé") for _ in range(rng.randint(1, n))) for n in (80, 120))
+        assert decontaminate.least_distance(item, text)[0] == plain_least(item, text)
+
+
+def test_decontamination_of_short_overlapping_and_long(spark):
+    rng = random.Random(22)
+    passage = " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(20))
+    bench = spark.createDataFrame([(1, "the"), (2, "A  the"), (3, passage), (4, passage[50:]), (5, "the")], "item_id long, text string")
+    long_text = " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(30000))
+    docs = frame(spark, [(1, "the the a the"), (2, "a the"), (3, "The"), (4, long_text + " " + passage), (5, long_text), (6, passage[50:]), (6, passage[50:])])
+    got = sorted((r["doc_id"], r["item_id"], r["distance"]) for r in decontaminate.matches(docs, bench).collect())
+    assert got == [(2, 2, 0), (3, 1, 0), (3, 5, 0), (4, 3, 0), (4, 4, 0), (6, 4, 0), (6, 4, 0)]
+    assert sorted(r["doc_id"] for r in decontaminate.drop_contaminated(docs, bench).collect()) == [1, 5]
+
+
+def test_language_model_mixture(spark, monkeypatch):
+    """Scores recomputed from counts and the learned weights."""
+    held = {}
+    learn = ngrams._weights
+
+    def kept(*args):
+        held["w"] = learn(*args)
+        return held["w"]
+
+    monkeypatch.setattr(ngrams, "_weights", kept)
+    rows = corpus(17, 60)
+    docs = frame(spark, rows).withColumn("train", F.col("doc_id") % 10 != 0)
+    got = {r["doc_id"]: r["score"] for r in ngrams.score(docs).collect()}
+    token = {d: [w.lower() for w in t.split()] + [None] for d, t in rows}
+    train = [ws for d, ws in token.items() if d % 10]
+    one = collections.Counter(w for ws in train for w in ws)
+    two = collections.Counter(p for ws in train for p in zip(["<start>", *ws], ws))
+    n, v = sum(one.values()), len(one)
+    weight = held["w"]
+    assert np.allclose(weight.sum(axis=1), 1) and (weight >= 0).all()
+    for d, ws in token.items():
+        total = 0.0
+        for before, w in zip(["<start>", *ws], ws):
+            context = len(train) if before == "<start>" else one[before]
+            a, b, c = weight[min(23, math.ceil(math.log2(context + 1)))]
+            total += math.log10(a / (v + 1) + b * one[w] / n + (c * two[before, w] / context if context else 0.0))
+        assert got[d] == pytest.approx(total)
+
+
 def test_language_model(spark):
     rows = corpus(11, 80) + [(200, None), (201, ""), (202, "w " * 5000)] + [(None, "a b")]
     train = {d: d is not None and d % 10 != 0 for d, _ in rows}
