@@ -149,6 +149,9 @@ def mutual_reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbors.mutual_reachability(s, core, M.EUCLIDEAN, alpha=2.0).select("a", "b", F.round("distance", 8).alias("distance"), F.round("reach", 8).alias("reach"))
 
 
+_EMBEDDINGS_SQL = "SELECT vec_id AS id, embedding::DOUBLE[] AS f FROM embeddings"
+_SUPPLIERS_SQL = "SELECT s_suppkey AS id, [s_acctbal / 100, s_nationkey::DOUBLE] AS f FROM supplier"
+
 # --- trees ---------------------------------------------------------------------------------
 
 _PRIM = """,
@@ -183,6 +186,78 @@ def mst_weight_by_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.mst.agg(F.count("*").alias("edges"), F.round(F.sum("distance"), 6).alias("weight"))
 
 
+#: From the spanning tree to merges (m), condensed rows (g), births, stabilities, chosen clusters and points, by recursion.
+_HIERARCHY = """,
+pl AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS pt FROM s),
+n AS (SELECT count(*) AS n FROM s),
+e AS (
+  SELECT a.pt AS src, b.pt AS dst, best AS w, row_number() OVER (ORDER BY best, step) - 1 AS i
+  FROM p JOIN pl a ON a.id = p.src JOIN pl b ON b.id = p.v WHERE step > 0),
+t(i, v, top) AS (
+  SELECT 0::BIGINT, pt, pt FROM pl
+  UNION ALL
+  SELECT t.i + 1, t.v, CASE WHEN t.top = l.top OR t.top = r.top THEN (SELECT n FROM n) + t.i ELSE t.top END
+  FROM t JOIN e ON e.i = t.i JOIN t l ON l.v = e.src JOIN t r ON r.v = e.dst),
+k AS (SELECT DISTINCT top AS node, v FROM t),
+z AS (SELECT node, count(*) AS size FROM k GROUP BY node),
+m AS (
+  SELECT n + e.i AS node, l.top AS "left", r.top AS "right", e.w, x.size AS lsize, y.size AS rsize
+  FROM n, e JOIN t l ON l.i = e.i AND l.v = e.src JOIN t r ON r.i = e.i AND r.v = e.dst JOIN z x ON x.node = l.top JOIN z y ON y.node = r.top),
+sides AS (
+  SELECT node, 0 AS side, "left" AS child, lsize AS size, w, lsize >= {least} AND rsize >= {least} AS splits FROM m
+  UNION ALL SELECT node, 1, "right", rsize, w, lsize >= {least} AND rsize >= {least} FROM m),
+b(path, node, born) AS (
+  SELECT []::INTEGER[], 2 * n - 2, []::INTEGER[] FROM n
+  UNION ALL
+  SELECT list_append(path, side), child, CASE WHEN splits THEN list_append(path, side) ELSE born END
+  FROM b JOIN sides USING (node) WHERE size >= {least}),
+cl AS (SELECT born, (SELECT n FROM n) + row_number() OVER (ORDER BY len(born), born) - 1 AS cluster FROM (SELECT DISTINCT born FROM b)),
+g AS (
+  SELECT o.cluster AS parent, c.cluster AS child, 1 / w AS lam, size
+  FROM b JOIN sides USING (node) JOIN cl o ON o.born = b.born JOIN cl c ON c.born = list_append(b.path, side) WHERE splits
+  UNION ALL
+  SELECT o.cluster, k.v, 1 / w, 1 FROM b JOIN sides USING (node) JOIN cl o ON o.born = b.born JOIN k ON k.node = child WHERE NOT splits AND size < {least}),
+ct AS (SELECT parent, child, lam FROM g, n WHERE child >= n),
+birth AS (SELECT n AS cluster, 0.0::DOUBLE AS lam FROM n UNION ALL SELECT child, lam FROM ct),
+st AS (SELECT parent AS cluster, sum((g.lam - birth.lam) * size) AS stability, max(g.lam) AS own FROM g JOIN birth ON birth.cluster = parent GROUP BY parent),
+kids AS (SELECT st.cluster, stability, coalesce(list(child) FILTER (child IS NOT NULL), []) AS below FROM st LEFT JOIN ct ON ct.parent = st.cluster GROUP BY ALL),
+q(i, best, won) AS (
+  SELECT max(cluster) + 1, []::DOUBLE[], []::BOOLEAN[] FROM st
+  UNION ALL
+  SELECT i - 1, list_prepend(CASE WHEN keeps THEN stability ELSE total END, best), list_prepend(keeps, won)
+  FROM (
+    SELECT *, stability >= total AND i - 1 > (SELECT n FROM n) AS keeps
+    FROM (SELECT q.*, stability, coalesce(list_sum(list_transform(below, lambda x: best[x - q.i + 1])), 0) AS total FROM q JOIN kids ON kids.cluster = q.i - 1))),
+won AS (SELECT unnest(won) AS won, (SELECT n FROM n) + generate_subscripts(won, 1) - 1 AS cluster FROM (SELECT won FROM q ORDER BY i LIMIT 1)),
+picked AS (SELECT cluster FROM {picked}),
+u(cluster, over) AS (
+  SELECT n, NULL::BIGINT FROM n
+  UNION ALL
+  SELECT ct.child, CASE WHEN u.over IS NOT NULL THEN u.over WHEN picked.cluster IS NOT NULL THEN ct.child END
+  FROM u JOIN ct ON ct.parent = u.cluster LEFT JOIN picked ON picked.cluster = ct.child),
+an(cluster, above) AS (SELECT cluster, cluster FROM st UNION SELECT an.cluster, ct.parent FROM an JOIN ct ON ct.child = an.above),
+peak AS (SELECT above AS cluster, max(own) AS peak FROM an JOIN st USING (cluster) GROUP BY above),
+label AS (SELECT over, row_number() OVER (ORDER BY over) - 1 AS label FROM (SELECT DISTINCT over FROM u WHERE over IS NOT NULL)),
+pt AS (
+  SELECT pl.id, g.lam, g.parent AS cluster, u.over, coalesce(label.label, -1)::INTEGER AS label,
+    CASE WHEN u.over IS NULL THEN 0.0 ELSE least(g.lam, x.peak) / x.peak END AS probability, (y.peak - g.lam) / y.peak AS outlier_score
+  FROM g JOIN pl ON pl.pt = g.child AND g.size = 1 JOIN n ON g.child < n.n JOIN u ON u.cluster = g.parent LEFT JOIN label ON label.over = u.over
+  LEFT JOIN peak x ON x.cluster = u.over JOIN peak y ON y.cluster = g.parent)
+"""
+_MOST_STABLE = "won WHERE won"
+_LEAVES = "st WHERE cluster NOT IN (SELECT parent FROM ct) AND cluster IN (SELECT child FROM ct)"
+_POINTS = "SELECT id, label, round(probability, 8) AS probability, round(outlier_score, 8) AS outlier_score FROM pt"
+
+
+def _fit_sql(tail: str, source: str = _SUPPLIERS_SQL, k: int = 5, least: int = 5, picked: str = _MOST_STABLE) -> str:
+    """SQL of a fit, to its ``tail``."""
+    return _REACH.format(k=k, alpha="1.0::DOUBLE").replace(_SUPPLIERS_SQL, source) + _PRIM + _HIERARCHY.format(least=least, picked=picked) + tail
+
+
+def _rounded(points: DataFrame) -> DataFrame:
+    return points.withColumn("probability", F.round("probability", 8)).withColumn("outlier_score", F.round("outlier_score", 8))
+
+
 _CUT = """,
 g(id, root) AS (
   SELECT id, id FROM s
@@ -405,9 +480,31 @@ def fit_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flagship(spark, sf_dir)
 
 
-@_query("fit_embeddings")
+@_query("fit_embeddings", _fit_sql(_POINTS, _EMBEDDINGS_SQL))
 def fit_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fit(_embeddings(spark, sf_dir), Config(min_cluster_size=5)).points
+    return _rounded(fit(_embeddings(spark, sf_dir), Config(min_cluster_size=5)).points)
+
+
+@_query("fit_suppliers", _fit_sql(_POINTS))
+def fit_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(fit(_suppliers(spark, sf_dir), Config(min_cluster_size=5)).points)
+
+
+@_query(
+    "fit_supplier_clusters",
+    _fit_sql(
+        "SELECT label.label::INTEGER AS label, label.over AS cluster_id, round(stability / ((SELECT count(*) FROM pt WHERE pt.over = label.over) * (SELECT max(lam) FROM g)), 8) AS persistence, round(stability, 8) AS stability "
+        "FROM label JOIN st ON st.cluster = label.over",
+    ),
+)
+def fit_supplier_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clusters = fit(_suppliers(spark, sf_dir), Config(min_cluster_size=5)).clusters
+    return clusters.withColumn("persistence", F.round("persistence", 8)).withColumn("stability", F.round("stability", 8))
+
+
+@_query("extract_supplier_leaves", _fit_sql(_POINTS, least=3, picked=_LEAVES))
+def extract_supplier_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(fit(_suppliers(spark, sf_dir), Config(min_cluster_size=3, min_samples=5)).extract(ExtractionConfig(method=LEAF))[0])
 
 
 @_query("fit_clusters")
@@ -415,14 +512,16 @@ def fit_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fit(_parts(spark, sf_dir), Config(min_cluster_size=10, min_samples=5)).clusters
 
 
-@_query("single_linkage_tree")
+@_query("single_linkage_tree", _fit_sql('SELECT node, "left", "right", round(w, 8) AS distance, lsize + rsize AS size FROM m'))
 def single_linkage_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fit(_suppliers(spark, sf_dir), Config(min_cluster_size=5)).linkage
+    merges = fit(_suppliers(spark, sf_dir), Config(min_cluster_size=5)).linkage
+    return merges.select("node", "left", "right", F.round("distance", 8).alias("distance"), "size")
 
 
-@_query("condensed_tree")
+@_query("condensed_tree", _fit_sql("SELECT parent, child, round(lam, 8) AS lambda_val, size AS child_size FROM g"))
 def condensed_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fit(_suppliers(spark, sf_dir), Config(min_cluster_size=5)).condensed
+    rows = fit(_suppliers(spark, sf_dir), Config(min_cluster_size=5)).condensed
+    return rows.select("parent", "child", F.round("lambda_val", 8).alias("lambda_val"), "child_size")
 
 
 @_query("extract_leaves")
@@ -451,13 +550,13 @@ def fit_sparse_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fit_graph(both.groupBy("src", "dst").agg(F.min("distance").alias("distance")), n, Config(min_cluster_size=3, min_samples=1)).points
 
 
-@_query("fit_precomputed")
+@_query("fit_precomputed", _fit_sql(_POINTS.replace("SELECT id", "SELECT (SELECT pl.pt FROM pl WHERE pl.id = pt.id) AS id")))
 def fit_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _suppliers(spark, sf_dir)
     low = s.agg(F.min("id")).first()[0]
     x, y = s.select(F.col("id").alias("src"), F.col("features").alias("x")), s.select(F.col("id").alias("dst"), F.col("features").alias("y"))
     edges = x.join(y, F.lit(True)).select((F.col("src") - low).alias("src"), (F.col("dst") - low).alias("dst"), M.EUCLIDEAN.distance(F.col("x"), F.col("y")).alias("distance"))
-    return fit_precomputed(edges, s.count(), Config(min_cluster_size=5)).points
+    return _rounded(fit_precomputed(edges, s.count(), Config(min_cluster_size=5)).points)
 
 
 def _predicting(spark: SparkSession, sf_dir: str):
@@ -489,6 +588,53 @@ def all_points_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _predicting(spark, sf_dir).all_points_membership()
 
 
+_ASKED_SQL = """,
+qd AS (
+  SELECT a.s_suppkey AS id, s.id AS nbr, list_distance([a.s_acctbal / 100 + 0.0625, a.s_nationkey + 0.25], s.f) AS d FROM supplier a, s),
+qr AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, nbr) - 1 AS place FROM qd),
+qo AS (SELECT id, min(d) AS least, max(d) FILTER (place = 4) AS own FROM qr GROUP BY id),
+pc AS (SELECT a AS id, d AS core FROM (SELECT a, d, row_number() OVER (PARTITION BY a ORDER BY d, b) AS r FROM d) WHERE r = 3),
+qn AS (
+  SELECT qr.id, qr.nbr, least, greatest(core, own, d) AS reach, row_number() OVER (PARTITION BY qr.id ORDER BY greatest(core, own, d), place) AS turn
+  FROM qr JOIN qo ON qo.id = qr.id JOIN pc ON pc.id = qr.nbr WHERE place < 8),
+qc AS (SELECT qn.id, nbr, least, 1 / reach AS density, pt.lam, pt.cluster FROM qn JOIN pt ON pt.id = qn.nbr WHERE turn = 1),
+ql AS (
+  SELECT qc.*, CASE WHEN qc.lam > density THEN (
+    SELECT max(above) FROM an JOIN birth ON birth.cluster = an.above WHERE an.cluster = qc.cluster AND (an.above = (SELECT n FROM n) OR birth.lam < density)) ELSE qc.cluster END AS at
+  FROM qc)
+"""
+
+
+def _predicting_suppliers(spark: SparkSession, sf_dir: str):
+    return fit(_suppliers(spark, sf_dir), Config(min_cluster_size=5, min_samples=4, prediction_data=True))
+
+
+def _asked_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _read(spark, sf_dir, "supplier").withColumn("balance", F.col("s_acctbal") / 100 + F.lit(0.0625)).withColumn("nation", F.col("s_nationkey") + F.lit(0.25))
+    return vectors.vectors(df, "s_suppkey", ["balance", "nation"])
+
+
+@_query(
+    "predict_suppliers",
+    _fit_sql(_ASKED_SQL, k=4)
+    + "SELECT ql.id, coalesce(label.label, -1)::INTEGER AS label, round(CASE WHEN u.over IS NULL THEN 0.0 ELSE least(own, density) / own END, 8) AS probability "
+    "FROM ql JOIN u ON u.cluster = ql.at LEFT JOIN label ON label.over = u.over LEFT JOIN st ON st.cluster = u.over",
+)
+def predict_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _predicting_suppliers(spark, sf_dir).predict(_asked_suppliers(spark, sf_dir))
+    return found.withColumn("probability", F.round("probability", 8))
+
+
+@_query(
+    "predict_supplier_scores",
+    _fit_sql(_ASKED_SQL, k=4)
+    + "SELECT ql.id, round((peak - CASE WHEN least = 0 THEN lam ELSE density END) / peak, 8) AS outlier_score FROM ql JOIN peak ON peak.cluster = ql.cluster",
+)
+def predict_supplier_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _predicting_suppliers(spark, sf_dir).predict_scores(_asked_suppliers(spark, sf_dir))
+    return found.withColumn("outlier_score", F.round("outlier_score", 8))
+
+
 @_query("detect_branches")
 def detect_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _predicting(spark, sf_dir).detect_branches(BranchConfig(graph="core", min_cluster_size=5)).points
