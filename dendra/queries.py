@@ -229,13 +229,16 @@ q(i, best, won) AS (
     SELECT *, stability >= total AND i - 1 > (SELECT n FROM n) AS keeps
     FROM (SELECT q.*, stability, coalesce(list_sum(list_transform(below, lambda x: best[x - q.i + 1])), 0) AS total FROM q JOIN kids ON kids.cluster = q.i - 1))),
 won AS (SELECT unnest(won) AS won, (SELECT n FROM n) + generate_subscripts(won, 1) - 1 AS cluster FROM (SELECT won FROM q ORDER BY i LIMIT 1)),
+an(cluster, above) AS (SELECT cluster, cluster FROM st UNION SELECT an.cluster, ct.parent FROM an JOIN ct ON ct.child = an.above),
+stable AS (
+  SELECT cluster FROM won
+  WHERE won AND cluster NOT IN (SELECT an.cluster FROM an JOIN won ON won.cluster = an.above WHERE won.won AND an.above <> an.cluster)),
 picked AS (SELECT cluster FROM {picked}),
 u(cluster, over) AS (
   SELECT n, NULL::BIGINT FROM n
   UNION ALL
-  SELECT ct.child, CASE WHEN u.over IS NOT NULL THEN u.over WHEN picked.cluster IS NOT NULL THEN ct.child END
+  SELECT ct.child, coalesce(picked.cluster, u.over)
   FROM u JOIN ct ON ct.parent = u.cluster LEFT JOIN picked ON picked.cluster = ct.child),
-an(cluster, above) AS (SELECT cluster, cluster FROM st UNION SELECT an.cluster, ct.parent FROM an JOIN ct ON ct.child = an.above),
 peak AS (SELECT above AS cluster, max(own) AS peak FROM an JOIN st USING (cluster) GROUP BY above),
 label AS (SELECT over, row_number() OVER (ORDER BY over) - 1 AS label FROM (SELECT DISTINCT over FROM u WHERE over IS NOT NULL)),
 pt AS (
@@ -244,7 +247,9 @@ pt AS (
   FROM g JOIN pl ON pl.pt = g.child AND g.size = 1 JOIN n ON g.child < n.n JOIN u ON u.cluster = g.parent LEFT JOIN label ON label.over = u.over
   LEFT JOIN peak x ON x.cluster = u.over JOIN peak y ON y.cluster = g.parent)
 """
-_MOST_STABLE = "won WHERE won"
+_MOST_STABLE = "stable"
+#: Clusters merged up to where they part at the limit's density or less, never into the root.
+_MERGED = "(SELECT max(an.above) AS cluster FROM stable JOIN an USING (cluster) JOIN ct ON ct.child = an.above WHERE ct.lam <= {limit} OR ct.parent = (SELECT n FROM n) GROUP BY stable.cluster)"
 _LEAVES = "st WHERE cluster NOT IN (SELECT parent FROM ct) AND cluster IN (SELECT child FROM ct)"
 _POINTS = "SELECT id, label, round(probability, 8) AS probability, round(outlier_score, 8) AS outlier_score FROM pt"
 
@@ -512,6 +517,11 @@ def fit_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fit(_parts(spark, sf_dir), Config(min_cluster_size=10, min_samples=5)).clusters
 
 
+@_query("extract_supplier_epsilon", _fit_sql(_POINTS, least=3, picked=_MERGED.format(limit="(1 / 5.6::DOUBLE)")))
+def extract_supplier_epsilon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(fit(_suppliers(spark, sf_dir), Config(min_cluster_size=3, min_samples=5)).extract(ExtractionConfig(epsilon=5.6))[0])
+
+
 @_query("single_linkage_tree", _fit_sql('SELECT node, "left", "right", round(w, 8) AS distance, lsize + rsize AS size FROM m'))
 def single_linkage_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     merges = fit(_suppliers(spark, sf_dir), Config(min_cluster_size=5)).linkage
@@ -635,6 +645,54 @@ def predict_supplier_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("outlier_score", F.round("outlier_score", 8))
 
 
+#: Memberships: of rows ``mq`` (id, f, cluster, density) in each selected cluster, by exemplars and by the heights where paths to the root meet.
+_MEMBER_SQL = """,
+ex AS (
+  SELECT u.over, s.f FROM g JOIN n ON g.child < n.n AND g.size = 1 JOIN st ON st.cluster = g.parent AND st.own = g.lam JOIN u ON u.cluster = g.parent JOIN pl ON pl.pt = g.child JOIN s ON s.id = pl.id
+  WHERE g.parent NOT IN (SELECT parent FROM ct) AND u.over IS NOT NULL),
+mx AS (
+  SELECT mq.id, mq.cluster, density, over, 1 / min(list_distance(mq.f, ex.f)) AS near FROM mq, ex GROUP BY ALL),
+mc AS (SELECT *, CASE WHEN isinf(near) THEN 1.7976931348623157e308 / count(*) OVER w ELSE near END AS capped FROM mx WINDOW w AS (PARTITION BY id)),
+ms AS (SELECT *, capped / sum(capped) OVER (PARTITION BY id) AS close FROM mc),
+mh AS (
+  SELECT ms.*, x.own AS top, y.own AS other_top,
+    CASE WHEN over IN (SELECT above FROM an WHERE an.cluster = ms.cluster) OR ms.cluster IN (SELECT above FROM an WHERE an.cluster = over) THEN density
+      ELSE (SELECT min(lam) FROM an JOIN birth ON birth.cluster = an.above WHERE an.cluster = over AND an.above NOT IN (SELECT o.above FROM an o WHERE o.cluster = ms.cluster)) END AS h
+  FROM ms JOIN st x ON x.cluster = ms.cluster JOIN st y ON y.cluster = ms.over),
+"""
+_MEMBER_TAIL = """
+mb AS (SELECT *, first_value(h / greatest(other_top, density, 1e-8)) OVER (PARTITION BY id ORDER BY h DESC, over) AS strength FROM mg)
+SELECT id, label.label::INTEGER AS label, round(CASE WHEN sum(share) OVER (PARTITION BY id) > 0 THEN share / sum(share) OVER (PARTITION BY id) * strength ELSE share END, 7) AS membership
+FROM mb JOIN label USING (over)
+"""
+_NEW_SQL = """
+ma AS (SELECT *, top / (CASE WHEN top - h > 0 THEN top - h ELSE 1e-8 END) AS a FROM mh),
+me AS (SELECT *, exp(a - max(a) OVER (PARTITION BY id)) AS away FROM ma),
+mg AS (SELECT *, sqrt(close) * power(away / sum(away) OVER (PARTITION BY id), 2) AS share FROM me),"""
+_FITTED_SQL = """
+me AS (SELECT *, CASE WHEN h <= 0 THEN 1.0 ELSE exp(exp(-(top + 1e-8) / h)) END AS away FROM mh),
+mg AS (SELECT *, close * (away / sum(away) OVER (PARTITION BY id)) AS share FROM me),"""
+
+
+@_query(
+    "supplier_memberships",
+    _fit_sql(_ASKED_SQL, k=4)
+    + ", mq AS (SELECT ql.id, [a.s_acctbal / 100 + 0.0625, a.s_nationkey + 0.25] AS f, cluster, least(lam, density) AS density FROM ql JOIN supplier a ON a.s_suppkey = ql.id)"
+    + _MEMBER_SQL.rstrip()
+    + _NEW_SQL
+    + _MEMBER_TAIL,
+)
+def supplier_memberships(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _predicting_suppliers(spark, sf_dir).membership(_asked_suppliers(spark, sf_dir))
+    return found.withColumn("membership", F.round("membership", 7))
+
+
+@_query("supplier_point_memberships", _fit_sql(", mq AS (SELECT pt.id, s.f, cluster, lam AS density FROM pt JOIN s USING (id))", k=4) + _MEMBER_SQL.rstrip() + _FITTED_SQL + _MEMBER_TAIL)
+def supplier_point_memberships(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _predicting_suppliers(spark, sf_dir).all_points_membership()
+    return found.withColumn("membership", F.round("membership", 7))
+
+
 @_query("detect_branches")
 def detect_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _predicting(spark, sf_dir).detect_branches(BranchConfig(graph="core", min_cluster_size=5)).points
