@@ -703,11 +703,42 @@ def predict_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _predicting(spark, sf_dir).detect_branches(BranchConfig(graph="core", min_cluster_size=5)).predict(_asked(spark, sf_dir))
 
 
-@_query("validity_index")
+_VALIDITY_SQL = """
+WITH RECURSIVE s AS (
+  SELECT s_suppkey AS id, [s_acctbal / 100, s_nationkey::DOUBLE] AS f, CASE WHEN s_acctbal < 0 THEN -1 ELSE n_regionkey END AS label
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+d AS (SELECT a.id AS a, b.id AS b, a.label AS la, b.label AS lb, list_distance(a.f, b.f) AS d FROM s a JOIN s b ON a.id <> b.id WHERE a.label >= 0 AND b.label >= 0),
+c AS (SELECT a AS id, CASE WHEN min(d) = 0 THEN 0.0 ELSE power(sum(1 / (d * d)) / count(*), -0.5) END AS core FROM d WHERE la = lb GROUP BY a),
+w AS (SELECT d.*, greatest(d, x.core, y.core) AS w FROM d JOIN c x ON x.id = a JOIN c y ON y.id = b),
+p(v, label, best, src, step) USING KEY (v) AS (
+  SELECT id, label, CASE WHEN id = min(id) OVER k THEN 0.0 ELSE 'inf'::DOUBLE END, 0::BIGINT, CASE WHEN id = min(id) OVER k THEN 0 ELSE -1 END FROM s WHERE label >= 0 WINDOW k AS (PARTITION BY label)
+  UNION
+  (WITH t AS (SELECT label, max(step) AS k FROM recurring.p GROUP BY label),
+    l AS (SELECT v, p.label, k FROM recurring.p p JOIN t ON t.label = p.label AND step = k),
+    r AS (SELECT p.v, p.label, least(w.w, p.best) AS best, CASE WHEN w.w < p.best THEN l.v ELSE p.src END AS src, k
+      FROM recurring.p p JOIN l ON l.label = p.label JOIN w ON w.a = l.v AND w.b = p.v WHERE p.step = -1),
+    pick AS (SELECT label, v FROM r QUALIFY row_number() OVER (PARTITION BY label ORDER BY best, v) = 1)
+   SELECT r.v, r.label, r.best, r.src, CASE WHEN r.v = pick.v THEN k + 1 ELSE -1 END FROM r JOIN pick USING (label))),
+h AS (
+  SELECT t.v, t.label, t.best, min(o.v) AS parent FROM p t JOIN p o ON o.label = t.label AND o.step < t.step JOIN w ON w.a = o.v AND w.b = t.v
+  WHERE abs(w.w - t.best) <= 1e-8 + 1e-5 * t.best GROUP BY ALL),
+deg AS (SELECT v, count(*) AS n FROM (SELECT v FROM h UNION ALL SELECT parent FROM h) GROUP BY v),
+i AS (SELECT s.id, s.label FROM s JOIN deg ON deg.v = s.id WHERE n > 1),
+sp AS (SELECT h.label, max(best) FILTER (x.n > 1 AND y.n > 1) AS sparse FROM h JOIN deg x ON x.v = h.v JOIN deg y ON y.v = h.parent GROUP BY h.label),
+se AS (SELECT la AS label, min(w) AS sep FROM w JOIN i x ON x.id = a JOIN i y ON y.id = b WHERE la <> lb GROUP BY la),
+per AS (SELECT label, (sep - coalesce(sparse, 0)) / greatest(sep, sparse) AS score FROM sp JOIN se USING (label))
+SELECT label::INTEGER AS label, round(score, 8) AS score FROM per
+UNION ALL SELECT -1, round(sum(score * (SELECT count(*) FROM s WHERE s.label = per.label)) / (SELECT count(*) FROM s), 8) FROM per
+"""
+
+
+@_query("validity_index", _VALIDITY_SQL)
 def validity_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _suppliers(spark, sf_dir)
-    score, per = validity(s, fit(s, Config(min_cluster_size=5)).labels)
-    return spark.createDataFrame([(-1, score), *enumerate(per)], "label int, score double")
+    """Of the regions as clusters; those in debt are noise."""
+    placed = _read(spark, sf_dir, "supplier").join(_read(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    labels = placed.select(F.col("s_suppkey").alias("id"), F.when(F.col("s_acctbal") < 0, -1).otherwise(F.col("n_regionkey")).cast("int").alias("label"))
+    score, per = validity(_suppliers(spark, sf_dir), labels)
+    return spark.createDataFrame([(-1, score), *enumerate(per)], "label int, score double").withColumn("score", F.round("score", 8))
 
 
 @_query("select_algorithm")
