@@ -186,13 +186,15 @@ def mst_weight_by_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.mst.agg(F.count("*").alias("edges"), F.round(F.sum("distance"), 6).alias("weight"))
 
 
-#: From the spanning tree to merges (m), condensed rows (g), births, stabilities, chosen clusters and points, by recursion.
-_HIERARCHY = """,
+_TREE_EDGES = """,
 pl AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS pt FROM s),
 n AS (SELECT count(*) AS n FROM s),
 e AS (
   SELECT a.pt AS src, b.pt AS dst, best AS w, row_number() OVER (ORDER BY best, step) - 1 AS i
-  FROM p JOIN pl a ON a.id = p.src JOIN pl b ON b.id = p.v WHERE step > 0),
+  FROM p JOIN pl a ON a.id = p.src JOIN pl b ON b.id = p.v WHERE step > 0)
+"""
+#: From the edges (e) of the spanning tree to merges (m), condensed rows (g), births, stabilities, chosen clusters and points, by recursion.
+_HIERARCHY = """,
 t(i, v, top) AS (
   SELECT 0::BIGINT, pt, pt FROM pl
   UNION ALL
@@ -256,7 +258,7 @@ _POINTS = "SELECT id, label, round(probability, 8) AS probability, round(outlier
 
 def _fit_sql(tail: str, source: str = _SUPPLIERS_SQL, k: int = 5, least: int = 5, picked: str = _MOST_STABLE) -> str:
     """SQL of a fit, to its ``tail``."""
-    return _REACH.format(k=k, alpha="1.0::DOUBLE").replace(_SUPPLIERS_SQL, source) + _PRIM + _HIERARCHY.format(least=least, picked=picked) + tail
+    return _REACH.format(k=k, alpha="1.0::DOUBLE").replace(_SUPPLIERS_SQL, source) + _PRIM + _TREE_EDGES + _HIERARCHY.format(least=least, picked=picked) + tail
 
 
 def _rounded(points: DataFrame) -> DataFrame:
@@ -549,7 +551,26 @@ def fit_approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fit(_suppliers(spark, sf_dir), Config(min_cluster_size=5, algorithm=APPROXIMATE)).points
 
 
-@_query("fit_sparse_graph")
+_GRAPH_SQL = """
+WITH RECURSIVE s AS (SELECT s_suppkey - (SELECT min(s_suppkey) FROM supplier) AS id, s_acctbal AS b, n_regionkey AS r FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+pl AS (SELECT id, id AS pt FROM s),
+n AS (SELECT count(*) AS n FROM s),
+d AS (
+  SELECT a, b, min(d) AS d FROM (
+    SELECT x.id AS a, y.id AS b, abs(x.b - y.b) AS d FROM s x JOIN s y ON x.r = y.r AND x.id <> y.id
+    UNION ALL SELECT x.id, y.id, 1e5 FROM s x JOIN s y ON abs(x.id - y.id) = 1)
+  GROUP BY a, b),
+c AS (SELECT a AS id, min(d) AS core FROM d GROUP BY a),
+ke AS (SELECT a, b, w, row_number() OVER (ORDER BY w, a, b) - 1 AS j FROM (SELECT a, b, greatest(d, x.core, y.core) AS w FROM d JOIN c x ON x.id = a JOIN c y ON y.id = b WHERE a < b)),
+kt(j, v, top) AS (
+  SELECT 0::BIGINT, pt, pt FROM pl
+  UNION ALL
+  SELECT kt.j + 1, kt.v, CASE WHEN kt.top = r.top THEN l.top ELSE kt.top END FROM kt JOIN ke ON ke.j = kt.j JOIN kt l ON l.v = ke.a JOIN kt r ON r.v = ke.b),
+e AS (SELECT a AS src, b AS dst, w, row_number() OVER (ORDER BY ke.j) - 1 AS i FROM ke JOIN kt l ON l.j = ke.j AND l.v = a JOIN kt r ON r.j = ke.j AND r.v = b WHERE l.top <> r.top)
+"""
+
+
+@_query("fit_sparse_graph", _GRAPH_SQL + _HIERARCHY.format(least=3, picked=_MOST_STABLE) + _POINTS)
 def fit_sparse_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers by place, chained so that the regions hang together."""
     edges = _nation_graph(spark, sf_dir)
@@ -557,7 +578,7 @@ def fit_sparse_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     low = _read(spark, sf_dir, "supplier").agg(F.min("s_suppkey")).first()[0]
     chain = spark.range(n - 1).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), F.lit(1e5).alias("distance"))
     both = chain.union(chain.select("dst", "src", "distance")).union(edges.select(F.col("src") - low, F.col("dst") - low, "distance"))
-    return fit_graph(both.groupBy("src", "dst").agg(F.min("distance").alias("distance")), n, Config(min_cluster_size=3, min_samples=1)).points
+    return _rounded(fit_graph(both.groupBy("src", "dst").agg(F.min("distance").alias("distance")), n, Config(min_cluster_size=3, min_samples=1)).points)
 
 
 @_query("fit_precomputed", _fit_sql(_POINTS.replace("SELECT id", "SELECT (SELECT pl.pt FROM pl WHERE pl.id = pt.id) AS id")))
