@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..errors import Disconnected, InvalidShape
 from ..functions.metrics import Metric
 from ..plans.config import Config
+from ..plans.lineage import cut
 from ..sources.vectors import Shape
 from .neighbors import reachability
 
@@ -35,6 +36,21 @@ def coefficient(projection: int, dimension: int) -> int:
     return (h >> _SHIFT) - 4
 
 
+#: Rows up to which one task numbers them; beyond, they are numbered range by range. The places are the same.
+ONE_TASK_ROWS = 200_000
+
+
+def places(df: DataFrame, rows: int) -> DataFrame:
+    """(id, place): places from 1 in the order of (value, id)."""
+    if rows <= ONE_TASK_ROWS:
+        return df.select("id", F.row_number().over(Window.orderBy("value", "id")).alias("place"))
+    ranged = cut(df.repartitionByRange("value", "id").withColumn("part", F.spark_partition_id()))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each range
+    ahead = ranged.groupBy("part").agg(F.count("*").alias("n")).withColumn("before", before).select("part", "before")
+    own = F.row_number().over(Window.partitionBy("part").orderBy("value", "id"))
+    return ranged.withColumn("own", own).join(F.broadcast(ahead), "part").select("id", (F.col("own") + F.col("before")).cast("long").alias("place"))
+
+
 class Projections:
     def __init__(self, candidates: int = 0):
         self.candidates = candidates
@@ -50,7 +66,7 @@ class Projections:
         for p in range(PROJECTIONS):
             factors = F.array(*(F.lit(float(coefficient(p, d))) for d in range(shape.columns)))
             value = F.aggregate(F.zip_with("features", factors, lambda x, c: x * c), F.lit(0.0), lambda s, v: s + v)
-            placed = df.select("id", F.row_number().over(Window.orderBy(value, "id")).alias("place"))
+            placed = places(df.select("id", value.alias("value")), shape.rows)
             near = placed.select(F.col("id").alias("a"), F.explode(F.sequence(F.col("place") - width, F.col("place") + width)).alias("place"))
             part = near.join(placed.select(F.col("id").alias("b"), "place"), "place").select("a", "b")
             found = part if found is None else found.union(part)
@@ -77,8 +93,13 @@ def fit_rows(df: DataFrame, config: Config, shape: Shape) -> DataFrame:
 
     backend: Backend = config.approximate_backend or Projections(config.approximate_candidates)
     core, edges = backend.build(df, config.metric, min(config.min_samples, shape.rows - 1), config.alpha, shape)
-    if core.count() != shape.rows:
-        raise InvalidShape("the backend gave core distances for other points")
+    known = df.select("id").join(core.select("id", "core"), "id", "full_outer").join(df.select("id", F.lit(True).alias("there")), "id", "left")
+    bad = known.where(F.col("there").isNull() | F.col("core").isNull() | ~((F.col("core") >= 0) & (F.col("core") < float("inf")))).limit(1).count()
+    if bad or core.count() != shape.rows:
+        raise InvalidShape("the backend gave core distances for other points, or such as are negative or not finite")
+    ends = edges.select(F.col("src").alias("id")).union(edges.select(F.col("dst").alias("id")))
+    if ends.join(df.select("id"), "id", "left_anti").limit(1).count():
+        raise InvalidShape("the backend gave an edge of another point")
     wrong = edges.where((F.col("src") == F.col("dst")) | F.col("distance").isNull() | F.isnan("distance") | (F.col("distance") < 0) | (F.col("distance") == float("inf"))).limit(1).count()
     if wrong:
         raise Disconnected("the backend gave an edge that isn't finite, or a loop")

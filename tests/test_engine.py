@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from dendra import errors
 from dendra.functions import metrics as M
-from dendra.operators import analytics, evaluation, neighbors, prediction, tree
+from dendra.operators import analytics, approximate, evaluation, neighbors, prediction, spanning, tree
 from dendra.operators.robust import cut_linkage, robust_single_linkage
 from dendra.operators.validity import validity
 from dendra.plans import jobs
@@ -186,6 +186,19 @@ def test_blocks_and_approximation_agree(spark):
     assert fit(df, Config(min_cluster_size=5, prim_rows=1, block_rows=20)).mst.agg({"distance": "sum"}).first()[0] == pytest.approx(one.mst.agg({"distance": "sum"}).first()[0])
 
 
+def test_rounds_and_ranges_change_nothing(spark, monkeypatch):
+    x = blobs(16, 120)
+    df = frame(spark, x)
+    whole = sorted(map(tuple, fit(df, Config(min_cluster_size=5)).mst.select("distance").collect()))
+    monkeypatch.setattr(spanning, "MERGED", 2)
+    rounds = fit(df, Config(min_cluster_size=5, prim_rows=1, block_rows=15)).mst
+    assert np.allclose(sorted(map(tuple, rounds.select("distance").collect())), whole) and rounds.count() == len(x) - 1
+    values = df.select("id", F.round(F.get("features", F.lit(0)), 0).alias("value"))  # ties go by id
+    one = sorted(map(tuple, approximate.places(values, len(x)).collect()))
+    monkeypatch.setattr(approximate, "ONE_TASK_ROWS", 10)
+    assert sorted(map(tuple, approximate.places(values, len(x)).collect())) == one
+
+
 def test_relational_analytics_are_the_kernels(spark):
     model = fit(frame(spark, blobs(3)), Config(min_cluster_size=4, min_samples=3))
     t, n = model.tree, model.size
@@ -307,6 +320,34 @@ def test_distances_that_are_none(spark):
     assert evaluation.same_partition(labels, fit_predict(x, Config(min_cluster_size=2, metric="manhattan"))).first()[0]
 
 
+class Wrong:
+    """A backend with one thing wrong."""
+
+    def __init__(self, core=None, edge=None, rows=6):
+        self.core, self.edge, self.rows = core, edge, rows
+
+    def build(self, df, metric, k, alpha, shape):
+        spark = df.sparkSession
+        core = [(i, 1.0) for i in range(self.rows)]
+        edges = [(i, i + 1, 1.0 + i) for i in range(5)]
+        if self.core is not None:
+            core[2] = self.core
+        if self.edge is not None:
+            edges[2] = self.edge
+        return spark.createDataFrame(core, "id long, core double"), spark.createDataFrame(edges, "src long, dst long, distance double")
+
+
+@pytest.mark.parametrize(
+    ("wrong", "kind"),
+    [({"core": (2, float("nan"))}, errors.InvalidShape), ({"core": (9, 1.0)}, errors.InvalidShape), ({"core": (2, -1.0)}, errors.InvalidShape), ({"rows": 5}, errors.InvalidShape), ({"edge": (2, 11, 1.0)}, errors.InvalidShape), ({"edge": (2, 3, float("inf"))}, errors.Disconnected), ({"edge": (0, 1, 3.0)}, errors.Disconnected)],
+)
+def test_backends_are_checked(spark, wrong, kind):
+    x = frame(spark, [[float(i * i)] for i in range(6)])
+    assert fit(x, Config(min_cluster_size=2, algorithm="approximate", approximate_backend=Wrong())).mst.count() == 5
+    with pytest.raises(kind):
+        fit(x, Config(min_cluster_size=2, algorithm="approximate", approximate_backend=Wrong(**wrong)))
+
+
 def test_cancellation_ends_the_running_action(spark):
     outcome, started = [], threading.Event()
 
