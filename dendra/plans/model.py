@@ -258,6 +258,7 @@ def _prim_kernel(config: Config, metric: Metric, columns: int):
 
 def edge_kernel(config: Config):
     """From edges, and rows without dst that name the vertices: Kruskal in the order (distance, smaller id, larger id)."""
+    config = replace(config, approximate_backend=None)  # stays on the driver
 
     def run(table: pa.Table) -> pa.Table:
         lone = np.asarray(table.column("dst").is_null())
