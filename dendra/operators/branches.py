@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..errors import Disconnected, InvalidConfig
 from ..functions.metrics import Metric
 from ..plans.config import CORE, BranchConfig, contiguous
+from ..sources import exports
 from . import neighbors
 from .tree import condense, extract, kruskal, linkage
 
@@ -135,6 +136,10 @@ class BranchResult:
     def condensed(self) -> DataFrame:
         return self._kind("condensed", parent="a", child="b", lambda_val="x", child_size="n")
 
+    def export(self, path: str, form: str = exports.CSV) -> None:
+        """The branch graph as from, to, centrality, reachability."""
+        exports.write(self.graph, "branch_graph", path, form)
+
     @property
     def persistences(self) -> DataFrame:
         return self._kind("branch", branch="a", persistence="x")

@@ -3,6 +3,8 @@
 Vectors are packed into blocks. A small base side, its size checked, is broadcast and
 each block of queries finds its neighbours in one pass; a larger one is joined block by
 block on an equi-key, each pair of blocks giving k candidates a row, merged by a window.
+For metrics that grow with every coordinate's gap the blocks are cells of space, of which
+only those meet that are near enough (see ``cells``).
 Distances are folded in coordinate order, so the physical choice never changes a value.
 """
 
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 from ..errors import InvalidDistance
 from ..functions.metrics import Metric
 from ..sources.vectors import Shape
+from . import cells
 
 #: Bytes of vectors that are broadcast at most.
 BROADCAST_BYTES = 32 << 20
@@ -73,9 +76,13 @@ def knn(queries: DataFrame, base: DataFrame, k: int, metric: Metric, shape: Shap
 
         found = queries.select("id", "features").mapInArrow(run, _PAIR)
     else:
-        blocks = -(-shape.rows // block_rows)
-        left = _packed(queries, block_rows, blocks, width).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        right = _packed(base, block_rows, blocks, width).select(F.col("block").alias("other"), F.col("ids").alias("base_ids"), F.col("x").alias("base_x"))
+        if cells.serves(metric, width):
+            left, right = cells.pairs(queries, base, k + (not keep_self), metric, shape, block_rows)
+        else:
+            blocks = -(-shape.rows // block_rows)
+            left = _packed(queries, block_rows, blocks, width).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+            right = _packed(base, block_rows, blocks, width)
+        right = right.select(F.col("block").alias("other"), F.col("ids").alias("base_ids"), F.col("x").alias("base_x"))
 
         def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:

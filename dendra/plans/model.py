@@ -72,7 +72,8 @@ def _single_task(df: DataFrame, run, schema: str = ROW) -> DataFrame:
 def select_algorithm(df: DataFrame, metric: Metric | str | None = None) -> str:
     """The strategy's name under auto: kdtree for low Euclidean dimensions with spread, bruteforce else.
 
-    It is reported and has no effect: neighbours come of the same blocks either way.
+    It is reported, and gives the same neighbours. Vectors too many to broadcast are cut
+    into cells of space wherever the metric and the dimensions allow (see ``cells``).
     """
     metric = metric_of(metric)
     shape = vectors.validate(df)

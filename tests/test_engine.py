@@ -13,14 +13,14 @@ from pyspark.sql import functions as F
 
 from dendra import errors
 from dendra.functions import metrics as M
-from dendra.operators import analytics, approximate, evaluation, neighbors, prediction, spanning, tree
+from dendra.operators import analytics, approximate, cells, evaluation, neighbors, prediction, spanning, tree
 from dendra.operators.robust import cut_linkage, robust_single_linkage
 from dendra.operators.validity import validity
 from dendra.plans import jobs
 from dendra.plans.config import BranchConfig, Config, ExtractionConfig, RobustConfig
 from dendra.plans.model import Clusterer, fit, fit_graph, fit_precomputed, fit_predict, select_algorithm
 from dendra.sources import exports, graphs, vectors
-from dendra.sources.generators import Recipe, SplitMix, generate
+from dendra.sources.generators import Recipe, SplitMix, generate, manifest
 from dendra.streaming.scoring import predict_stream, score_stream
 
 A, B = np.array([[0.5, 3.0, -2.0, 7.0]]), np.array([[2.5, -1.0, 1.0, 6.0]])
@@ -186,6 +186,27 @@ def test_blocks_and_approximation_agree(spark):
     assert fit(df, Config(min_cluster_size=5, prim_rows=1, block_rows=20)).mst.agg({"distance": "sum"}).first()[0] == pytest.approx(one.mst.agg({"distance": "sum"}).first()[0])
 
 
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan", "chebyshev", "minkowski(3)"])
+def test_cells_find_the_same_neighbours(spark, monkeypatch, metric):
+    rng = np.random.default_rng(17)
+    x = np.concatenate([np.round(rng.normal(0, 3, (150, 3)), 0), np.zeros((40, 3)), rng.normal(50, 1, (30, 3))])  # ties, and one place that many share
+    df, asked, m = frame(spark, x), frame(spark, rng.normal(0, 10, (50, 3))), M.metric_of(metric)
+    shape = vectors.validate(df)
+    want = [sorted(map(tuple, neighbors.knn(q, df, 4, m, shape).collect())) for q in (df, asked)]
+    monkeypatch.setattr(neighbors, "BROADCAST_BYTES", 0)
+    assert [sorted(map(tuple, neighbors.knn(q, df, 4, m, shape, block_rows=8).collect())) for q in (df, asked)] == want
+    left, right = cells.pairs(df, df, 5, m, shape, 8)
+    assert left.count() < 0.8 * right.count() ** 2  # far cells don't meet
+
+
+def test_manifests():
+    text = '{"schema_version": 1, "recipes": [{"name": "a", "generator": "duplicate_grid", "seed": 1, "rows": 9, "dimensions": 2, "duplicate_fraction": 0.5}]}'
+    assert manifest(text)[0].rows == 9
+    for wrong in (text.replace("1,", "2,", 1), text.replace('"rows"', '"other"'), text.replace("]}", ', {"name": "a", "generator": "duplicate_grid", "seed": 1, "rows": 9, "dimensions": 2, "duplicate_fraction": 0.5}]}'), '{"x": 1}'):
+        with pytest.raises(errors.InvalidConfig):
+            manifest(wrong)
+
+
 def test_rounds_and_ranges_change_nothing(spark, monkeypatch):
     x = blobs(16, 120)
     df = frame(spark, x)
@@ -395,13 +416,15 @@ def test_prediction_and_stream(spark, tmp_path):
     assert spark.table("s2").count() == len(x)
 
 
-def test_branches(spark):
+def test_branches(spark, tmp_path):
     bar, stem = [(0.5 * i, 0.0) for i in range(-14, 15)], [(0.0, -0.5 * i) for i in range(1, 17)]  # a letter T
     n = len(bar) + len(stem)
     model = fit(frame(spark, bar + stem), Config(min_cluster_size=3, min_samples=3, prediction_data=True, branch_data=True))
     found = model.detect_branches(BranchConfig(min_cluster_size=3), labelled(spark, [0] * n))
     points = found.points.orderBy("id").collect()
     assert found.persistences.count() >= 3 and len(points) == n and all(0 <= p["probability"] <= 1 for p in points)
+    found.export(str(tmp_path / "branches"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "branches")).columns == ["from", "to", "centrality", "reachability"]
     edge = found.graph.first()
     assert (edge["packed"] >> 32, edge["packed"] & 0xFFFFFFFF) == (edge["src"], edge["dst"])
     assert found.predict(frame(spark, bar[:3])).count() == 3
