@@ -447,3 +447,43 @@ def test_language_model(spark):
     held = [d for d in token if d is not None and not train[d]]
     assert sum(got[d]["score"] for d in held) > sum(got[d]["base_score"] for d in held)
     assert ngrams.score(docs.limit(0)).count() == 0
+
+
+def test_lines_of_repeated_rows_and_of_great_length(spark):
+    rng = random.Random(31)
+    long_line = "".join(rng.choice("abcdefgh ij") for _ in range(6000))
+    near = long_line[:3000] + "X" + long_line[3001:4500] + long_line[4501:]
+    apart = "".join(rng.choice("abcdefgh ij") for _ in range(6000))
+    twice = "a line that stands here two times\na line that stands here two times\nanother line, of one place only"
+    rows = [(1, twice), (1, twice), (2, long_line), (3, near + "\n" + apart), (4, "short"), (5, twice + "\n" + "short")]
+    got = {(r["doc_id"], r["text"]) for r in lines.dedup(frame(spark, rows)).collect()}
+    kept = "a line that stands here two times\nanother line, of one place only"
+    assert got == {(1, kept), (2, long_line), (3, apart), (4, "short"), (5, "short")}
+    assert lines.dedup(frame(spark, rows)).count() == len(rows)
+
+
+def test_lines_of_one_family_have_a_witness(spark, monkeypatch):
+    monkeypatch.setattr(lines, "PARTS", 3)
+    base = "the same notice on every page, number {:03d}, of this edition and no other"
+    rows = [(i, base.format(i)) for i in range(120)] + [(500, base.format(7)), (501, "x" * 30), (502, "x" * 28 + "yy")]
+    flat = sorted(rows)
+    gone = {d for d, line in flat if any(e < d and abs(len(o) - len(line)) <= 2 and distance(o, line) <= 2 for e, o in flat)}
+    assert {r["doc"] for r in lines.removals(frame(spark, rows)).collect()} == gone and len(gone) > 100
+
+
+def test_lines_by_shuffled_lookups(spark, monkeypatch):
+    """Beyond what is broadcast, with hot lines, the result is the same."""
+    rows = line_rows() + [(1000 + i, "a line that very many documents share") for i in range(200)]
+    want = sorted(map(tuple, lines.removals(frame(spark, rows), short=True).collect()))
+    monkeypatch.setattr(lines, "BROADCAST_LINES", 0)
+    monkeypatch.setattr(lines, "HOT_LINES", 20)
+    assert sorted(map(tuple, lines.removals(frame(spark, rows), short=True).collect())) == want
+
+
+def test_chat_and_mixing_of_long_texts(spark):
+    turns = [(1, i, "user" if i % 2 == 0 else "assistant", f"turn {i} <s>") for i in range(700)] + [(2, 0, "user", "x"), (2, 1, "assistant", "[INST] long " * 20000)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    back = chat.format_trees(chat.turns_as_tree(df)).withColumn("parts", chat.parse(F.col("formatted"))).select("conv_id", F.transform("parts", chat.text_of_turn).alias("texts")).collect()
+    assert {r["conv_id"]: r["texts"] for r in back} == {c: [t for d, _, _, t in turns if d == c] for c in (1, 2)}
+    docs = spark.createDataFrame([(1, "w " * 300_000, "a"), (2, "v", "a"), (3, "u " * 10, "b")], "doc_id long, text string, source string")
+    assert {r["doc_id"]: r["size"] for r in mixing.mix(docs).collect()} == {1: 300_000, 2: 1, 3: 10}
