@@ -60,12 +60,19 @@ def _each(a: np.ndarray, b: np.ndarray, add: Callable[[np.ndarray, np.ndarray, n
 
 
 def _sq(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return _each(a, b, lambda s, x, y: s + (x - y) * (x - y))
+    out = np.zeros((len(a), len(b)))
+    for j in range(a.shape[1]):
+        gap = a[:, j, None] - b[None, :, j]
+        gap *= gap
+        out += gap
+    return out
 
 
 def _euclid(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore", under="ignore"):
         d = np.sqrt(_sq(a, b))
+    if d.size and d.min() > 1e-140 and d.max() < 1e150:
+        return d
     odd = ~((d > 1e-140) & (d < 1e150))
     if odd.any():
         i, j = np.nonzero(odd)

@@ -51,25 +51,28 @@ class Edges:
 def prim(n: int, reach: Callable[[int, np.ndarray], np.ndarray]) -> Edges:
     """Spanning tree from vertex 0; among equals the smallest id joins first, under the first vertex that reached it.
 
-    ``reach(i, others)`` gives the weights from i to others. Only the frontier is held.
+    ``reach(i, others)`` gives the weights from i to others. Only the frontier is held;
+    joined vertices stay in it, out of reach, until a tenth of it has joined, so that
+    ``others`` is the same array over many steps.
     """
     outside = np.arange(1, n)
-    best = np.full(n - 1, np.inf)
-    source = np.zeros(n - 1, np.int64)
+    best, source, joined = np.full(n - 1, np.inf), np.zeros(n - 1, np.int64), np.zeros(n - 1)
     src, dst, weight = np.zeros(n - 1, np.int64), np.zeros(n - 1, np.int64), np.zeros(n - 1)
-    now = 0
+    now, gone = 0, 0
     for step in range(n - 1):
-        fresh = reach(now, outside)
-        nearer = fresh < best
+        if gone * 10 > len(outside):
+            keep = joined == 0
+            outside, best, source, joined, gone = outside[keep], best[keep], source[keep], joined[keep], 0
+        fresh = reach(now, outside) + joined
+        nearer = np.flatnonzero(fresh < best)
         best[nearer], source[nearer] = fresh[nearer], now
-        pick = int(np.argmin(best))
-        src[step], dst[step], weight[step] = source[pick], outside[pick], best[pick]
+        pick = int(best.argmin())
+        if best[pick] == np.inf:
+            raise Disconnected("a part of the points can't be reached over finite distances")
         now = int(outside[pick])
-        keep = np.ones(len(outside), bool)
-        keep[pick] = False
-        outside, best, source = outside[keep], best[keep], source[keep]
-    if np.isinf(weight).any():
-        raise Disconnected("a part of the points can't be reached over finite distances")
+        src[step], dst[step], weight[step] = source[pick], now, best[pick]
+        best[pick] = joined[pick] = np.inf
+        gone += 1
     return Edges(src, dst, weight)
 
 

@@ -249,8 +249,13 @@ def _prim_kernel(config: Config, metric: Metric, columns: int):
         ids, core = ids[order], core[order]
         x = table.column("features").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, columns)[order]
 
+        held: list[np.ndarray] = [ids[:0], x, core]
+
         def reach(i: int, others: np.ndarray) -> np.ndarray:
-            return np.maximum(metric.kernel(x[i : i + 1], x[others])[0] / config.alpha, np.maximum(core[i], core[others]))
+            if held[0] is not others:
+                held[:] = others, np.asfortranarray(x[others]), core[others]
+            d = metric.kernel(x[i : i + 1], held[1])[0]
+            return np.maximum(d / config.alpha if config.alpha != 1 else d, np.maximum(core[i], held[2]))
 
         return tree_rows(ids, prim(len(ids), reach), config)
 
