@@ -451,14 +451,34 @@ def generate_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.select("id", F.get("features", F.lit(0)).alias("x"), F.get("features", F.lit(1)).alias("y"))
 
 
-@_query("generate_blobs")
+#: Words of the generator by their place: the state moves by a fixed step, so each word is a function of its place alone.
+_WORDS_SQL = """
+WITH a AS (SELECT range + 1 AS i, (({seed} + (range + 1)::UHUGEINT * 11400714819323198485) % 18446744073709551616)::UBIGINT AS z FROM range({words})),
+b AS (SELECT i, ((xor(z, z >> 30)::UHUGEINT * 13787848793156543929) % 18446744073709551616)::UBIGINT AS z FROM a),
+c AS (SELECT i, ((xor(z, z >> 27)::UHUGEINT * 10723151780598845931) % 18446744073709551616)::UBIGINT AS z FROM b),
+u AS (SELECT i, (xor(z, z >> 31) >> 11)::DOUBLE / 9007199254740992 AS u FROM c),
+blob AS (SELECT range // {d} AS r, range % {d} AS j, range AS k FROM range({rows} * {d})),
+g AS (
+  SELECT r + {noise} AS id, j, x.u * 16 - 8 + {spread} * sqrt(-2 * ln(f.u)) * CASE WHEN k % 2 = 0 THEN cos(2 * pi() * t.u) ELSE sin(2 * pi() * t.u) END AS v
+  FROM blob JOIN u x ON x.i = {noise} * {d} + (r % {clusters}) * {d} + j + 1
+  JOIN u f ON f.i = ({noise} + {clusters}) * {d} + 2 * (k // 2) + 1 JOIN u t ON t.i = ({noise} + {clusters}) * {d} + 2 * (k // 2) + 2
+  UNION ALL SELECT range // {d}, range % {d}, u.u * 40 - 20 FROM range({noise} * {d}) JOIN u ON u.i = range + 1)
+SELECT id, list(round(v, 8) ORDER BY j) AS features FROM g GROUP BY id
+"""
+
+
+def _generated(spark: SparkSession, recipe: Recipe) -> DataFrame:
+    return generate(spark, recipe).select("id", F.transform("features", lambda v: F.round(v, 8)).alias("features"))
+
+
+@_query("generate_blobs", _WORDS_SQL.format(seed=7, words=4000, d=3, rows=1000, noise=0, clusters=4, spread=0.5))
 def generate_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return generate(spark, Recipe("blobs", "gaussian_blobs", 7, 1000, 3, clusters=4, spread=0.5))
+    return _generated(spark, Recipe("blobs", "gaussian_blobs", 7, 1000, 3, clusters=4, spread=0.5))
 
 
-@_query("generate_noise")
+@_query("generate_noise", _WORDS_SQL.format(seed=7, words=4000, d=2, rows=300, noise=700, clusters=4, spread=0.5))
 def generate_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return generate(spark, Recipe("noise", "noise_mixture", 7, 1000, 2, clusters=4, spread=0.5, noise_fraction=0.7))
+    return _generated(spark, Recipe("noise", "noise_mixture", 7, 1000, 2, clusters=4, spread=0.5, noise_fraction=0.7))
 
 
 def _candidates_sql() -> str:
@@ -762,6 +782,15 @@ def validity_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(-1, score), *enumerate(per)], "label int, score double").withColumn("score", F.round("score", 8))
 
 
-@_query("select_algorithm")
+@_query(
+    "select_algorithm",
+    """
+WITH v AS (
+  SELECT 'embeddings' AS input, vec_id AS id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS pos FROM embeddings
+  UNION ALL SELECT 'part', p_partkey, p_size, 1 FROM part UNION ALL SELECT 'part', p_partkey, p_retailprice / 10, 2 FROM part),
+w AS (SELECT input, pos, max(v) > min(v) AS wide, count(*) AS n FROM v GROUP BY input, pos)
+SELECT input, CASE WHEN count(*) <= 32 AND max(n) >= 32 AND 4 * count(*) FILTER (wide) >= count(*) THEN 'kdtree' ELSE 'bruteforce' END AS algorithm FROM w GROUP BY input
+""",
+)
 def selected_algorithm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([("embeddings", select_algorithm(_embeddings(spark, sf_dir))), ("part", select_algorithm(_parts(spark, sf_dir)))], "input string, algorithm string")
