@@ -6,7 +6,8 @@ which are its words that hold a piece far more frequent there. The ordinary side
 trained on windows without such pieces, so that what tells the sides apart is in one of
 them alone. Every window of a text, its whole length over, is compressed with the
 ordinary dictionary and with the toxic one laid behind it; the bytes saved are the
-window's distance. How many windows save how much decides: the weights of these counts
+window's distance. In place of the toxic dictionary the first compressor has as many
+bytes that match nothing, so that both find the ordinary one equally far away. How many windows save how much decides: the weights of these counts
 and the cut are calibrated on labelled rows that trained neither dictionary.
 """
 
@@ -66,7 +67,7 @@ class Distance:
     """Bytes that the toxic dictionary saves on each window."""
 
     def __init__(self, ordinary: bytes, toxic: bytes):
-        self.plain, self.both = _compressor(ordinary), _compressor(ordinary + toxic)
+        self.plain, self.both = _compressor(ordinary + b"\x01" * len(toxic)), _compressor(ordinary + toxic)
 
     def features(self, text: str | None) -> np.ndarray:
         """Counts and shares of windows that save a byte or more, two and so on, over the whole text."""
@@ -149,21 +150,21 @@ def telling_part(word: bytes, pieces: set[bytes]) -> bytes:
     return best
 
 
-def _trained(size: int, samples: list[bytes], grain: int) -> bytes:
+def _trained(size: int, samples: list[bytes]) -> bytes:
     """A zstandard dictionary trained on the samples, or their last bytes where they are too few to train on."""
     try:
-        return zstandard.train_dictionary(size, samples, k=grain, d=6).as_bytes()
+        return zstandard.train_dictionary(size, samples, k=64, d=6).as_bytes()
     except zstandard.ZstdError:
         return b"".join(samples)[-size:]
 
 
-def dictionaries(toxic: list[str], ordinary: list[str], sizes: tuple[int, int] = (16384, 4096)) -> tuple[bytes, bytes]:
+def dictionaries(toxic: list[str], ordinary: list[str], sizes: tuple[int, int] = (4096, 1024)) -> tuple[bytes, bytes]:
     """The ordinary and the toxic dictionary of whole texts."""
     told = telling_pieces(_word_counts(toxic), _word_counts(ordinary))
     parts = [b"".join(p for w in _words(t) if (p := telling_part(w, told))) for t in toxic]
     inside = told | {g.strip() for g in told if len(g.strip()) >= _SIZES[0]}  # what stands inside of other words would hide it too
     plain = [w for t in ordinary for w in windows(t) if inside.isdisjoint(_pieces(w))]
-    return _trained(sizes[0], plain, 64), _trained(sizes[1], [p for p in parts if len(p) >= 8], 32)
+    return _trained(sizes[0], plain), _trained(sizes[1], [p for p in parts if len(p) >= 8])
 
 
 def _weights(x: np.ndarray, y: np.ndarray, rows: tuple[float, float] = (1.0, 1.0)) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
