@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut as cut_lineage
+from ..plans.lineage import stored
 
 _INF = float("inf")
 
@@ -97,19 +98,26 @@ def persistences(condensed: DataFrame, selected: DataFrame, n: int) -> DataFrame
 
 
 def cut_components(edges: DataFrame, ids: DataFrame, cut: float, least: int) -> DataFrame:
-    """(id, label): components of the edges under ``cut`` by least-label propagation, numbered by first appearance; small ones are -1."""
-    near = edges.where(F.col("distance") < cut).select("src", "dst")
-    both = cut_lineage(near.union(near.select("dst", "src")))
-    label = cut_lineage(ids.select("id", F.col("id").alias("root")))
-    while True:
-        low = both.join(label, both["dst"] == label["id"]).groupBy("src").agg(F.min("root").alias("low"))
-        moved = label.join(low, label["id"] == low["src"], "left").select("id", F.least("root", F.coalesce("low", "root")).alias("root"))
-        jump = moved.select(F.col("id").alias("root"), F.col("root").alias("next"))
-        fresh = cut_lineage(moved.join(jump, "root").select("id", F.least("root", "next").alias("root")))
-        changed = fresh.withColumnRenamed("root", "now").join(label, "id").where("now <> root").limit(1).count()
-        label = fresh
-        if not changed:
-            break
+    """(id, label): components of the edges under ``cut`` by least-label propagation, numbered by first appearance; small ones are -1.
+
+    In each round every end takes its least neighbour's label, labels are followed to
+    their ends, and edges inside a label go, so rounds grow with the logarithm of a
+    component's size even where it is one long path.
+    """
+    open_ = stored(edges.where(F.col("distance") < cut).select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    label = stored(ids.select("id", F.col("id").alias("root")))
+    while open_.limit(1).count():
+        both = open_.union(open_.select("b", "a"))
+        up = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("up")))
+        while True:
+            above = up.select(F.col("node").alias("up"), F.col("up").alias("top"))
+            jumped = stored(up.join(above, "up").select("node", "up", "top"))
+            up = jumped.select("node", F.col("top").alias("up"))
+            if not jumped.where("up <> top").limit(1).count():
+                break
+        label = stored(label.join(up, label["root"] == up["node"], "left").select("id", F.coalesce("up", "root").alias("root")))
+        a, b = up.select(F.col("node").alias("a"), F.col("up").alias("to_a")), up.select(F.col("node").alias("b"), F.col("up").alias("to_b"))
+        open_ = stored(open_.join(a, "a").join(b, "b").where("to_a <> to_b").select(F.col("to_a").alias("a"), F.col("to_b").alias("b")).distinct())
     sized = label.withColumn("n", F.count("*").over(Window.partitionBy("root")))
     kept = sized.where(F.col("n") >= least).select("root").distinct().withColumn("label", (F.row_number().over(Window.orderBy("root")) - 1).cast("int"))
     return sized.join(kept, "root", "left").select("id", F.coalesce("label", F.lit(-1)).alias("label"))

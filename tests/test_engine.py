@@ -447,3 +447,18 @@ def test_evaluation_sources_exports(spark, tmp_path):
     model.export("mst", str(tmp_path / "m"), exports.JSON)
     assert spark.read.json(str(tmp_path / "m")).count() == 59
     assert select_algorithm(frame(spark, blobs(9))) == "kdtree" and select_algorithm(frame(spark, blobs(9)), "manhattan") == "bruteforce"
+
+
+def test_cut_components_of_long_paths(spark):
+    """Rounds and plans stay small where components are long paths in no order of ids."""
+    n = 3000
+    order = np.random.default_rng(5).permutation(n)
+    rows = [(int(a), int(b), 1.0 if i % 1000 != 499 else 9.0) for i, (a, b) in enumerate(zip(order, order[1:], strict=False))]
+    edges = spark.createDataFrame(rows, "src long, dst long, distance double")
+    began = time.time()
+    got = dict(analytics.cut_components(edges, spark.range(n), 5.0, 501).collect())
+    assert time.time() - began < 60
+    parts = [order[:500], order[500:1500], order[1500:2500], order[2500:]]
+    large = sorted((p for p in parts if len(p) > 500), key=min)
+    want = {int(i): -1 for i in range(n)} | {int(i): k for k, p in enumerate(large) for i in p}
+    assert got == want
