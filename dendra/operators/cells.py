@@ -24,8 +24,10 @@ BOXED, COLUMNS = ("euclidean", "sqeuclidean", "manhattan", "chebyshev"), 32
 #: Rows that place the cuts, at most about so many.
 SAMPLE = 50_000
 #: What rounding may take from a distance between boxes.
-_SLACK = 1e-9
+SLACK = 1e-9
 _CELL = "block int, ids binary, x binary, low binary, high binary"
+#: Rows from which cells are worth their jobs.
+LEAST_ROWS = 20_000
 
 
 def serves(metric: Metric, columns: int) -> bool:
@@ -61,32 +63,39 @@ def _matrix(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
-def _packed(df: DataFrame, axis: np.ndarray, value: np.ndarray, width: int, block_rows: int) -> DataFrame:
-    """Cells as packed rows; a leaf that many rows share is dealt into several cells by a hash of the id."""
+def placed(df: DataFrame, axis: np.ndarray, value: np.ndarray, width: int, block_rows: int, more: tuple[str, ...] = ()) -> DataFrame:
+    """id, features, block, and columns of doubles ``more``; a leaf that many rows share is dealt into several cells by a hash of the id."""
     leaves = len(axis) + 1
+    names, schema = ["id", "features", *more], ", ".join(["id long, features array<double>", *(f"{c} double" for c in more)])
 
     def leaf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = place(_matrix(batch.column(1), width), axis, value) if batch.num_rows else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(at.astype(np.int32))], names=["id", "features", "leaf"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at.astype(np.int32))], names=[*names, "leaf"])
 
-    placed = df.select("id", "features").mapInArrow(leaf, "id long, features array<double>, leaf int")
-    sizes = {r["leaf"]: r["count"] for r in placed.groupBy("leaf").count().collect()}
+    in_leaf = df.select(*names).mapInArrow(leaf, f"{schema}, leaf int")
+    sizes = {r["leaf"]: r["count"] for r in in_leaf.groupBy("leaf").count().collect()}
     parts = np.array([max(1, -(-sizes.get(i, 0) // (2 * block_rows))) for i in range(leaves)])
     first = np.concatenate([[0], np.cumsum(parts)])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.column(2).to_numpy()
+            at = batch.column(len(names)).to_numpy()
             turn = (batch.column(0).to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % parts[at].astype(np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((first[at] + turn.astype(np.int64)).astype(np.int32))], names=["id", "features", "block"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array((first[at] + turn.astype(np.int64)).astype(np.int32))], names=[*names, "block"])
+
+    return in_leaf.mapInArrow(deal, f"{schema}, block int")
+
+
+def _packed(df: DataFrame, axis: np.ndarray, value: np.ndarray, width: int, block_rows: int) -> DataFrame:
+    """Cells as packed rows."""
 
     def pack(key: tuple, table: pa.Table) -> pa.Table:
         x = _matrix(table.column("features"), width)
         row = {"block": [key[0].as_py()], "ids": [table.column("id").to_numpy().tobytes()], "x": [x.tobytes()], "low": [x.min(axis=0).tobytes()], "high": [x.max(axis=0).tobytes()]}
         return pa.table(row, schema=pa.schema([("block", pa.int32()), *((c, pa.binary()) for c in ("ids", "x", "low", "high"))]))
 
-    return placed.mapInArrow(deal, "id long, features array<double>, block int").groupBy("block").applyInArrow(pack, _CELL)
+    return placed(df, axis, value, width, block_rows).groupBy("block").applyInArrow(pack, _CELL)
 
 
 def near_cells(low: np.ndarray, high: np.ndarray, boxes: tuple[np.ndarray, ...], k: int, metric: Metric) -> np.ndarray:
@@ -98,16 +107,21 @@ def near_cells(low: np.ndarray, high: np.ndarray, boxes: tuple[np.ndarray, ...],
     order = np.argsort(most, kind="stable")
     enough = np.searchsorted(np.cumsum(rows[order]), k)
     bound = most[order[enough]] if enough < len(order) else np.inf
-    return block[least <= bound * (1 + _SLACK)]
+    return block[least <= bound * (1 + SLACK)]
 
 
-def pairs(queries: DataFrame, base: DataFrame, k: int, metric: Metric, shape: Shape, block_rows: int) -> tuple[DataFrame, DataFrame]:
-    """(block, ids, x, other) of the queries' cells and each cell they have to meet, and (block, ids, x) of the base's."""
-    width = shape.columns
+def sampled_cuts(base: DataFrame, shape: Shape, block_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cuts for cells of about ``block_rows`` rows, by a sample."""
     depth = max(0, (-(-shape.rows // block_rows) - 1).bit_length())
     rate = max(1, shape.rows // SAMPLE)
     sample = base.where(F.pmod(F.xxhash64("id"), F.lit(rate)) == 0).select("features").toArrow()
-    axis, value = cuts(_matrix(sample.column(0), width), depth) if sample.num_rows else cuts(np.zeros((0, width)), depth)
+    return cuts(_matrix(sample.column(0), shape.columns) if sample.num_rows else np.zeros((0, shape.columns)), depth)
+
+
+def pairs(queries: DataFrame, base: DataFrame, k: int, metric: Metric, shape: Shape, block_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(block, ids, x, other) of the queries' cells and each cell they have to meet, and (block, ids, x) of the base's."""
+    width = shape.columns
+    axis, value = sampled_cuts(base, shape, block_rows)
     right = cut(_packed(base, axis, value, width, block_rows))
     table = right.select("block", (F.length("ids") / 8).cast("long").alias("rows"), "low", "high").toArrow()
     corners = (np.array([np.frombuffer(v, float) for v in table.column(c).to_pylist()]).reshape(-1, width) for c in ("low", "high"))

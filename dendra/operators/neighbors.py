@@ -1,6 +1,7 @@
 """Nearest neighbours, core distances and mutual reachability.
 
-Vectors are packed into blocks. A small base side, its size checked, is broadcast and
+Vectors are packed into blocks. A small base side, its size checked, is broadcast (one
+of many rows only where cells don't serve, as all pairs would be met) and
 each block of queries finds its neighbours in one pass; a larger one is joined block by
 block on an equi-key, each pair of blocks giving k candidates a row, merged by a window.
 For metrics that grow with every coordinate's gap the blocks are cells of space, of which
@@ -62,7 +63,8 @@ def _found(ids: np.ndarray, nbr: np.ndarray, d: np.ndarray) -> pa.RecordBatch:
 def knn(queries: DataFrame, base: DataFrame, k: int, metric: Metric, shape: Shape, keep_self: bool = False, block_rows: int = 1024) -> DataFrame:
     """(id, rank, nbr, distance): ranks from 1 by (distance, nbr). ``shape`` is that of ``base``; rows with the query's own id are left out unless ``keep_self``."""
     width = shape.columns
-    if shape.rows * (width + 1) * 8 <= BROADCAST_BYTES:
+    in_cells = cells.serves(metric, width)
+    if shape.rows * (width + 1) * 8 <= BROADCAST_BYTES and not (in_cells and shape.rows > cells.LEAST_ROWS):
         held = queries.sparkSession.sparkContext.broadcast(_collected(base, width))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,7 +78,7 @@ def knn(queries: DataFrame, base: DataFrame, k: int, metric: Metric, shape: Shap
 
         found = queries.select("id", "features").mapInArrow(run, _PAIR)
     else:
-        if cells.serves(metric, width):
+        if in_cells:
             left, right = cells.pairs(queries, base, k + (not keep_self), metric, shape, block_rows)
         else:
             blocks = -(-shape.rows // block_rows)

@@ -23,6 +23,7 @@ from ..operators import approximate, neighbors, spanning
 from ..operators.tree import Condensed, Edges, condense, connected, extract, kruskal, linkage, outliers, prim
 from ..sources import exports, graphs, vectors
 from .config import APPROXIMATE, AUTO, BRUTE, KDTREE, Config, ExtractionConfig
+from .lineage import stored
 
 #: kind, place, two ids, two numbers, a size: one schema for all rows of a fit.
 ROW = "kind string, seq long, a long, b long, x double, y double, n long"
@@ -237,7 +238,7 @@ def fit(df: DataFrame, config: Config | None = None) -> FittedModel:
         if n <= config.prim_rows:
             rows = _single_task(points, _prim_kernel(config, metric, shape.columns))
         else:
-            edges = spanning.block_candidates(points, metric, config.alpha, shape.columns, n, config.block_rows)
+            edges = spanning.block_candidates(stored(points), metric, config.alpha, shape.columns, n, config.block_rows)
             rows = _single_task(edges.withColumn("n", F.lit(n)).unionByName(df.select(F.col("id").alias("src"), F.lit(None).cast("long").alias("dst"), F.lit(0.0).alias("distance"), F.lit(n).alias("n"))), edge_kernel(config))
     return FittedModel(_checked(rows), config, n, name, name == APPROXIMATE, config.workers, df if config.prediction_data or config.branch_data else None, shape)
 

@@ -462,3 +462,29 @@ def test_cut_components_of_long_paths(spark):
     large = sorted((p for p in parts if len(p) > 500), key=min)
     want = {int(i): -1 for i in range(n)} | {int(i): k for k, p in enumerate(large) for i in p}
     assert got == want
+
+
+@pytest.mark.parametrize("metric", [M.EUCLIDEAN, M.CANBERRA])
+@pytest.mark.parametrize("alpha", [1.0, 2.0])
+def test_block_trees_are_the_tree_of_all_pairs(spark, metric, alpha):
+    """Under (reach, smaller id, larger id), on points of a grid with many copies, whose distances tie."""
+    rng = np.random.default_rng(3)
+    x, core = rng.integers(1, 12, (400, 2)).astype(float), rng.integers(0, 2, 400).astype(float)
+    ids = rng.permutation(1000)[:400]
+    points = spark.createDataFrame([(int(i), [float(v) for v in row], float(c)) for i, row, c in zip(ids, x, core, strict=True)], "id long, features array<double>, core double")
+    got = sorted(map(tuple, spanning.block_candidates(points, metric, alpha, 2, 400, block_rows=32).collect()))
+    order = np.argsort(ids)
+    ids, x, core = ids[order], x[order], core[order]
+    w = np.maximum(metric.kernel(x, x) / alpha, np.maximum(core[:, None], core))
+    a, b = np.triu_indices(400, 1)
+    want = tree.kruskal(400, a, b, w[a, b])
+    assert got == sorted(zip(ids[want.src].tolist(), ids[want.dst].tolist(), want.distance.tolist(), strict=True))
+
+
+def test_blocks_meet_few_others_where_space_tells(spark):
+    x = np.random.default_rng(4).random((20_000, 2))
+    points = spark.createDataFrame([(i, [float(a), float(b)], 0.0) for i, (a, b) in enumerate(x)], "id long, features array<double>, core double")
+    outlines = spanning._outlines(spanning._blocks(points, M.EUCLIDEAN, 1.0, vectors.Shape(20_000, 2), 128), M.EUCLIDEAN, 1.0, 2)
+    blocks = len(outlines["block"])
+    assert blocks >= 128
+    assert sum(len(spanning.met_blocks(outlines, at, M.EUCLIDEAN, 1.0, True)[0]) for at in range(blocks)) < 8 * blocks
