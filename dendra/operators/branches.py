@@ -152,8 +152,8 @@ class BranchResult:
         predictor = self.model.predictor()
 
         def work(look, ids: np.ndarray, q: np.ndarray, neighbour: np.ndarray, density: np.ndarray, least: np.ndarray) -> pa.RecordBatch:
-            found = [look.label(a, d) if len(look.clusters) else (-1, 0.0) for a, d in zip(neighbour.tolist(), density.tolist(), strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(look.ids[neighbour]), pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.float64())], names=["id", "nbr", "cluster_label", "cluster_probability"])
+            label, probability = look.label(neighbour, density)
+            return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(look.ids[neighbour]), pa.array(label.astype(np.int32)), pa.array(probability)], names=["id", "nbr", "cluster_label", "cluster_probability"])
 
         near = predictor.apply(df, work, "id long, nbr long, cluster_label int, cluster_probability double")
         counts = self.persistences.groupBy(F.col("cluster").alias("cluster_label")).agg(F.count("*").alias("branches"))

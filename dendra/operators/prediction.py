@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 
 from ..errors import PredictionUnsupported
 from ..functions.metrics import Metric
+from ..plans.lineage import stored
 from ..sources import vectors
-from . import neighbors
+from . import cells, neighbors
 from .tree import choose, nearest_chosen, own_peak, stabilities, subtree_peak
 
 _MAX = float(np.finfo(np.float64).max)
@@ -53,7 +54,13 @@ class Lookup:
     birth: np.ndarray
     point_cluster: np.ndarray
     point_density: np.ndarray
-    exemplars: list[np.ndarray]
+    exemplars: np.ndarray
+    #: How many exemplars each selected cluster has, in their order.
+    counts: np.ndarray
+    #: Selected clusters in the order of a walk from the root: where those at or below each cluster begin, how many they are, and each label's turn.
+    begin: np.ndarray
+    under: np.ndarray
+    turn: np.ndarray
 
     def nearest(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Connecting neighbour, density there, and the least distance, for each query."""
@@ -77,56 +84,77 @@ class Lookup:
         limit = max(1, min(2 * self.samples, n))
         return limit, min(self.samples, n - 1, limit - 1)
 
-    def label(self, neighbour: int, density: float) -> tuple[int, float]:
-        cluster = int(self.point_cluster[neighbour])
-        if self.point_density[neighbour] > density:
-            while cluster > self.root and self.birth[cluster] >= density:
-                cluster = int(self.up[cluster])
-        label = int(self.label_of[cluster])
-        if label < 0:
-            return -1, 0.0
-        top = self.peak_of[cluster]
-        return label, 1.0 if top <= 0 else min(top, density) / top
-
-    def heights(self, cluster: int, density: float) -> np.ndarray:
-        """Density at which a point of ``cluster`` meets each selected cluster; its own where one lies above the other."""
-        out = np.empty(len(self.clusters))
-        for i, other in enumerate(self.clusters.tolist()):
-            a, b, last = cluster, other, None
-            moved = [False, False]
-            while a != b:
-                if a > b:
-                    last, a, moved[0] = a, int(self.up[a]), True
-                else:
-                    last, b, moved[1] = b, int(self.up[b]), True
-            out[i] = self.birth[last] if all(moved) else density
-        return out
+    def label(self, neighbour: np.ndarray, density: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Labels and probabilities by connecting neighbours and the densities there."""
+        cluster = self.point_cluster[neighbour]
+        if not len(self.clusters):
+            return np.full(len(cluster), -1), np.zeros(len(cluster))
+        going = self.point_density[neighbour] > density
+        while True:
+            going &= (cluster > self.root) & (self.birth[cluster] >= density)
+            if not going.any():
+                break
+            cluster[going] = self.up[cluster[going]]
+        label, top = self.label_of[cluster], self.peak_of[cluster]
+        with np.errstate(invalid="ignore", divide="ignore"):
+            share = np.where(top <= 0, 1.0, np.minimum(top, density) / top)
+        return label, np.where(label < 0, 0.0, share)
+
+    def heights(self, cluster: np.ndarray, density: np.ndarray) -> np.ndarray:
+        """Density at which points of each ``cluster`` meet each selected cluster; their own where one lies above the other."""
+        met, place = np.unique(cluster, return_inverse=True)
+        table = np.full((len(met), len(self.clusters)), -1.0)
+        for row, x in zip(table, met.tolist(), strict=True):
+            while (p := int(self.up[x])) >= 0:  # selected clusters below p, but not at or below x
+                row[self.begin[p] + (self.label_of[p] >= 0 and self.clusters[self.label_of[p]] == p) : self.begin[x]] = self.birth[x]
+                row[self.begin[x] + self.under[x] : self.begin[p] + self.under[p]] = self.birth[x]
+                x = p
+        h = table[:, self.turn][place]
+        return np.where(h < 0, density[:, None], h)
 
     def closeness(self, q: np.ndarray) -> np.ndarray:
         """Share of each selected cluster in the inverse distances to the nearest exemplar."""
         k = len(self.clusters)
-        least = np.stack([self.metric.kernel(q, e).min(axis=1) if len(e) else np.full(len(q), np.inf) for e in self.exemplars], axis=1)
+        least, some = np.full((len(q), k), np.inf), self.counts > 0
+        if some.any():
+            least[:, some] = np.minimum.reduceat(self.metric.kernel(q, self.exemplars), (np.cumsum(self.counts) - self.counts)[some], axis=1)
         with np.errstate(divide="ignore", over="ignore"):
             near = np.where(least == 0, _MAX / k, np.divide(1.0, least, out=np.full_like(least, _MAX / k), where=least > 0))
         return near / near.sum(axis=1, keepdims=True)
 
-    def spread(self, closeness: np.ndarray, cluster: int, density: float, fitted: bool) -> np.ndarray:
-        """Membership of one point in each selected cluster."""
+    def spread(self, closeness: np.ndarray, cluster: np.ndarray, density: np.ndarray, fitted: bool) -> np.ndarray:
+        """Memberships of points, a row each, in each selected cluster."""
         h = self.heights(cluster, density)
-        top = self.own[cluster]
-        if fitted:
-            with np.errstate(over="ignore", divide="ignore"):
+        top = self.own[cluster][:, None]
+        with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
+            if fitted:
                 away = np.where(h <= 0, 1.0, np.exp(np.exp(-(top + 1e-8) / np.where(h > 0, h, 1.0))))
-            share = closeness * (away / away.sum())
-        else:
-            gap = top - h
-            away = top / np.where(gap > 0, gap, 1e-8)
-            away = np.exp(away - away.max())
-            share = np.sqrt(closeness) * (away / away.sum()) ** 2
-        best = int(h.argmax())
-        strength = h[best] / max(self.own[self.clusters[best]], density, 1e-8)
-        total = share.sum()
-        return share / total * strength if total > 0 else share
+                share = closeness * (away / away.sum(axis=1, keepdims=True))
+            else:
+                gap = top - h
+                away = top / np.where(gap > 0, gap, 1e-8)
+                away = np.exp(away - away.max(axis=1, keepdims=True))
+                share = np.sqrt(closeness) * (away / away.sum(axis=1, keepdims=True)) ** 2
+            best = h.argmax(axis=1)
+            strength = h[np.arange(len(h)), best] / np.maximum(np.maximum(self.own[self.clusters[best]], density), 1e-8)
+            total = share.sum(axis=1, keepdims=True)
+            return np.where(total > 0, share / total * strength[:, None], share)
+
+
+def walk(up: np.ndarray, root: int, chosen: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the selected clusters at or below each cluster begin in a walk from the root, how many they are, and the place of each in that walk."""
+    under, begin = np.zeros(len(up), np.int64), np.zeros(len(up), np.int64)
+    under[chosen] = 1
+    own = under.copy()
+    for c in range(len(up) - 1, root, -1):  # children have larger ids than their parents
+        under[up[c]] += under[c]
+    following = np.zeros(len(up), np.int64)
+    following[root] = own[root]
+    for c in range(root + 1, len(up)):
+        begin[c] = following[up[c]]
+        following[up[c]] += under[c]
+        following[c] = begin[c] + own[c]
+    return begin, under, begin[chosen] if chosen else np.zeros(0, np.int64)
 
 
 class Predictor:
@@ -140,6 +168,8 @@ class Predictor:
         """From a fit. Its ids and tree go with each task; its vectors do so if they have ``SENT_BYTES`` at most, else only the exemplars' do."""
         shape, config, tree = model.shape, model.config, model.tree
         core = neighbors.prediction_core_distances(model.vectors, config.min_samples, config.metric, shape, config.block_rows)
+        if shape.rows > cells.LEAST_ROWS:
+            core = stored(core)
         sent = shape.rows * shape.columns * 8 <= SENT_BYTES
         held = model.vectors.join(core, "id").select("id", "features", "core") if sent else model.vectors.select("id")
         table = held.toArrow()
@@ -158,41 +188,49 @@ class Predictor:
         point_cluster[tree.child[~big]], point_density[tree.child[~big]] = tree.parent[~big], tree.density[~big]
         inner = set(tree.parent[big].tolist())
         tip = (~big) & (tree.density == own[tree.parent]) & ~np.isin(tree.parent, list(inner))
-        places = [tree.child[tip & (over[tree.parent] == c)] for c in chosen]
+        tip &= over[tree.parent] >= 0
+        tips, tip_label = tree.child[tip], np.array([number.get(int(c), -1) for c in over])[tree.parent[tip]]
+        tips, tip_label = (v[np.argsort(tip_label, kind="stable")] for v in (tips, tip_label))
         if sent:
-            exemplars = [x[e] for e in places]
+            exemplars = x[tips]
         else:
-            named = df_of_ids(model.vectors.sparkSession, point_ids[np.concatenate([*places, np.zeros(0, np.int64)])])
+            named = df_of_ids(model.vectors.sparkSession, point_ids[tips])
             mine = model.vectors.join(F.broadcast(named), "id").select("id", "features").toArrow()
             at = dict(zip(mine.column("id").to_pylist(), _rows(mine, shape.columns), strict=True))
-            exemplars = [np.array([at[i] for i in point_ids[e].tolist()]).reshape(-1, shape.columns) for e in places]
+            exemplars = np.array([at[i] for i in point_ids[tips].tolist()]).reshape(-1, shape.columns)
+        exemplars, tip_label = _once(exemplars, tip_label)
         lookup = Lookup(
             point_ids, x, table.column("core").to_numpy()[order] if sent else None, min(config.min_samples, shape.rows - 1), config.metric, int(tree.parent[0]), np.array(chosen, np.int64),
-            np.array([number.get(int(c), -1) for c in over]), np.where(over >= 0, own[over], 0.0), own, subtree_peak(tree, ids), up, birth, point_cluster, point_density, exemplars,
+            np.array([number.get(int(c), -1) for c in over]), np.where(over >= 0, own[over], 0.0), own, subtree_peak(tree, ids), up, birth, point_cluster, point_density,
+            exemplars, np.bincount(tip_label, minlength=len(chosen)), *walk(up, int(tree.parent[0]), chosen),
         )
         return cls(lookup, model.vectors, core, model)
 
-    def apply(self, df: DataFrame, work: Callable[..., pa.RecordBatch], schema: str) -> DataFrame:
-        """``work`` on the ids, vectors, connecting neighbours, densities there and least distances of each batch; streams can't be counted, so their vectors are checked in the task."""
+    def apply(self, df: DataFrame, work: Callable[..., pa.RecordBatch], schema: str, step: int = 256) -> DataFrame:
+        """``work``, ``step`` rows at a time, on the ids, vectors, connecting neighbours, densities there and least distances of each batch; streams can't be counted, so their vectors are checked in the task."""
         if not df.isStreaming:
             vectors.validate(df, columns=self.columns)
         held, columns = self.held, self.columns
         rows = df.select(F.col("id").cast("long"), F.col("features").cast("array<double>"))
-        if self.lookup.x is None:
+        in_cells = self.shape.rows > cells.LEAST_ROWS and cells.serves(self.config.metric, columns)  # only some of the fitted vectors are met there
+        joined = self.lookup.x is None or (in_cells and not df.isStreaming)
+        if joined:
             if df.isStreaming:
                 raise PredictionUnsupported("a stream is scored against vectors that go with the task, and these are too large")
             rows = self.connected(rows)
+        if not df.isStreaming:
+            rows = _dealt(rows)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             look = held.value
             for batch in batches:
-                for at in range(0, batch.num_rows, 256):
-                    part = batch.slice(at, 256)
+                for at in range(0, batch.num_rows, step):
+                    part = batch.slice(at, step)
                     q = part.column(1).flatten().to_numpy(zero_copy_only=False)
                     if len(q) != part.num_rows * columns or not np.isfinite(q).all():
                         raise ValueError(f"vectors have to hold {columns} finite values")
                     q = q.reshape(-1, columns)
-                    if look.x is None:
+                    if joined:
                         nbr, best, least = (part.column(i).to_numpy(zero_copy_only=False) for i in (2, 3, 4))
                         found = np.searchsorted(look.ids, nbr), density_at(best), least
                     else:
@@ -204,19 +242,20 @@ class Predictor:
     def connected(self, rows: DataFrame) -> DataFrame:
         """id, features, nbr, reach, least: the connecting neighbour by a join with all fitted vectors."""
         limit, own_at = self.lookup.reach()
-        near = neighbors.knn(rows, self.df, limit, self.config.metric, self.shape, keep_self=True, block_rows=self.config.block_rows)
-        near = near.join(self.core.withColumnRenamed("id", "nbr"), "nbr")
-        own = near.groupBy("id").agg(F.max(F.when(F.col("rank") == own_at + 1, F.col("distance"))).alias("own"), F.min("distance").alias("least"))
+        rows = stored(rows.select(F.monotonically_increasing_id().alias("row"), "id", "features"))  # asked ids may repeat
+        near = neighbors.knn(rows.select(F.col("row").alias("id"), "features"), self.df, limit, self.config.metric, self.shape, keep_self=True, block_rows=self.config.block_rows)
+        near = stored(near.withColumnRenamed("id", "row").join(self.core.withColumnRenamed("id", "nbr"), "nbr"))
+        own = near.groupBy("row").agg(F.max(F.when(F.col("rank") == own_at + 1, F.col("distance"))).alias("own"), F.min("distance").alias("least"))
         reach = F.greatest("core", "own", "distance")
-        best = near.join(own, "id").groupBy("id", "least").agg(F.min(F.struct(reach.alias("reach"), "rank", "nbr")).alias("best"))
-        return rows.join(best, "id").select("id", "features", "best.nbr", "best.reach", "least")
+        best = near.join(own, "row").groupBy("row", "least").agg(F.min(F.struct(reach.alias("reach"), "rank", "nbr")).alias("best"))
+        return rows.join(best, "row").select("id", "features", "best.nbr", "best.reach", "least")
 
     def predict(self, df: DataFrame) -> DataFrame:
         """(id, label, probability)."""
 
         def work(look: Lookup, ids: np.ndarray, q: np.ndarray, neighbour: np.ndarray, density: np.ndarray, least: np.ndarray) -> pa.RecordBatch:
-            found = [look.label(a, d) if len(look.clusters) else (-1, 0.0) for a, d in zip(neighbour.tolist(), density.tolist(), strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(ids), pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.float64())], names=["id", "label", "probability"])
+            label, probability = look.label(neighbour, density)
+            return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(label.astype(np.int32)), pa.array(probability)], names=["id", "label", "probability"])
 
         return self.apply(df, work, "id long, label int, probability double")
 
@@ -238,7 +277,7 @@ class Predictor:
             density = np.minimum(look.point_density[neighbour], density)
             return _memberships(look, ids, q, look.point_cluster[neighbour], density, fitted=False)
 
-        return self.apply(df, work, _MEMBERSHIP)
+        return self.apply(df, work, _MEMBERSHIP, max(1, min(256, _VALUES // max(1, len(self.lookup.clusters), len(self.lookup.exemplars)))))
 
     def all_points_membership(self) -> DataFrame:
         """(id, label, membership) of the fitted points."""
@@ -247,14 +286,15 @@ class Predictor:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             look = held.value
             for batch in batches:
-                for at in range(0, batch.num_rows, 512):
-                    part = batch.slice(at, 512)
+                step = max(1, min(512, _VALUES // max(1, len(look.clusters), len(look.exemplars))))
+                for at in range(0, batch.num_rows, step):
+                    part = batch.slice(at, step)
                     ids = part.column(0).to_numpy(zero_copy_only=False)
                     place = np.searchsorted(look.ids, ids)
                     q = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, columns)
                     yield _memberships(look, ids, q, look.point_cluster[place], look.point_density[place], fitted=True)
 
-        return self.df.select("id", "features").mapInArrow(run, _MEMBERSHIP)
+        return _dealt(self.df.select("id", "features")).mapInArrow(run, _MEMBERSHIP)
 
 
 def _rows(table: pa.Table, columns: int) -> np.ndarray:
@@ -265,14 +305,29 @@ def df_of_ids(spark: SparkSession, ids: np.ndarray) -> DataFrame:
     return spark.createDataFrame([(int(i),) for i in np.unique(ids)], "id long")
 
 
+def _once(x: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Equal vectors of a label once, by label."""
+    if not len(x):
+        return x, label
+    _, at = np.unique(np.column_stack([label.astype(float), x]), axis=0, return_index=True)
+    at = at[np.argsort(label[at], kind="stable")]
+    return x[at], label[at]
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Over all cores: small files of many rows come as few partitions."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism)
+
+
 _MEMBERSHIP = "id long, label int, membership double"
+#: Distances or memberships that a task holds at once.
+_VALUES = 1 << 20
 
 
 def _memberships(look: Lookup, ids: np.ndarray, q: np.ndarray, cluster: np.ndarray, density: np.ndarray, fitted: bool) -> pa.RecordBatch:
     k = len(look.clusters)
     if k:
-        close = look.closeness(q)
-        values = np.concatenate([look.spread(c, int(a), float(d), fitted) for c, a, d in zip(close, cluster, density, strict=True)]) if len(q) else np.zeros(0)
+        values = look.spread(look.closeness(q), cluster, density, fitted).ravel() if len(q) else np.zeros(0)
     else:
         values = np.zeros(0)
     return pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, k)), pa.array(np.tile(np.arange(k, dtype=np.int32), len(ids))), pa.array(values)], names=["id", "label", "membership"])

@@ -226,22 +226,23 @@ def choose(tree: Condensed, stability: np.ndarray, config: ExtractionConfig) ->
     if config.method == LEAF:
         chosen = {c for c in above if c not in below}
     else:
-        chosen: set[int] = set()
-        best: dict[int, set[int]] = {}
+        wins: set[int] = set()
         for c in sorted({*np.unique(tree.parent).tolist()}, reverse=True):
-            under = below.get(c, [])
-            inner = set().union(*(best.pop(x, set()) for x in under)) if under else set()
             if c == root and not config.allow_single_cluster:
-                best[c] = inner
                 continue
-            total = sum(stability[x] for x in under)
+            total = sum(stability[x] for x in below.get(c, []))
             too_large = config.max_cluster_size > 0 and above.get(c, (0, 0.0, 0))[2] > config.max_cluster_size
             if total > stability[c] or too_large:
                 stability[c] = total
-                best[c] = inner
             else:
-                best[c] = {c}
-        chosen = best.get(root, set())
+                wins.add(c)
+        chosen: set[int] = set()
+        work = [root]
+        for c in work:  # grows while it is read: the highest winners
+            if c in wins:
+                chosen.add(c)
+            else:
+                work += below.get(c, [])
     if config.epsilon > 0 and chosen:
         limit, merged = 1 / config.epsilon, set()
         for c in chosen:

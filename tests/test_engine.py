@@ -488,3 +488,53 @@ def test_blocks_meet_few_others_where_space_tells(spark):
     blocks = len(outlines["block"])
     assert blocks >= 128
     assert sum(len(spanning.met_blocks(outlines, at, M.EUCLIDEAN, 1.0, True)[0]) for at in range(blocks)) < 8 * blocks
+
+
+def test_predictions_by_cells_are_those_by_sent_vectors(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(c, 0.3, (60, 2)) for c in (0, 3, 6)])
+    df = frame(spark, x)
+    asked = frame(spark, x + 0.05)
+    asked = asked.union(asked.select((F.col("id") * 0).alias("id"), "features"))  # ids may repeat
+
+    def found():
+        model = fit(df, Config(min_cluster_size=5, prediction_data=True, block_rows=16))
+        return [sorted(map(tuple, f(asked).collect())) for f in (model.predict, model.predict_scores, model.membership)]
+
+    sent = found()
+    monkeypatch.setattr(cells, "LEAST_ROWS", 20)
+    assert found() == sent
+
+
+def test_heights_where_paths_meet(spark):
+    """Against climbing from both ends, on a tree of splits."""
+    rng = np.random.default_rng(7)
+    up, birth, leaves = [-1], [0.0], [0]
+    for _ in range(60):
+        p = leaves.pop(int(rng.integers(len(leaves))))
+        density = birth[p] + rng.random() + 0.01
+        leaves += [len(up), len(up) + 1]
+        up += [p, p]
+        birth += [density, density]
+    up, birth = np.array(up), np.array(birth)
+    order = np.argsort(birth, kind="stable")  # children have larger ids than their parents
+    assert (order[0] == 0) and (up[1:] < np.arange(1, len(up))).all()
+    chosen = [c for c in range(len(up)) if c % 3 == 0 and c and not any(a % 3 == 0 and a for a in ancestors_of(up, c))]
+    label_of = np.full(len(up), -1)
+    label_of[chosen] = np.arange(len(chosen))
+    look = prediction.Lookup(*[None] * 5, 0, np.array(chosen), label_of, None, None, None, up, birth, None, None, None, None, *prediction.walk(up, 0, chosen))
+    points = np.arange(len(up))
+    got = look.heights(points, points + 1000.0)
+    for a in points.tolist():
+        for k, c in enumerate(chosen):
+            mine, other = [a, *ancestors_of(up, a)], [c, *ancestors_of(up, c)]
+            meet = next(i for i in mine if i in other)
+            assert got[a, k] == (a + 1000.0 if meet in (a, c) else birth[mine[mine.index(meet) - 1]])
+
+
+def ancestors_of(up, c):
+    out = []
+    while up[c] >= 0:
+        c = int(up[c])
+        out.append(c)
+    return out
