@@ -39,6 +39,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Like ``cut``, but read again from Parquet: rows that went through several rounds of ``cut`` carry constraints that planning multiplies."""
+    path = shared_dir(df.sparkSession, "stored")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 #: A side of keys is broadcast up to this many rows, by a count taken first.
 BROADCAST_ROWS = 500_000
 
@@ -100,18 +107,27 @@ def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component): the least node reachable over ``links``, for every node that has a link.
 
-    Least-label propagation with pointer jumping. Each round is a partial aggregation
-    and two joins; labels are cut to the shared checkpoint folder, and only the number
-    of changed labels comes to the driver.
+    In each round every node takes its least neighbour's label, labels are followed to
+    their ends by pointer jumping, and links inside a label go, so that a long path takes
+    few rounds. Labels are written to the shared folder and read again, as checkpointed
+    rows carry constraints that planning on the driver multiplies with each round.
     """
-    both = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
-    both = cut(both.union(both.select("v", "u")).distinct())
-    label = cut(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("component")))
-    while True:
-        near = both.join(label, both.v == label.node).groupBy("u").agg(F.min("component").alias("near"))
-        low = label.join(near, label.node == near.u).select("node", F.least("component", "near").alias("low"), F.col("component").alias("was"))
-        target = label.select(F.col("node").alias("low"), F.col("component").alias("jump"))
-        new = cut(low.join(target, "low").select("node", F.least("low", "jump").alias("component"), (F.least("low", "jump") != F.col("was")).alias("moved")))
-        label = new.select("node", "component")
-        if not new.where("moved").limit(1).count():
-            return label
+    open_ = stored(links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct())
+    label = None
+    while label is None or open_.limit(1).count():
+        both = open_.union(open_.select("v", "u"))
+        up = stored(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("near")).select("node", F.least("node", "near").alias("up")))
+        while True:
+            above = up.select(F.col("node").alias("up"), F.col("up").alias("top"))
+            jumped = stored(up.join(above, "up").select("node", "up", "top"))
+            up = jumped.select("node", F.col("top").alias("up"))
+            if not jumped.where("up <> top").limit(1).count():
+                break
+        if label is None:
+            label = up.select("node", F.col("up").alias("component"))
+        else:
+            top = up.select(F.col("node").alias("component"), F.col("up").alias("top"))
+            label = stored(label.join(top, "component", "left").select("node", F.coalesce("top", "component").alias("component")))
+        x, y = (up.select(F.col("node").alias(c), F.col("up").alias(f"to_{c}")) for c in "uv")
+        open_ = stored(open_.join(x, "u").join(y, "v").where("to_u <> to_v").select(F.col("to_u").alias("u"), F.col("to_v").alias("v")).distinct())
+    return label

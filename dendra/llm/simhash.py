@@ -44,7 +44,11 @@ def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
     """64-bit SimHash of the word shingles; zero for a text without words."""
-    h = shingle_hashes(text, shingle)
+    return fingerprint_of(shingle_hashes(text, shingle))
+
+
+def fingerprint_of(h: np.ndarray) -> int:
+    """64-bit SimHash of hashes; zero for none."""
     n = len(h)
     ones = np.zeros(64, np.int64)
     for at in range(0, n, 65536):
