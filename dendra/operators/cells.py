@@ -1,9 +1,9 @@
 """Cells of space for neighbour joins: vectors near each other share a cell, and a cell meets only those whose boxes are near enough.
 
-The cuts come of a bounded sample and bear on speed alone. A cell needs no more than
-the farthest corner distance within which other cells hold k rows for certain; cells
-whose boxes begin beyond that hold no neighbour of it. Boxes, one for each cell, go with
-the tasks; vectors meet by an equi-join on cells.
+The cuts come of a bounded sample and bear on speed alone. A row needs no more than its
+k-th distance in one cell, or the farthest corner distance within which cells hold k rows
+for certain; it meets no cell whose box begins beyond that. Boxes, one for each cell, go
+with the tasks; vectors meet by an equi-join on cells.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ SAMPLE = 50_000
 #: What rounding may take from a distance between boxes.
 SLACK = 1e-9
 _CELL = "block int, ids binary, x binary, low binary, high binary"
+#: Rows of a cell at most: smaller ones hold fewer pairs, and have more boxes to hold them against.
+ROWS = 512
 #: Rows from which cells are worth their jobs.
 LEAST_ROWS = 20_000
 
@@ -98,16 +100,35 @@ def _packed(df: DataFrame, axis: np.ndarray, value: np.ndarray, width: int, bloc
     return placed(df, axis, value, width, block_rows).groupBy("block").applyInArrow(pack, _CELL)
 
 
-def near_cells(low: np.ndarray, high: np.ndarray, boxes: tuple[np.ndarray, ...], k: int, metric: Metric) -> np.ndarray:
-    """The cells of ``boxes`` (block, rows, low, high) that may hold one of the k nearest rows of a point in the box."""
-    block, rows, lows, highs = boxes
+def near_cells(low: np.ndarray, high: np.ndarray, boxes: tuple[np.ndarray, ...], k: int, metric: Metric) -> tuple[np.ndarray, float]:
+    """How far each cell of ``boxes`` (block, rows, low, high) begins from the box, and a distance within which any point in the box has k rows."""
+    _, rows, lows, highs = boxes
     zero = np.zeros((1, len(low)))
     least = metric.kernel(zero, np.maximum(0, np.maximum(lows - high, low - highs)))[0]
     most = metric.kernel(zero, np.maximum(np.abs(lows - high), np.abs(highs - low)))[0]
     order = np.argsort(most, kind="stable")
     enough = np.searchsorted(np.cumsum(rows[order]), k)
-    bound = most[order[enough]] if enough < len(order) else np.inf
-    return block[least <= bound * (1 + SLACK)]
+    return least, most[order[enough]] if enough < len(order) else np.inf
+
+
+def asked_cells(x: np.ndarray, home: int, base: np.ndarray, boxes: tuple[np.ndarray, ...], k: int, metric: Metric) -> Iterator[tuple[int, np.ndarray]]:
+    """Each cell of ``boxes`` (by its place) that may hold one of the k nearest rows of some ``x``, and the places of those; ``base`` are the vectors of the cell ``home``.
+
+    A row's k-th distance in that one cell bounds how far it has to look.
+    """
+    _, _, lows, highs = boxes
+    least, bound = near_cells(x.min(axis=0), x.max(axis=0), boxes, k, metric)
+    most = np.full(len(x), bound)
+    if len(base) >= k:
+        most = np.minimum(most, np.partition(metric.kernel(x, base), k - 1, axis=1)[:, k - 1])
+    most *= 1 + SLACK
+    yield home, np.arange(len(x))
+    for cell in np.flatnonzero(least <= most.max()).tolist():
+        if cell != home:
+            gap = metric.kernel(np.zeros((1, x.shape[1])), np.maximum(0, np.maximum(lows[cell] - x, x - highs[cell])))[0]
+            near = np.flatnonzero(gap <= most)
+            if len(near):
+                yield cell, near
 
 
 def sampled_cuts(base: DataFrame, shape: Shape, block_rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -119,21 +140,41 @@ def sampled_cuts(base: DataFrame, shape: Shape, block_rows: int) -> tuple[np.nda
 
 
 def pairs(queries: DataFrame, base: DataFrame, k: int, metric: Metric, shape: Shape, block_rows: int) -> tuple[DataFrame, DataFrame]:
-    """(block, ids, x, other) of the queries' cells and each cell they have to meet, and (block, ids, x) of the base's."""
-    width = shape.columns
+    """(ids, x, other) of the queries of a cell that have to meet each other cell, and (block, ids, x) of the base's."""
+    width, block_rows = shape.columns, min(block_rows, ROWS)
+    parts = parts_of(base, -(-shape.rows // block_rows))
     axis, value = sampled_cuts(base, shape, block_rows)
-    right = cut(_packed(base, axis, value, width, block_rows))
-    table = right.select("block", (F.length("ids") / 8).cast("long").alias("rows"), "low", "high").toArrow()
+    right = cut(_packed(base, axis, value, width, block_rows).repartition(parts))
+    table = right.select("block", (F.length("ids") / 8).cast("long").alias("rows"), "low", "high").toArrow().sort_by("block")
     corners = (np.array([np.frombuffer(v, float) for v in table.column(c).to_pylist()]).reshape(-1, width) for c in ("low", "high"))
     held = base.sparkSession.sparkContext.broadcast((table.column("block").to_numpy(), table.column("rows").to_numpy(), *corners))
 
-    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def housed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, _, lows, highs = held.value
         for batch in batches:
             for i in range(batch.num_rows):
-                low, high = (np.frombuffer(batch.column(c)[i].as_py(), float) for c in (3, 4))
-                others = near_cells(low, high, held.value, k, metric)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), batch.column(2).slice(i, 1), pa.array([others], pa.list_(pa.int32()))], names=["block", "ids", "x", "others"])
+                middle = (np.frombuffer(batch.column("low")[i].as_py()) + np.frombuffer(batch.column("high")[i].as_py())) / 2
+                gap = np.maximum(0, np.maximum(lows - middle, middle - highs))
+                home = block[metric.kernel(np.zeros((1, width)), gap)[0].argmin()]
+                yield pa.RecordBatch.from_arrays([pa.array([home], pa.int32()), *(batch.column(c).slice(i, 1) for c in ("ids", "x"))], names=["block", "ids", "x"])
 
-    mine = right if queries is base else _packed(queries, axis, value, width, block_rows)
-    left = mine.mapInArrow(met, "block int, ids binary, x binary, others array<int>").withColumn("other", F.explode("others")).drop("others")
-    return left, right.select("block", "ids", "x")
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        boxes = held.value
+        for batch in batches:
+            for home, ids, x, y in zip(*(batch.column(c).to_pylist() for c in ("block", "ids", "x", "base_x")), strict=True):
+                ids, x, y = np.frombuffer(ids, np.int64), np.frombuffer(x).reshape(-1, width), np.frombuffer(y).reshape(-1, width)
+                for other, near in asked_cells(x, int(np.searchsorted(boxes[0], home)), y, boxes, k, metric):
+                    yield pa.RecordBatch.from_pydict({"ids": [ids[near].tobytes()], "x": [x[near].tobytes()], "other": [int(boxes[0][other])]}, schema=pa.schema([("ids", pa.binary()), ("x", pa.binary()), ("other", pa.int32())]))
+
+    if queries is base:
+        mine = right.select("block", "ids", "x", F.col("x").alias("base_x"))
+    else:
+        mine = _packed(queries, axis, value, width, block_rows).mapInArrow(housed, "block int, ids binary, x binary")
+        mine = mine.repartition(parts, "block").join(right.select("block", F.col("x").alias("base_x")).repartition(parts, "block"), "block")
+    left = mine.mapInArrow(met, "ids binary, x binary, other int")
+    return left.repartition(parts, "other"), right.select("block", "ids", "x").repartition(parts, "block")
+
+
+def parts_of(df: DataFrame, blocks: int) -> int:
+    """Partitions for so many blocks: over all cores, of eight blocks where there are many."""
+    return max(4 * df.sparkSession.sparkContext.defaultParallelism, blocks // 8)
