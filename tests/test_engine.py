@@ -262,6 +262,15 @@ def test_extract_again(spark):
         assert clusters.count() == len(flat.clusters)
 
 
+def test_clusters_merged_to_one_ancestor_repeat_no_point(spark):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(c, 0.2, (20, 2)) for c in (0, 2, 4, 40)])
+    model = fit(frame(spark, x), Config(min_cluster_size=5))
+    points, clusters = model.extract(ExtractionConfig(epsilon=8.0))
+    assert clusters.count() < model.cluster_count()  # some were merged
+    assert sorted(r["id"] for r in points.collect()) == list(range(len(x)))
+
+
 def test_errors(spark):
     with pytest.raises(errors.TooFewPoints):
         fit(frame(spark, [[1.0]]))
