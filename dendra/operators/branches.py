@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -151,9 +152,9 @@ class BranchResult:
         """
         predictor = self.model.predictor()
 
-        def work(look, ids: np.ndarray, q: np.ndarray, neighbour: np.ndarray, density: np.ndarray, least: np.ndarray) -> pa.RecordBatch:
+        def work(look, ids: np.ndarray, q: np.ndarray, neighbour: np.ndarray, density: np.ndarray, least: np.ndarray) -> Iterator[pa.RecordBatch]:
             label, probability = look.label(neighbour, density)
-            return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(look.ids[neighbour]), pa.array(label.astype(np.int32)), pa.array(probability)], names=["id", "nbr", "cluster_label", "cluster_probability"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(look.ids[neighbour]), pa.array(label.astype(np.int32)), pa.array(probability)], names=["id", "nbr", "cluster_label", "cluster_probability"])
 
         near = predictor.apply(df, work, "id long, nbr long, cluster_label int, cluster_probability double")
         counts = self.persistences.groupBy(F.col("cluster").alias("cluster_label")).agg(F.count("*").alias("branches"))

@@ -206,7 +206,7 @@ class Predictor:
         )
         return cls(lookup, model.vectors, core, model)
 
-    def apply(self, df: DataFrame, work: Callable[..., pa.RecordBatch], schema: str, step: int = 256) -> DataFrame:
+    def apply(self, df: DataFrame, work: Callable[..., Iterator[pa.RecordBatch]], schema: str, step: int = 256, deal: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
         """``work``, ``step`` rows at a time, on the ids, vectors, connecting neighbours, densities there and least distances of each batch; streams can't be counted, so their vectors are checked in the task."""
         if not df.isStreaming:
             vectors.validate(df, columns=self.columns)
@@ -219,7 +219,7 @@ class Predictor:
                 raise PredictionUnsupported("a stream is scored against vectors that go with the task, and these are too large")
             rows = self.connected(rows)
         if not df.isStreaming:
-            rows = _dealt(rows)
+            rows = (deal or _dealt)(rows)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             look = held.value
@@ -235,7 +235,7 @@ class Predictor:
                         found = np.searchsorted(look.ids, nbr), density_at(best), least
                     else:
                         found = look.nearest(q)
-                    yield work(look, part.column(0).to_numpy(zero_copy_only=False), q, *found)
+                    yield from work(look, part.column(0).to_numpy(zero_copy_only=False), q, *found)
 
         return rows.mapInArrow(run, schema)
 
@@ -253,31 +253,31 @@ class Predictor:
     def predict(self, df: DataFrame) -> DataFrame:
         """(id, label, probability)."""
 
-        def work(look: Lookup, ids: np.ndarray, q: np.ndarray, neighbour: np.ndarray, density: np.ndarray, least: np.ndarray) -> pa.RecordBatch:
+        def work(look: Lookup, ids: np.ndarray, q: np.ndarray, neighbour: np.ndarray, density: np.ndarray, least: np.ndarray) -> Iterator[pa.RecordBatch]:
             label, probability = look.label(neighbour, density)
-            return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(label.astype(np.int32)), pa.array(probability)], names=["id", "label", "probability"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(label.astype(np.int32)), pa.array(probability)], names=["id", "label", "probability"])
 
         return self.apply(df, work, "id long, label int, probability double")
 
     def scores(self, df: DataFrame) -> DataFrame:
         """(id, outlier_score): negative where a point is denser than the fit's peak."""
 
-        def work(look: Lookup, ids: np.ndarray, q: np.ndarray, neighbour: np.ndarray, density: np.ndarray, least: np.ndarray) -> pa.RecordBatch:
+        def work(look: Lookup, ids: np.ndarray, q: np.ndarray, neighbour: np.ndarray, density: np.ndarray, least: np.ndarray) -> Iterator[pa.RecordBatch]:
             density = np.where(least == 0, look.point_density[neighbour], density)
             top = look.peak[look.point_cluster[neighbour]]
             score = np.divide(top - density, top, out=np.zeros(len(q)), where=top > 0)
-            return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(score if len(look.clusters) else np.ones(len(q)))], names=["id", "outlier_score"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(score if len(look.clusters) else np.ones(len(q)))], names=["id", "outlier_score"])
 
         return self.apply(df, work, "id long, outlier_score double")
 
     def membership(self, df: DataFrame) -> DataFrame:
         """(id, label, membership): a row for each selected cluster."""
 
-        def work(look: Lookup, ids: np.ndarray, q: np.ndarray, neighbour: np.ndarray, density: np.ndarray, least: np.ndarray) -> pa.RecordBatch:
+        def work(look: Lookup, ids: np.ndarray, q: np.ndarray, neighbour: np.ndarray, density: np.ndarray, least: np.ndarray) -> Iterator[pa.RecordBatch]:
             density = np.minimum(look.point_density[neighbour], density)
-            return _memberships(look, ids, q, look.point_cluster[neighbour], density, fitted=False)
+            yield from _memberships(look, ids, q, look.point_cluster[neighbour], density, fitted=False)
 
-        return self.apply(df, work, _MEMBERSHIP, max(1, min(256, _VALUES // max(1, len(self.lookup.clusters), len(self.lookup.exemplars)))))
+        return self.apply(df, work, _MEMBERSHIP, deal=_equals_together)
 
     def all_points_membership(self) -> DataFrame:
         """(id, label, membership) of the fitted points."""
@@ -286,15 +286,12 @@ class Predictor:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             look = held.value
             for batch in batches:
-                step = max(1, min(512, _VALUES // max(1, len(look.clusters), len(look.exemplars))))
-                for at in range(0, batch.num_rows, step):
-                    part = batch.slice(at, step)
-                    ids = part.column(0).to_numpy(zero_copy_only=False)
-                    place = np.searchsorted(look.ids, ids)
-                    q = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, columns)
-                    yield _memberships(look, ids, q, look.point_cluster[place], look.point_density[place], fitted=True)
+                ids = batch.column(0).to_numpy(zero_copy_only=False)
+                place = np.searchsorted(look.ids, ids)
+                q = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, columns)
+                yield from _memberships(look, ids, q, look.point_cluster[place], look.point_density[place], fitted=True)
 
-        return _dealt(self.df.select("id", "features")).mapInArrow(run, _MEMBERSHIP)
+        return _equals_together(self.df.select("id", "features")).mapInArrow(run, _MEMBERSHIP)
 
 
 def _rows(table: pa.Table, columns: int) -> np.ndarray:
@@ -319,15 +316,29 @@ def _dealt(rows: DataFrame) -> DataFrame:
     return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism)
 
 
+def _equals_together(rows: DataFrame) -> DataFrame:
+    """Over all cores, equal vectors beside each other; those of very many rows are parted by id."""
+    return rows.repartitionByRange(4 * rows.sparkSession.sparkContext.defaultParallelism, "features", "id").sortWithinPartitions("features", "id")
+
+
 _MEMBERSHIP = "id long, label int, membership double"
 #: Distances or memberships that a task holds at once.
 _VALUES = 1 << 20
 
 
-def _memberships(look: Lookup, ids: np.ndarray, q: np.ndarray, cluster: np.ndarray, density: np.ndarray, fitted: bool) -> pa.RecordBatch:
+def _memberships(look: Lookup, ids: np.ndarray, q: np.ndarray, cluster: np.ndarray, density: np.ndarray, fitted: bool) -> Iterator[pa.RecordBatch]:
+    """Rows of each point and selected cluster, so many at once as ``_VALUES`` allow; points alike in all that counts are worked out once."""
     k = len(look.clusters)
-    if k:
-        values = look.spread(look.closeness(q), cluster, density, fitted).ravel() if len(q) else np.zeros(0)
-    else:
-        values = np.zeros(0)
-    return pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, k)), pa.array(np.tile(np.arange(k, dtype=np.int32), len(ids))), pa.array(values)], names=["id", "label", "membership"])
+    if not k or not len(ids):
+        return
+    step = max(1, _VALUES // max(k, len(look.exemplars)))
+    _, first, alike = np.unique(np.column_stack([q, cluster, density]), axis=0, return_index=True, return_inverse=True)
+    order = np.argsort(alike, kind="stable")
+    ends = np.searchsorted(alike[order], np.arange(len(first) + 1))
+    for at in range(0, len(first), step):
+        one = first[at : at + step]
+        values = look.spread(look.closeness(q[one]), cluster[one], density[one], fitted)
+        points = order[ends[at] : ends[at + len(one)]]
+        for part in (points[i : i + step] for i in range(0, len(points), step)):
+            columns = np.repeat(ids[part], k), np.tile(np.arange(k, dtype=np.int32), len(part)), values[alike[part] - at].ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["id", "label", "membership"])

@@ -523,6 +523,21 @@ def test_predictions_by_cells_are_those_by_sent_vectors(spark, monkeypatch):
     assert found() == sent
 
 
+def test_memberships_of_equal_points_are_worked_out_once(spark, monkeypatch):
+    x = np.repeat(np.round(blobs(15), 2), 3, axis=0)
+    model = fit(frame(spark, x), Config(min_cluster_size=8, min_samples=4, prediction_data=True))
+    look, seen = model.predictor().lookup, []
+    monkeypatch.setattr(look, "spread", lambda closeness, *rest: seen.append(len(closeness)) or prediction.Lookup.spread(look, closeness, *rest))
+    monkeypatch.setattr(prediction, "_VALUES", 7 * max(len(look.clusters), len(look.exemplars)))
+    found = list(prediction._memberships(look, look.ids, look.x, look.point_cluster, look.point_density, True))
+    assert sum(seen) <= len(x) // 2 and max(seen) <= 7 and max(b.num_rows for b in found) <= 7 * len(look.clusters)
+    got = sorted(tuple(r.values()) for b in found for r in b.to_pylist())
+    want = prediction.Lookup.spread(look, look.closeness(look.x), look.point_cluster, look.point_density, True)
+    assert [r[:2] for r in got] == [(i, k) for i in range(len(x)) for k in range(len(look.clusters))]
+    assert np.allclose([r[2] for r in got], want.ravel())
+    assert sorted(map(tuple, model.all_points_membership().collect())) == got
+
+
 def test_heights_where_paths_meet(spark):
     """Against climbing from both ends, on a tree of splits."""
     rng = np.random.default_rng(7)
