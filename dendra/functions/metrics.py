@@ -76,13 +76,55 @@ def _euclid(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     odd = ~((d > 1e-140) & (d < 1e150))
     if odd.any():
         i, j = np.nonzero(odd)
-        gap = np.abs(a[i] - b[j])
-        most = gap.max(axis=1) if gap.shape[1] else np.zeros(len(i))
-        unit = np.divide(gap, most[:, None], out=np.zeros_like(gap), where=most[:, None] > 0)
-        d[i, j] = most * np.sqrt((unit * unit).sum(axis=1))
+        d[i, j] = _scaled(a[i], b[j])
     return d
 
 
+def _scaled(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Euclidean distances of rows beside each other, whose squares would overflow or vanish."""
+    gap = np.abs(a - b)
+    most = gap.max(axis=1) if gap.shape[1] else np.zeros(len(gap))
+    unit = np.divide(gap, most[:, None], out=np.zeros_like(gap), where=most[:, None] > 0)
+    return most * np.sqrt((unit * unit).sum(axis=1))
+
+
+#: Columns from which a product of matrices tells sooner than folding which pairs are near.
+PRODUCT_COLUMNS = 16
+
+
+def by_products(metric: Metric, columns: int) -> bool:
+    return metric.name in ("euclidean", "sqeuclidean") and columns >= PRODUCT_COLUMNS
+
+
+def squares(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """Squared distances by a product of matrices, and for each row what they may be off from those that ``paired`` folds; None where squares may overflow."""
+    with np.errstate(over="ignore"):
+        x, y = (a * a).sum(axis=1), (b * b).sum(axis=1)
+        most = x + y.max(initial=0.0)
+    if not (most < 1e290).all():
+        return None
+    off = 16 * (a.shape[1] + 16) * np.finfo(float).eps * most + 1e-290
+    left, right = np.column_stack([-2 * a, x, np.ones(len(a))]), np.column_stack([b, np.ones(len(b)), y])
+    return left @ right.T, off
+
+
+def paired(metric: Metric, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances of rows beside each other under a metric of ``by_products``: the values of its kernel."""
+    out = np.zeros(len(a))
+    with np.errstate(over="ignore", under="ignore"):
+        for j in range(a.shape[1]):
+            gap = a[:, j] - b[:, j]
+            gap *= gap
+            out += gap
+    if metric.name == "sqeuclidean":
+        return out
+    out = np.sqrt(out)
+    odd = np.flatnonzero(~((out > 1e-140) & (out < 1e150)))
+    if len(odd):
+        out[odd] = _scaled(a[odd], b[odd])
+    return out
+
+
 def _canberra_term(s: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     total = np.abs(x) + np.abs(y)
     return s + np.divide(np.abs(x - y), total, out=np.zeros(np.broadcast(x, y).shape), where=total != 0)

@@ -19,12 +19,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import InvalidDistance
-from ..functions.metrics import Metric
+from ..functions.metrics import Metric, by_products, paired, squares
 from ..sources.vectors import Shape
 from . import cells
 
 #: Bytes of vectors that are broadcast at most.
 BROADCAST_BYTES = 32 << 20
+#: Values of a base's block, at most about so many, where all blocks meet.
+BLOCK_VALUES = 1 << 19
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
@@ -34,8 +36,11 @@ def _matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
 
 def nearest(ids: np.ndarray, x: np.ndarray, base_ids: np.ndarray, base: np.ndarray, k: int, metric: Metric, keep_self: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(id, neighbour, distance): the k nearest of a block by (distance, id), in that order."""
+    own = ids[:, None] == base_ids[None, :] if not keep_self else np.zeros((len(ids), len(base_ids)), bool)
+    if by_products(metric, x.shape[1]) and (near := _near(x, base, own, k)) is not None:
+        row, col = near
+        return _ranked(ids, base_ids, row, col, paired(metric, x[row], base[col]), k)
     d = metric.kernel(x, base)
-    own = ids[:, None] == base_ids[None, :] if not keep_self else np.zeros(d.shape, bool)
     if metric.name != "euclidean" and not ((d >= 0) & (d < np.inf) | own).all():
         raise InvalidDistance(f"{metric.name} gave a distance that is negative or not finite")
     d[own] = np.nan
@@ -45,7 +50,29 @@ def nearest(ids: np.ndarray, x: np.ndarray, base_ids: np.ndarray, base: np.ndarr
         row, col = np.nonzero(d <= kth[:, None])  # ties at the boundary are all held until they are ranked
     else:
         row, col = np.nonzero(~np.isnan(d))
-    value = d[row, col]
+    return _ranked(ids, base_ids, row, col, d[row, col], k)
+
+
+def _near(x: np.ndarray, base: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """Rows and columns among which are the k nearest of each row with all ties, but for ``own``, and few others; None where products can't tell."""
+    if k + 1 >= len(base) or (found := squares(x, base)) is None:
+        return None
+    s, off = found
+    s[own] = np.inf
+    groups = max(4 * k, 64)
+    part = len(base) // groups
+    if part > 1:  # k rows lie within the k-th of the groups' least distances
+        least = s[:, : groups * part].reshape(len(x), groups, part).min(axis=2)
+    else:
+        least = s
+    most = np.partition(least, k - 1, axis=1)[:, k - 1] + 2 * off
+    if not np.isfinite(most).all():
+        return None
+    at = np.flatnonzero(s <= most[:, None])
+    return np.divmod(at, len(base)) if len(at) * 4 <= s.size else None
+
+
+def _ranked(ids: np.ndarray, base_ids: np.ndarray, row: np.ndarray, col: np.ndarray, value: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     order = np.lexsort((base_ids[col], value, row))
     row, col, value = row[order], col[order], value[order]
     first = np.searchsorted(row, np.arange(len(ids)))
@@ -76,22 +103,34 @@ def knn(queries: DataFrame, base: DataFrame, k: int, metric: Metric, shape: Shap
                 for at in range(0, len(ids), step):
                     yield _found(*nearest(ids[at : at + step], x[at : at + step], base_ids, b, k, metric, keep_self))
 
-        found = queries.select("id", "features").mapInArrow(run, _PAIR)
+        rows = queries.select("id", "features")
+        if shape.rows > cells.LEAST_ROWS:  # small files of many rows come as few partitions
+            rows = rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism)
+        found = rows.mapInArrow(run, _PAIR)
     else:
         if in_cells:
             left, right = cells.pairs(queries, base, k + (not keep_self), metric, shape, block_rows)
         else:
-            blocks = -(-shape.rows // block_rows)
-            left = _packed(queries, block_rows, blocks, width).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-            right = _packed(base, block_rows, blocks, width)
-        right = right.select(F.col("block").alias("other"), F.col("ids").alias("base_ids"), F.col("x").alias("base_x"))
+            blocks, large = -(-shape.rows // block_rows), -(-shape.rows // max(block_rows, BLOCK_VALUES // (width + 1)))
+            left = _packed(queries, block_rows, blocks, width).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(large - 1))))
+            right = _packed(base, -(-shape.rows // large), large, width)  # large ones, as each gives k candidates a row
+            cores = queries.sparkSession.sparkContext.defaultParallelism
+            dealt = -(-8 * cores // large)  # parts of the queries, so that few large blocks keep all cores busy
+            left = left.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(dealt)).cast("int"))
+            right = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(dealt - 1))))
+            parts = max(4 * cores, large // 8)
+            left, right = left.repartition(parts, "other", "salt"), right.repartition(parts, "block", "salt")
+        right = right.select(F.col("block").alias("other"), F.col("ids").alias("base_ids"), F.col("x").alias("base_x"), *([] if in_cells else ["salt"]))
 
         def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for ids, x, base_ids, b in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                    yield _found(*nearest(np.frombuffer(ids, np.int64), np.frombuffer(x).reshape(-1, width), np.frombuffer(base_ids, np.int64), np.frombuffer(b).reshape(-1, width), k, metric, keep_self))
+                    ids, x, base_ids, b = np.frombuffer(ids, np.int64), np.frombuffer(x).reshape(-1, width), np.frombuffer(base_ids, np.int64), np.frombuffer(b).reshape(-1, width)
+                    step = max(1, min(len(ids), (1 << 22) // max(1, len(base_ids))))
+                    for at in range(0, len(ids), step):
+                        yield _found(*nearest(ids[at : at + step], x[at : at + step], base_ids, b, k, metric, keep_self))
 
-        found = left.join(right, "other").select("ids", "x", "base_ids", "base_x").mapInArrow(pairs, _PAIR)
+        found = left.join(right, "other" if in_cells else ["other", "salt"]).select("ids", "x", "base_ids", "base_x").mapInArrow(pairs, _PAIR)
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("distance", "nbr")))
     return ranked.where(F.col("rank") <= k).select("id", "rank", "nbr", "distance")
 

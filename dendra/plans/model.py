@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import BranchDataMissing, BranchUnsupported, DendraError, Disconnected, InsufficientNeighbors, InvalidConfig, InvalidDistance, PredictionDataMissing, PredictionUnsupported
-from ..functions.metrics import Metric, metric_of
-from ..operators import approximate, neighbors, spanning
+from ..functions.metrics import Metric, by_products, metric_of
+from ..operators import approximate, cells, neighbors, spanning
 from ..operators.tree import Condensed, Edges, condense, connected, extract, kruskal, linkage, outliers, prim
 from ..sources import exports, graphs, vectors
 from .config import APPROXIMATE, AUTO, BRUTE, KDTREE, Config, ExtractionConfig
@@ -230,7 +230,12 @@ def fit(df: DataFrame, config: Config | None = None) -> FittedModel:
         rows = approximate.fit_rows(df, config, shape)
         name = APPROXIMATE
     else:
-        core = neighbors.core_distances(df, config.min_samples, metric, shape, config.block_rows)
+        k, near = min(config.min_samples, n - 1), None
+        if n > config.prim_rows and by_products(metric, shape.columns) and not cells.serves(metric, shape.columns):
+            near = stored(neighbors.knn(df, df, k, metric, shape, block_rows=config.block_rows))
+            core = near.where(F.col("rank") == k).select("id", F.col("distance").alias("core"))
+        else:
+            core = neighbors.core_distances(df, k, metric, shape, config.block_rows)
         points = df.join(core, "id")
         name = config.algorithm
         if name == AUTO:
@@ -238,7 +243,11 @@ def fit(df: DataFrame, config: Config | None = None) -> FittedModel:
         if n <= config.prim_rows:
             rows = _single_task(points, _prim_kernel(config, metric, shape.columns))
         else:
-            edges = spanning.block_candidates(stored(points), metric, config.alpha, shape.columns, n, config.block_rows)
+            points = stored(points)
+            if near is None:
+                edges = spanning.block_candidates(points, metric, config.alpha, shape.columns, n, config.block_rows)
+            else:
+                edges = spanning.ordered_candidates(points, near, metric, config.alpha, shape, k)
             rows = _single_task(edges.withColumn("n", F.lit(n)).unionByName(df.select(F.col("id").alias("src"), F.lit(None).cast("long").alias("dst"), F.lit(0.0).alias("distance"), F.lit(n).alias("n"))), edge_kernel(config))
     return FittedModel(_checked(rows), config, n, name, name == APPROXIMATE, config.workers, df if config.prediction_data or config.branch_data else None, shape)
 

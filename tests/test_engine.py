@@ -498,6 +498,65 @@ def test_block_trees_are_the_tree_of_all_pairs(spark, metric, alpha):
     assert got == sorted(zip(ids[want.src].tolist(), ids[want.dst].tolist(), want.distance.tolist(), strict=True))
 
 
+@pytest.mark.parametrize("metric", [M.EUCLIDEAN, M.SQUARED_EUCLIDEAN])
+@pytest.mark.parametrize("alpha", [1.0, 2.0])
+@pytest.mark.parametrize("tied", [False, True])
+def test_wide_trees_are_the_tree_of_all_pairs(spark, monkeypatch, metric, alpha, tied):
+    """Under (reach, smaller id, larger id), in blocks, with parts that the neighbours' edges leave, and with copies."""
+    rng = np.random.default_rng(8)
+    n = 300
+    x = np.concatenate([rng.normal(c, 1, (n // 6, 40)) for c in (0, 3, 3, 9, 1000, 1000)])
+    if tied:
+        x = np.concatenate([np.round(x[: n // 2] / 4), np.round(x[: n // 2] / 4)])
+    ids = rng.permutation(1000)[:n]
+    points = spark.createDataFrame([(int(i), [float(v) for v in row]) for i, row in zip(ids, x, strict=True)], "id long, features array<double>")
+    shape = vectors.Shape(n, 40)
+    monkeypatch.setattr(spanning, "SIDE", 32)
+    monkeypatch.setattr(spanning, "FOLDED", 100)
+    monkeypatch.setattr(spanning, "MIDDLES", 2)
+    near = neighbors.knn(points, points, 2, metric, shape).persist()
+    core = near.where("rank = 2").select("id", F.col("distance").alias("core"))
+    got = sorted(map(tuple, spanning.ordered_candidates(points.join(core, "id"), near, metric, alpha, shape, 2, block_rows=90).collect()))
+    order = np.argsort(ids)
+    ids, x = ids[order], x[order]
+    d = metric.kernel(x, x)
+    core = np.sort(d, axis=1)[:, 2]
+    w = np.maximum(d / alpha, np.maximum(core[:, None], core))
+    a, b = np.triu_indices(n, 1)
+    want = tree.kruskal(n, a, b, w[a, b])
+    assert got == sorted(zip(ids[want.src].tolist(), ids[want.dst].tolist(), want.distance.tolist(), strict=True))
+
+
+@pytest.mark.parametrize("case", ["normal", "tied", "offset", "tiny", "huge"])
+def test_products_find_the_same_neighbours_and_fold_few(monkeypatch, case):
+    rng = np.random.default_rng(9)
+    x = rng.normal(0, 1, (600, 24))
+    x = {"normal": x, "tied": np.round(x[:, :2] @ np.ones((2, 24))), "offset": x * 1e-6 + 1e3, "tiny": x * 1e-160, "huge": x * 1e160}[case]
+    ids, folded, plain = rng.permutation(600), [], neighbors.paired
+    monkeypatch.setattr(neighbors, "paired", lambda metric, a, b: folded.append(len(a)) or plain(metric, a, b))
+    for keep in (False, True):
+        got = neighbors.nearest(ids[:50], x[:50], ids, x, 4, M.EUCLIDEAN, keep)
+        d = M.EUCLIDEAN.kernel(x[:50], x)
+        if not keep:
+            d[ids[:50, None] == ids] = np.inf
+        order = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :4]
+        assert (got[1].reshape(50, 4) == ids[order]).all() and (got[2].reshape(50, 4) == np.take_along_axis(d, order, 1)).all()
+    if case == "normal":
+        assert 0 < max(folded) < 50 * 60
+
+
+def test_fits_of_wide_vectors_fold_few_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    x = rng.normal(0, 1, (400, 48)) + 4 * rng.integers(0, 4, 400)[:, None]
+    x[-60:] = x[:60]
+    one, two = (fit(frame(spark, x), Config(min_cluster_size=5, prim_rows=rows)) for rows in (1000, 1))
+    assert evaluation.same_partition(one.labels, two.labels).first()[0]
+    assert two.mst.agg({"distance": "sum"}).first()[0] == pytest.approx(one.mst.agg({"distance": "sum"}).first()[0])
+    d = M.EUCLIDEAN.kernel(x, x)
+    pairs = spanning.survivors(x, x, np.zeros(400), np.zeros(400), np.full((400, 400), np.sort(d, axis=1)[:, 5].max()), M.EUCLIDEAN, 1.0)
+    assert pairs is None or len(pairs[0]) < 400 * 400 // 16
+
+
 def test_blocks_meet_few_others_where_space_tells(spark):
     x = np.random.default_rng(4).random((20_000, 2))
     points = spark.createDataFrame([(i, [float(a), float(b)], 0.0) for i, (a, b) in enumerate(x)], "id long, features array<double>, core double")
