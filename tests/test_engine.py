@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark import InheritableThread
 from pyspark.sql import functions as F
 
-from dendra import errors
+from dendra import errors, queries
 from dendra.functions import metrics as M
 from dendra.operators import analytics, approximate, cells, evaluation, neighbors, prediction, spanning, tree
 from dendra.operators.robust import cut_linkage, robust_single_linkage
@@ -466,6 +466,17 @@ def test_evaluation_sources_exports(spark, tmp_path):
     assert select_algorithm(frame(spark, blobs(9))) == "kdtree" and select_algorithm(frame(spark, blobs(9)), "manhattan") == "bruteforce"
 
 
+@pytest.mark.parametrize("digits", [7, 8])
+def test_quick_rounding_is_that_of_decimals(spark, digits):
+    rng = np.random.default_rng(12)
+    unit = 10.0**-digits
+    ties = (rng.integers(0, 10**6, 2000) + 0.5) * unit
+    x = np.concatenate([rng.random(5000), rng.random(2000) * 1e-6, ties, np.nextafter(ties, 0), np.nextafter(ties, 1), rng.normal(0, 1e5, 2000), rng.integers(0, 10**8, 500) * unit, [0.0, -0.0, 5e-324, 39.9999999999, 40.0, 1e15, 1e300, np.inf, np.nan]])
+    df = spark.createDataFrame([(float(v),) for v in np.concatenate([x, -x])] + [(None,)], "x double")
+    pairs = df.select(F.round("x", digits).alias("want"), queries.rounded("x", digits).alias("got")).collect()
+    assert len(pairs) == 2 * len(x) + 1 and all(str(r["want"]) == str(r["got"]) for r in pairs)
+
+
 def test_cut_components_of_long_paths(spark):
     """Rounds and plans stay small where components are long paths in no order of ids."""
     n = 3000
