@@ -192,16 +192,21 @@ def detect(model, config: BranchConfig, labels: DataFrame | None = None) -> Bran
         if own.where(F.isnan("weight") | (F.col("weight") < 0) | (F.col("weight") > 1)).limit(1).count():
             raise InvalidConfig("a cluster probability lies outside 0 and 1")
     k = min(fit.min_samples, shape.rows - 1)
-    core = neighbors.core_distances(model.vectors, fit.min_samples, metric, shape, fit.block_rows)
-    lists = neighbors.knn(model.vectors, model.vectors, k, metric, shape, keep_self=True, block_rows=fit.block_rows).groupBy("id").agg(F.collect_list("nbr").alias("nbrs"))
+    if model.near is not None:
+        near = model.near.groupBy("id").agg(F.max(F.when(F.col("rank") == k + 1, F.col("distance"))).alias("core"), F.collect_list(F.when(F.col("rank") <= k, F.col("nbr"))).alias("nbrs"))
+    else:
+        core = neighbors.core_distances(model.vectors, fit.min_samples, metric, shape, fit.block_rows)
+        lists = neighbors.knn(model.vectors, model.vectors, k, metric, shape, keep_self=True, block_rows=fit.block_rows).groupBy("id").agg(F.collect_list("nbr").alias("nbrs"))
+        near = core.join(lists, "id")
     nothing = F.lit(None)
-    points = own.where("cluster >= 0").join(model.vectors, "id").join(core, "id").join(lists, "id")
+    points = own.where("cluster >= 0").join(model.vectors, "id").join(near, "id")
     points = points.select("cluster", "id", nothing.cast("long").alias("other"), "core", "weight", "features", "nbrs", F.lit(False).alias("edge"))
     ends = own.select(F.col("id").alias("src"), "cluster").join(model.mst, "src").join(own.select(F.col("id").alias("dst"), F.col("cluster").alias("c2")), "dst").where("cluster >= 0 AND cluster = c2")
     edges = ends.select("cluster", F.col("src").alias("id"), F.col("dst").alias("other"), F.col("distance").alias("core"), F.lit(0.0).alias("weight"), nothing.cast("array<double>").alias("features"), nothing.cast("array<bigint>").alias("nbrs"), F.lit(True).alias("edge"))
     from ..plans.model import _checked
 
-    rows = _checked(points.unionByName(edges).groupBy("cluster").applyInArrow(_cluster_kernel(config, metric, shape.columns), _ROW))
+    dealt = points.unionByName(edges).repartition(4 * points.sparkSession.sparkContext.defaultParallelism, "cluster")  # few bytes, but much work a cluster
+    rows = _checked(dealt.groupBy("cluster").applyInArrow(_cluster_kernel(config, metric, shape.columns), _ROW))
     placed = rows.where("kind = 'point'").select("cluster", F.col("a").alias("id"), F.col("b").cast("int").alias("branch"), F.col("x").alias("centrality"), F.col("y").alias("inner"))
     branches = rows.where("kind = 'branch'").groupBy("cluster").agg(F.count("*").alias("branches"))
     state = placed.groupBy("cluster").agg(F.count("*").alias("size"), F.max((F.col("branch") == -1).cast("int")).alias("noise")).join(branches, "cluster", "left")

@@ -167,9 +167,12 @@ class Predictor:
     def of(cls, model) -> Predictor:
         """From a fit. Its ids and tree go with each task; its vectors do so if they have ``SENT_BYTES`` at most, else only the exemplars' do."""
         shape, config, tree = model.shape, model.config, model.tree
-        core = neighbors.prediction_core_distances(model.vectors, config.min_samples, config.metric, shape, config.block_rows)
-        if shape.rows > cells.LEAST_ROWS:
-            core = stored(core)
+        if model.near is not None:
+            core = model.near.where(F.col("rank") == min(config.min_samples, shape.rows)).select("id", F.col("distance").alias("core"))
+        else:
+            core = neighbors.prediction_core_distances(model.vectors, config.min_samples, config.metric, shape, config.block_rows)
+            if shape.rows > cells.LEAST_ROWS:
+                core = stored(core)
         sent = shape.rows * shape.columns * 8 <= SENT_BYTES
         held = model.vectors.join(core, "id").select("id", "features", "core") if sent else model.vectors.select("id")
         table = held.toArrow()

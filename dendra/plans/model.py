@@ -101,6 +101,8 @@ class FittedModel:
     vectors: DataFrame | None = None
     shape: vectors.Shape | None = None
     cache: dict = field(default_factory=dict)
+    #: (id, rank, nbr, distance): of each point one neighbour more than ``min_samples``, itself counted, where their search is worth keeping.
+    near: DataFrame | None = None
 
     def _kind(self, kind: str, **names: str) -> DataFrame:
         return self.rows.where(F.col("kind") == kind).select(*(F.col(v).alias(k) for k, v in names.items()))
@@ -223,7 +225,7 @@ def fit(df: DataFrame, config: Config | None = None) -> FittedModel:
     config = (config or Config()).validated()
     shape = vectors.validate(df)
     config = config.validated(shape.rows)
-    metric, n = config.metric, shape.rows
+    metric, n, kept = config.metric, shape.rows, None
     if config.workers:
         df = df.repartition(min(config.workers, n), "id")
     if config.algorithm == APPROXIMATE:
@@ -234,6 +236,9 @@ def fit(df: DataFrame, config: Config | None = None) -> FittedModel:
         if n > config.prim_rows and by_products(metric, shape.columns) and not cells.serves(metric, shape.columns):
             near = stored(neighbors.knn(df, df, k, metric, shape, block_rows=config.block_rows))
             core = near.where(F.col("rank") == k).select("id", F.col("distance").alias("core"))
+        elif n > cells.LEAST_ROWS and cells.serves(metric, shape.columns) and (config.prediction_data or config.branch_data):
+            kept = stored(neighbors.knn(df, df, k + 1, metric, shape, keep_self=True, block_rows=config.block_rows))
+            core = kept.where(F.col("rank") == k + 1).select("id", F.col("distance").alias("core"))  # a point is at no distance of itself
         else:
             core = neighbors.core_distances(df, k, metric, shape, config.block_rows)
         points = df.join(core, "id")
@@ -249,7 +254,7 @@ def fit(df: DataFrame, config: Config | None = None) -> FittedModel:
             else:
                 edges = spanning.ordered_candidates(points, near, metric, config.alpha, shape, k)
             rows = _single_task(edges.withColumn("n", F.lit(n)).unionByName(df.select(F.col("id").alias("src"), F.lit(None).cast("long").alias("dst"), F.lit(0.0).alias("distance"), F.lit(n).alias("n"))), edge_kernel(config))
-    return FittedModel(_checked(rows), config, n, name, name == APPROXIMATE, config.workers, df if config.prediction_data or config.branch_data else None, shape)
+    return FittedModel(_checked(rows), config, n, name, name == APPROXIMATE, config.workers, df if config.prediction_data or config.branch_data else None, shape, near=kept)
 
 
 def _prim_kernel(config: Config, metric: Metric, columns: int):

@@ -593,6 +593,26 @@ def test_predictions_by_cells_are_those_by_sent_vectors(spark, monkeypatch):
     assert found() == sent
 
 
+def test_branches_and_predictions_share_the_search_of_the_fit(spark, monkeypatch):
+    rng = np.random.default_rng(21)
+    t = np.concatenate([rng.random((60, 1)) * [4, 0], rng.random((60, 1)) * [0, 4], rng.random((60, 1)) * [-4, 0], rng.normal(30, 0.3, (40, 2))])
+    x = np.concatenate([t + rng.normal(0, 0.05, t.shape), np.zeros((9, 2))])  # more copies than neighbours are asked for
+    df, asked, calls, plain = frame(spark, x), frame(spark, x + 0.02), [], neighbors.knn
+
+    def found():
+        calls.clear()
+        model = fit(df, Config(min_cluster_size=5, min_samples=4, prediction_data=True, branch_data=True, block_rows=16))
+        branches = model.detect_branches(BranchConfig(graph="core", min_cluster_size=5))
+        rows = [sorted(map(tuple, d.collect())) for d in (branches.points, branches.predict(asked), branches.graph.select("src", "dst", "centrality", "reachability"))]
+        return rows, len(calls)
+
+    monkeypatch.setattr(neighbors, "knn", lambda *a, **b: calls.append(1) or plain(*a, **b))
+    sent, _ = found()
+    monkeypatch.setattr(cells, "LEAST_ROWS", 20)
+    joined, searches = found()
+    assert joined == sent and searches == 2  # of the fit and of the asked
+
+
 def test_memberships_of_equal_points_are_worked_out_once(spark, monkeypatch):
     x = np.repeat(np.round(blobs(15), 2), 3, axis=0)
     model = fit(frame(spark, x), Config(min_cluster_size=8, min_samples=4, prediction_data=True))
