@@ -568,6 +568,20 @@ def test_fits_of_wide_vectors_fold_few_pairs(spark, monkeypatch):
     assert pairs is None or len(pairs[0]) < 400 * 400 // 16
 
 
+def test_reachability_of_all_pairs_comes_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neighbors, "PAIRED_ROWS", 16)
+    x = np.round(blobs(31), 1)
+    df, core = frame(spark, x), spark.createDataFrame([(i, i / 40) for i in range(len(x))], "id long, core double")
+    found = neighbors.mutual_reachability(df, core, M.EUCLIDEAN, alpha=2.0)
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]  # rows aren't paired one by one
+    d = M.EUCLIDEAN.kernel(x, x)
+    want = [(a, b, d[a, b], max(d[a, b] / 2, a / 40, b / 40)) for a in range(len(x)) for b in range(a + 1, len(x))]
+    assert sorted(map(tuple, found.collect())) == want
+    ragged = df.union(spark.createDataFrame([(99, [1.0])], df.schema))
+    with pytest.raises(Exception, match="differ in length"):
+        neighbors.mutual_reachability(ragged, core.union(spark.createDataFrame([(99, 0.0)], core.schema)), M.EUCLIDEAN).collect()
+
+
 def test_blocks_meet_few_others_where_space_tells(spark):
     x = np.random.default_rng(4).random((20_000, 2))
     points = spark.createDataFrame([(i, [float(a), float(b)], 0.0) for i, (a, b) in enumerate(x)], "id long, features array<double>, core double")
