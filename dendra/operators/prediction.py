@@ -275,15 +275,23 @@ class Predictor:
 
     def membership(self, df: DataFrame) -> DataFrame:
         """(id, label, membership): a row for each selected cluster."""
+        return _by_label(self.membership_vectors(df))
+
+    def membership_vectors(self, df: DataFrame) -> DataFrame:
+        """(id, memberships): a row for each point, its membership in each selected cluster at the place of the label."""
 
         def work(look: Lookup, ids: np.ndarray, q: np.ndarray, neighbour: np.ndarray, density: np.ndarray, least: np.ndarray) -> Iterator[pa.RecordBatch]:
             density = np.minimum(look.point_density[neighbour], density)
-            yield from _memberships(look, ids, q, look.point_cluster[neighbour], density, fitted=False)
+            yield from _packed(look, ids, q, look.point_cluster[neighbour], density, fitted=False)
 
-        return self.apply(df, work, _MEMBERSHIP, deal=_equals_together)
+        return _each_point(self.apply(df, work, _PACKED, deal=_equals_together))
 
     def all_points_membership(self) -> DataFrame:
         """(id, label, membership) of the fitted points."""
+        return _by_label(self.all_points_membership_vectors())
+
+    def all_points_membership_vectors(self) -> DataFrame:
+        """(id, memberships) of the fitted points."""
         held, columns = self.held, self.columns
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,9 +300,9 @@ class Predictor:
                 ids = batch.column(0).to_numpy(zero_copy_only=False)
                 place = np.searchsorted(look.ids, ids)
                 q = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, columns)
-                yield from _memberships(look, ids, q, look.point_cluster[place], look.point_density[place], fitted=True)
+                yield from _packed(look, ids, q, look.point_cluster[place], look.point_density[place], fitted=True)
 
-        return _equals_together(self.df.select("id", "features")).mapInArrow(run, _MEMBERSHIP)
+        return _each_point(_equals_together(self.df.select("id", "features")).mapInArrow(run, _PACKED))
 
 
 def _rows(table: pa.Table, columns: int) -> np.ndarray:
@@ -324,15 +332,16 @@ def _equals_together(rows: DataFrame) -> DataFrame:
     return rows.repartitionByRange(4 * rows.sparkSession.sparkContext.defaultParallelism, "features", "id").sortWithinPartitions("features", "id")
 
 
-_MEMBERSHIP = "id long, label int, membership double"
+#: The ids of points alike, and their memberships by label.
+_PACKED = "ids array<long>, memberships array<double>"
 #: Distances or memberships that a task holds at once.
 _VALUES = 1 << 20
 
 
-def _memberships(look: Lookup, ids: np.ndarray, q: np.ndarray, cluster: np.ndarray, density: np.ndarray, fitted: bool) -> Iterator[pa.RecordBatch]:
-    """Rows of each point and selected cluster, so many at once as ``_VALUES`` allow; points alike in all that counts are worked out once."""
+def _alike(look: Lookup, q: np.ndarray, cluster: np.ndarray, density: np.ndarray, fitted: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places of points ordered by what counts, where each group of points alike begins and ends among them, and its memberships; so many groups at once as ``_VALUES`` allow."""
     k = len(look.clusters)
-    if not k or not len(ids):
+    if not k or not len(q):
         return
     step = max(1, _VALUES // max(k, len(look.exemplars)))
     _, first, alike = np.unique(np.column_stack([q, cluster, density]), axis=0, return_index=True, return_inverse=True)
@@ -341,7 +350,36 @@ def _memberships(look: Lookup, ids: np.ndarray, q: np.ndarray, cluster: np.ndarr
     for at in range(0, len(first), step):
         one = first[at : at + step]
         values = look.spread(look.closeness(q[one]), cluster[one], density[one], fitted)
-        points = order[ends[at] : ends[at + len(one)]]
-        for part in (points[i : i + step] for i in range(0, len(points), step)):
-            columns = np.repeat(ids[part], k), np.tile(np.arange(k, dtype=np.int32), len(part)), values[alike[part] - at].ravel()
+        yield order[ends[at] : ends[at + len(one)]], ends[at : at + len(one) + 1] - ends[at], values
+
+
+def _packed(look: Lookup, ids: np.ndarray, q: np.ndarray, cluster: np.ndarray, density: np.ndarray, fitted: bool) -> Iterator[pa.RecordBatch]:
+    """A row for points alike, which leave the task once; without clusters all points are."""
+    if not len(look.clusters):
+        yield pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.int64())), pa.array([[]], pa.list_(pa.float64()))], names=["ids", "memberships"])
+    for points, ends, values in _alike(look, q, cluster, density, fitted):
+        k = values.shape[1]
+        columns = (ends, ids[points]), (np.arange(len(values) + 1) * k, values.ravel())
+        yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(v)) for at, v in columns], names=["ids", "memberships"])
+
+
+def _each_point(rows: DataFrame) -> DataFrame:
+    """(id, memberships) of packed rows."""
+    return rows.select(F.explode("ids").alias("id"), "memberships")
+
+
+def _by_label(rows: DataFrame) -> DataFrame:
+    """(id, label, membership) of rows of (id, memberships)."""
+    return rows.select("id", F.posexplode("memberships").alias("label", "membership"))
+
+
+def _memberships(look: Lookup, ids: np.ndarray, q: np.ndarray, cluster: np.ndarray, density: np.ndarray, fitted: bool) -> Iterator[pa.RecordBatch]:
+    """Like ``_packed``, a row for each point and selected cluster, so many at once as ``_VALUES`` allow."""
+    k = len(look.clusters)
+    for points, ends, values in _alike(look, q, cluster, density, fitted):
+        group = np.repeat(np.arange(len(values)), np.diff(ends))
+        step = max(1, _VALUES // max(k, len(look.exemplars)))
+        for at in range(0, len(points), step):
+            part = points[at : at + step]
+            columns = np.repeat(ids[part], k), np.tile(np.arange(k, dtype=np.int32), len(part)), values[group[at : at + step]].ravel()
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["id", "label", "membership"])

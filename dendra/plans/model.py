@@ -181,6 +181,13 @@ class FittedModel:
     def all_points_membership(self) -> DataFrame:
         return self.predictor().all_points_membership()
 
+    def membership_vectors(self, df: DataFrame) -> DataFrame:
+        """(id, memberships): what ``membership`` gives, a row for each point."""
+        return self.predictor().membership_vectors(df)
+
+    def all_points_membership_vectors(self) -> DataFrame:
+        return self.predictor().all_points_membership_vectors()
+
     def detect_branches(self, config: Any = None, labels: DataFrame | None = None) -> Any:
         from ..operators.branches import detect
         from .config import BranchConfig

@@ -642,6 +642,40 @@ def test_memberships_of_equal_points_are_worked_out_once(spark, monkeypatch):
     assert sorted(map(tuple, model.all_points_membership().collect())) == got
 
 
+def test_memberships_of_equal_points_leave_the_task_once(spark):
+    x = np.repeat(np.round(blobs(15), 2), 3, axis=0)
+    model = fit(frame(spark, x), Config(min_cluster_size=8, min_samples=4, prediction_data=True))
+    look = model.predictor().lookup
+    kinds = len(np.unique(np.column_stack([look.x, look.point_cluster, look.point_density]), axis=0))
+    packed = list(prediction._packed(look, look.ids, look.x, look.point_cluster, look.point_density, True))
+    assert sum(b.num_rows for b in packed) == kinds <= len(x) // 2
+    got = sorted((i, k, v) for b in packed for r in b.to_pylist() for i in r["ids"] for k, v in enumerate(r["memberships"]))
+    assert len(got) == len(x) * len(look.clusters) and sorted(map(tuple, model.all_points_membership().collect())) == got
+    asked = model.membership(frame(spark, x))
+    assert asked.columns == ["id", "label", "membership"] and asked.count() == len(got)
+    rows = model.all_points_membership_vectors().collect()
+    assert len(rows) == len(x) and sorted((r["id"], k, v) for r in rows for k, v in enumerate(r["memberships"])) == got
+
+
+def test_points_without_clusters_have_empty_memberships(spark):
+    line = frame(spark, [[0.0], [0.3], [0.5], [4.0]])
+    model = fit(line, Config(min_cluster_size=4, prediction_data=True))
+    assert model.cluster_count() == 0 and model.all_points_membership().count() == 0
+    for rows in (model.all_points_membership_vectors(), model.membership_vectors(line)):
+        assert sorted(map(tuple, rows.collect())) == [(i, []) for i in range(4)]
+
+
+@pytest.mark.parametrize("name, method", [("all_points_membership", "all_points_membership")])
+def test_membership_queries_give_a_row_for_each_point(spark, name, method):
+    from dendra import queries
+
+    folder = "/root/testdata/sf0.001"
+    model, asked = queries._predicting(spark, folder), [queries._asked(spark, folder)] if method == "membership" else []
+    rows = queries.queries()[name](spark, folder).collect()
+    want = sorted(map(tuple, getattr(model, method)(*asked).collect()))
+    assert len(rows) == model.size and sorted((r["id"], k, v) for r in rows for k, v in enumerate(r["memberships"])) == want
+
+
 def test_heights_where_paths_meet(spark):
     """Against climbing from both ends, on a tree of splits."""
     rng = np.random.default_rng(7)
