@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..errors import BranchDataMissing, BranchUnsupported, DendraError, Disconnected, InsufficientNeighbors, InvalidConfig, InvalidDistance, PredictionDataMissing, PredictionUnsupported
 from ..functions.metrics import Metric, by_products, metric_of
-from ..operators import approximate, cells, neighbors, spanning
+from ..operators import adjacency, approximate, cells, neighbors, spanning
 from ..operators.tree import Condensed, Edges, condense, connected, extract, kruskal, linkage, outliers, prim
 from ..sources import exports, graphs, vectors
 from .config import APPROXIMATE, AUTO, BRUTE, KDTREE, Config, ExtractionConfig
@@ -336,6 +336,45 @@ def fit_graph(edges: DataFrame, n: int, config: Config | None = None) -> FittedM
     return FittedModel(_checked(_single_task(named, edge_kernel(config))), config, n, "sparse")
 
 
+#: Bytes of a matrix that one task holds at most; beyond, its tree is found row by row and ties go by id.
+MATRIX_BYTES = 1 << 29
+
+
+def fit_matrix(rows: graphs.Rows, n: int, config: Config | None = None) -> FittedModel:
+    """Like ``fit_precomputed``, of a matrix that comes by rows."""
+    config = _without_vectors(config, n)
+    k = min(config.min_samples, n - 1)
+    found = adjacency.summary(rows, n, k, dense=True)
+    if n * n * 8 > MATRIX_BYTES:
+        return _of_rows(rows, found, n, config, "reference")
+    read, core = rows.read, found.core
+
+    def pack(batches):
+        for i, _, d in read(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([d.tobytes()], pa.binary())], names=["id", "row"])
+
+    def run(table: pa.Table) -> pa.Table:
+        d = np.empty((n, n))
+        for batch in table.to_batches():
+            for i, row in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                d[i] = np.frombuffer(row.as_buffer())
+        return tree_rows(np.arange(n), prim(n, lambda i, o: np.maximum(d[i, o] / config.alpha, np.maximum(core[i], core[o]))), config)
+
+    return FittedModel(_checked(_single_task(rows.df.mapInArrow(pack, "id long, row binary"), run)), config, n, "reference")
+
+
+def fit_graph_rows(rows: graphs.Rows, n: int, config: Config | None = None) -> FittedModel:
+    """Like ``fit_graph``, of a graph that comes by rows; no task holds more than a few of them and a forest."""
+    config = _without_vectors(config, n)
+    return _of_rows(rows, adjacency.summary(rows, n, min(config.min_samples, n - 1), dense=False), n, config, "sparse")
+
+
+def _of_rows(rows: graphs.Rows, found: adjacency.Summary, n: int, config: Config, name: str) -> FittedModel:
+    edges = adjacency.tree_edges(rows, found, config.alpha)
+    ids = edges.sparkSession.range(n).select(F.col("id").alias("src"), F.lit(None).cast("long").alias("dst"), F.lit(0.0).alias("distance"))
+    return FittedModel(_checked(_single_task(edges.unionByName(ids), edge_kernel(config))), config, n, name)
+
+
 def _without_vectors(config: Config | None, n: int) -> Config:
     config = copy.copy(config or Config()).validated(n)
     if config.prediction_data:
@@ -345,4 +384,4 @@ def _without_vectors(config: Config | None, n: int) -> Config:
     return config
 
 
-__all__ = ["Clusterer", "FittedModel", "fit", "fit_graph", "fit_precomputed", "fit_predict", "select_algorithm", "DendraError", "InvalidConfig"]
+__all__ = ["Clusterer", "FittedModel", "fit", "fit_graph", "fit_graph_rows", "fit_matrix", "fit_precomputed", "fit_predict", "select_algorithm", "DendraError", "InvalidConfig"]

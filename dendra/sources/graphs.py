@@ -1,13 +1,17 @@
-"""Distance graphs as edge rows: (src BIGINT, dst BIGINT, distance DOUBLE) and a count of vertices."""
+"""Distance graphs as edge rows: (src BIGINT, dst BIGINT, distance DOUBLE) and a count of vertices; large ones by rows of a vertex each."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import InvalidPrecomputed, InvalidSparse
+from ..functions.metrics import Metric
 
 
 def from_csr(spark: SparkSession, data: Sequence[float], indices: Sequence[int], indptr: Sequence[int]) -> DataFrame:
@@ -43,3 +47,52 @@ def validate(edges: DataFrame, n: int, dense: bool) -> None:
     bad = off.limit(1).collect()
     if bad:
         raise error(f"entries of {bad[0]['a']} and {bad[0]['b']} repeat or aren't symmetric")
+
+
+Row = tuple[int, np.ndarray | None, np.ndarray]
+
+
+@dataclass(frozen=True)
+class Rows:
+    """A symmetric graph by rows, made where they are read.
+
+    ``read`` turns batches of ``df`` into (vertex, other vertices ascending, distances), once
+    for each vertex that has edges; None in place of the others means all vertices in order,
+    a row of a matrix. Rows are read more than once and have to be the same each time.
+    """
+
+    df: DataFrame
+    read: Callable[[Iterator[pa.RecordBatch]], Iterator[Row]]
+
+
+def matrix_rows(df: DataFrame) -> Rows:
+    """Of (id, features) with a row of a square matrix each."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[Row]:
+        for batch in batches:
+            for i, row in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                yield i, None, row.values.to_numpy(zero_copy_only=False).astype(float)
+
+    return Rows(df.select("id", "features"), read)
+
+
+def distance_rows(points: DataFrame, first: int, width: int, metric: Metric) -> Rows:
+    """The matrix of all distances of vectors, whose ids count from ``first``; the vectors go with the task."""
+    table = points.select("id", "features").toArrow().sort_by("id")
+    base = points.sparkSession.sparkContext.broadcast(table.column("features").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, max(1, width)))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[Row]:
+        x = np.asfortranarray(base.value)
+        step = max(1, (1 << 18) // max(1, len(x)))
+        for batch in batches:
+            ids, q = batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            for at in range(0, len(ids), step):
+                for i, d in zip(ids[at : at + step].tolist(), metric.kernel(q[at : at + step], x), strict=True):
+                    yield i - first, None, d
+
+    return Rows(_over_cores(points.select("id", "features")), read)
+
+
+def _over_cores(df: DataFrame) -> DataFrame:
+    """A few parts for each core, each of which keeps a forest."""
+    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism)

@@ -13,12 +13,13 @@ from pyspark.sql import functions as F
 
 from dendra import errors, queries
 from dendra.functions import metrics as M
-from dendra.operators import analytics, approximate, cells, evaluation, neighbors, prediction, spanning, tree
+from dendra.operators import adjacency, analytics, approximate, cells, evaluation, neighbors, prediction, spanning, tree
 from dendra.operators.robust import cut_linkage, robust_single_linkage
 from dendra.operators.validity import validity
 from dendra.plans import jobs
 from dendra.plans.config import BranchConfig, Config, ExtractionConfig, RobustConfig
-from dendra.plans.model import Clusterer, fit, fit_graph, fit_precomputed, fit_predict, select_algorithm
+from dendra.plans import model as models
+from dendra.plans.model import Clusterer, fit, fit_graph, fit_graph_rows, fit_matrix, fit_precomputed, fit_predict, select_algorithm
 from dendra.sources import exports, graphs, vectors
 from dendra.sources.generators import Recipe, SplitMix, generate, manifest
 from dendra.streaming.scoring import predict_stream, score_stream
@@ -310,6 +311,100 @@ def test_graphs(spark):
         fit_precomputed(matrix.where("src <> 3 OR dst <> 4"), 30)
 
 
+def rows_of(spark, weights):
+    """Of a square array, NaN where there is no edge."""
+    held = {i: (np.flatnonzero(~np.isnan(w)), w[~np.isnan(w)]) for i, w in enumerate(weights)}
+
+    def read(batches):
+        for batch in batches:
+            for i in batch.column(0).to_pylist():
+                yield i, *held[i]
+
+    return graphs.Rows(spark.range(len(weights), numPartitions=3), read)
+
+
+def edges_of(spark, weights):
+    src, dst = np.nonzero(~np.isnan(weights))
+    return spark.createDataFrame([(int(a), int(b), float(weights[a, b])) for a, b in zip(src, dst, strict=True)], "src long, dst long, distance double")
+
+
+def trees(fitted):
+    return [sorted(map(tuple, d.collect())) for d in (fitted.mst.select("src", "dst", "distance"), fitted.points, fitted.condensed)]
+
+
+@pytest.mark.parametrize("share, ties", [(0.06, False), (0.06, True), (0.9, True)])
+def test_graphs_by_rows_give_the_tree_of_their_edges(spark, monkeypatch, share, ties):
+    n, rng = 150, np.random.default_rng(13)
+    w = rng.integers(1, 6, (n, n)).astype(float) if ties else rng.random((n, n))
+    w[rng.random((n, n)) > share] = np.nan
+    w = np.triu(w, 1) + np.tril(np.full((n, n), np.nan))
+    w[np.arange(n - 1), np.arange(1, n)] = 9.0  # some edges that join all, and more than one part without them
+    w[:60, 60:] = w[60:, :60] = np.nan
+    w[59, 60] = 9.0
+    w = np.where(np.isnan(w), w.T, w)
+    monkeypatch.setattr(adjacency, "SAMPLE", 4)
+    config = Config(min_cluster_size=3, min_samples=2, alpha=1.5)
+    assert trees(fit_graph_rows(rows_of(spark, w), n, config)) == trees(fit_graph(edges_of(spark, w), n, config))
+
+
+def test_graphs_by_rows_leave_few_edges_to_the_forests(spark):
+    n, rng = 600, np.random.default_rng(3)
+    x = rng.random((n, 2))
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    found = adjacency.summary(graphs.matrix_rows(frame(spark, d)), n, 3, dense=True)
+    bounds = adjacency.Bounds.of(found, 1.0)
+    left = sum(len(bounds.within(i, None, d[i], 1.0)[0]) for i in range(n))
+    others = np.arange(n)
+    assert left == sum(len(bounds.within(i, others[others != i], np.delete(d[i], i), 1.0)[0]) for i in range(n))
+    assert n - 1 <= left < 2 * n
+    assert np.allclose(found.core, np.sort(d, axis=1)[:, 3])
+
+
+def test_graphs_by_rows_are_checked(spark):
+    w = np.full((4, 4), np.nan)
+    for a, b, d in ((0, 1, 1.0), (1, 2, 3.0), (2, 3, 1.0)):
+        w[a, b] = w[b, a] = d
+    config = Config(min_cluster_size=2, min_samples=1)
+    assert collected(fit_graph_rows(rows_of(spark, w), 4, config))[0] == [0, 0, 1, 1]
+    with pytest.raises(errors.InsufficientNeighbors):
+        fit_graph_rows(rows_of(spark, w), 4, Config(min_cluster_size=2, min_samples=2))
+    for a, b, d in ((2, 1, 2.0), (3, 0, 1.0), (0, 1, -1.0), (0, 1, np.inf), (1, 1, 1.0)):
+        bad = w.copy()
+        bad[a, b] = d
+        with pytest.raises(errors.InvalidSparse):
+            fit_graph_rows(rows_of(spark, bad), 4, config)
+    repeated = graphs.Rows(spark.range(2), lambda batches: ((i, np.array([1 - i, 1 - i]), np.ones(2)) for b in batches for i in b.column(0).to_pylist()))
+    with pytest.raises(errors.InvalidSparse):
+        fit_graph_rows(repeated, 2, config)
+    w[1, 2] = w[2, 1] = np.nan
+    with pytest.raises(errors.Disconnected):
+        fit_graph_rows(rows_of(spark, w), 4, config)
+
+
+@pytest.mark.parametrize("held", [1 << 29, 0])
+def test_matrices_by_rows(spark, monkeypatch, held):
+    monkeypatch.setattr(models, "MATRIX_BYTES", held)
+    x = blobs(7, 30)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    n, config = len(d), Config(min_cluster_size=4, alpha=1.25)
+    want = fit_precomputed(graphs.from_matrix(frame(spark, d)), n, config)
+    for rows in (graphs.matrix_rows(frame(spark, d)), graphs.distance_rows(frame(spark, x), 0, x.shape[1], M.EUCLIDEAN)):
+        got = fit_matrix(rows, n, config)
+        assert np.allclose([r["distance"] for r in got.mst.orderBy("seq").collect()], [r["distance"] for r in want.mst.orderBy("seq").collect()], atol=1e-12)
+        assert collected(got)[0] == collected(want)[0]
+    apart = d.copy()
+    apart[:5, 5:] = apart[5:, :5] = np.inf
+    with pytest.raises(errors.Disconnected):
+        fit_matrix(graphs.matrix_rows(frame(spark, apart)), n, config)
+    for a, b, v in ((3, 4, 0.5), (2, 2, 1.0), (1, 2, -1.0), (1, 2, np.nan)):
+        bad = d.copy()
+        bad[a, b] = v
+        with pytest.raises(errors.InvalidPrecomputed):
+            fit_matrix(graphs.matrix_rows(frame(spark, bad)), n, config)
+    with pytest.raises(errors.InvalidPrecomputed):
+        fit_matrix(graphs.matrix_rows(frame(spark, d).where("id <> 3")), n, config)
+
+
 def test_robust(spark):
     line = frame(spark, [[0.0], [0.3], [0.5], [4.0], [4.2], [9.0]])
     got = robust_single_linkage(line, RobustConfig(cut=1.0, k=1, gamma=2))
