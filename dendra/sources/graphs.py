@@ -93,6 +93,35 @@ def distance_rows(points: DataFrame, first: int, width: int, metric: Metric) ->
     return Rows(_over_cores(points.select("id", "features")), read)
 
 
+def group_rows(members: DataFrame, n: int, link: float) -> Rows:
+    """Of (id, value, number of a group): members of a group are joined at the difference of their values, and each of ``n`` vertices to the next at ``link`` if that is less or they share no group."""
+    table = members.select("id", "value", "group").toArrow().sort_by("id")
+    held = members.sparkSession.sparkContext.broadcast(tuple(table.column(c).to_numpy() for c in ("id", "value", "group")))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[Row]:
+        ids, value, group = held.value
+        groups = {g: (ids[group == g], value[group == g]) for g in np.unique(group)}
+        for batch in batches:
+            for i in batch.column(0).to_pylist():
+                own = int(np.searchsorted(ids, i))
+                others, d = ids[:0], value[:0]
+                if own < len(ids) and ids[own] == i:
+                    others, d = groups[group[own]]
+                    at = int(np.searchsorted(others, i))
+                    d = np.abs(d - value[own])
+                    others, d = np.delete(others, at), np.delete(d, at)
+                for j in (i - 1, i + 1):
+                    if 0 <= j < n:
+                        at = int(np.searchsorted(others, j))
+                        if at < len(others) and others[at] == j:
+                            d[at] = min(d[at], link)
+                        else:
+                            others, d = np.insert(others, at, j), np.insert(d, at, link)
+                yield i, others, d
+
+    return Rows(_over_cores(members.sparkSession.range(n)), read)
+
+
 def _over_cores(df: DataFrame) -> DataFrame:
     """A few parts for each core, each of which keeps a forest."""
     return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism)

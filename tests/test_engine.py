@@ -381,6 +381,16 @@ def test_graphs_by_rows_are_checked(spark):
         fit_graph_rows(rows_of(spark, w), 4, config)
 
 
+def test_groups_by_rows_are_those_of_their_pairs(spark):
+    members = spark.createDataFrame([(0, 5.0, 1), (1, 200.0, 1), (3, 7.5, 1), (4, 1.0, 2)], "id long, value double, group long")
+    rows = graphs.group_rows(members, 5, 50.0)
+    import pyarrow as pa
+
+    got = {(i, int(j)): float(v) for i, others, d in rows.read([pa.RecordBatch.from_pydict({"id": list(range(5))})]) for j, v in zip(others, d, strict=True)}
+    half = {(0, 1): 50.0, (0, 3): 2.5, (1, 3): 192.5, (1, 2): 50.0, (2, 3): 50.0, (3, 4): 50.0}
+    assert got == half | {(b, a): v for (a, b), v in half.items()}
+
+
 @pytest.mark.parametrize("held", [1 << 29, 0])
 def test_matrices_by_rows(spark, monkeypatch, held):
     monkeypatch.setattr(models, "MATRIX_BYTES", held)
