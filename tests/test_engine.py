@@ -687,6 +687,40 @@ def test_reachability_of_all_pairs_comes_in_blocks(spark, monkeypatch):
         neighbors.mutual_reachability(ragged, core.union(spark.createDataFrame([(99, 0.0)], core.schema)), M.EUCLIDEAN).collect()
 
 
+def test_reachability_of_all_pairs_writes_no_pairs_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neighbors, "PAIRED_ROWS", 8)
+    x = np.repeat(np.round(blobs(31)[:20], 1), 6, axis=0)
+    ids = np.random.default_rng(3).permutation(len(x))
+    df = spark.createDataFrame([(int(i), v) for i, v in zip(ids, x.tolist(), strict=True)], "id long, features array<double>")
+    core = spark.createDataFrame([(int(i), float(v[0] > 0)) for i, v in zip(ids, x, strict=True)], "id long, core double")
+    at = np.argsort(ids)
+    d, c = M.EUCLIDEAN.kernel(x[at], x[at]), (x[at, 0] > 0).astype(float)
+    want = [(a, b, d[a, b], max(d[a, b] / 2, c[a], c[b])) for a in range(len(x)) for b in range(a + 1, len(x))]
+    for most in (neighbors.BROADCAST_BYTES, 0):  # blocks sent to all tasks, and met partition by partition
+        monkeypatch.setattr(neighbors, "BROADCAST_BYTES", most)
+        found = neighbors.mutual_reachability(df, core, M.EUCLIDEAN, alpha=2.0)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        above = plan[: plan.index("Product" if "Product" in plan else "NestedLoop")] if "Join" in plan or "Product" in plan else plan
+        assert "Exchange" not in above  # no shuffle of what grows with the square of the rows
+        assert sorted(map(tuple, found.collect())) == want
+
+
+@pytest.mark.parametrize("rows", [1, 2, 8, 9, 16, 17, 24, 33])
+def test_reachability_meets_each_pair_of_blocks_once(spark, monkeypatch, rows):
+    monkeypatch.setattr(neighbors, "PAIRED_ROWS", 2)
+    df, core = frame(spark, [[float(i)] for i in range(rows)]), spark.createDataFrame([(i, 0.0) for i in range(rows)], "id long, core double")
+    found = neighbors.mutual_reachability(df.coalesce(1), core, M.MANHATTAN).collect()
+    assert sorted(tuple(r)[:3] for r in found) == [(a, b, float(b - a)) for a in range(rows) for b in range(a + 1, rows)]
+
+
+def test_pairs_of_equal_vectors_stand_together():
+    rng = np.random.default_rng(5)
+    x = np.repeat(np.sort(rng.random((8, 1)), axis=0), 16, axis=0)
+    one, two = ((1, rng.permutation(1000)[:128].astype(np.int64).tobytes(), (x + gap).tobytes(), np.zeros(128).tobytes()) for gap in (0.0, 3.0))
+    d = np.concatenate([b.column(2).to_numpy() for b in neighbors._reached(one, two, M.EUCLIDEAN, 1.0)])
+    assert len(d) > 64 * 16 and np.count_nonzero(np.diff(d)) < 64  # a run for each two vectors
+
+
 def test_blocks_meet_few_others_where_space_tells(spark):
     x = np.random.default_rng(4).random((20_000, 2))
     points = spark.createDataFrame([(i, [float(a), float(b)], 0.0) for i, (a, b) in enumerate(x)], "id long, features array<double>, core double")
